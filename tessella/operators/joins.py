@@ -14,3 +14,29 @@ def size_status(rows: DataFrame) -> DataFrame:
         .when((F.col("w") != F.col("mask_w")) | (F.col("h") != F.col("mask_h")), "size_mismatch")
         .otherwise("ok"),
     )
+
+
+def join_expected(names: DataFrame, expected: DataFrame) -> DataFrame:
+    """Expected label of each file name through the prompt index inside the name; NULL when out of range."""
+    from tessella.functions.prompts import prompt_index
+
+    return names.withColumn("prompt_index", prompt_index(F.col("name"))).join(expected, "prompt_index", "left")
+
+
+def resolve_models(specs: DataFrame) -> DataFrame:
+    """``alias=path`` specs with a status: ``ok``, ``invalid`` or ``duplicate``.
+
+    Aliases are counted by an aggregate and joined back, so one alias in many rows is merged early.
+    """
+    from tessella.functions.naming import model_alias, model_path
+
+    parsed = specs.withColumn("alias", model_alias(F.col("spec"))).withColumn("path", model_path(F.col("spec")))
+    uses = parsed.where("alias IS NOT NULL").groupBy("alias").agg(F.count("*").alias("_uses"))
+    return (
+        parsed.join(uses, "alias", "left")
+        .withColumn(
+            "status",
+            F.when(F.col("alias").isNull() | F.col("path").isNull(), "invalid").when(F.col("_uses") > 1, "duplicate").otherwise("ok"),
+        )
+        .drop("_uses")
+    )

@@ -72,13 +72,12 @@ def main(argv):
         for a in [a for a in argv[1:] if a.startswith("@")]:
             importlib.import_module(f"tessella.checks.{a[1:]}")
         queries, oracle = checks.QUERIES, checks.ORACLE
-        prefix = {a[1:] for a in argv[1:] if a.startswith("@")}
-        names = [n for n, q in queries.items() if True]
+        names = list(queries)
     else:
         queries, oracle = checks.load()
         names = argv[1:] or list(queries)
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
