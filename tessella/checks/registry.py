@@ -19,7 +19,7 @@ def check(name: str, sql: str | None = None):
 
             return fn(configure(spark), sf_dir)
 
-        run.__name__, run.__doc__ = name, fn.__doc__
+        run.__name__, run.__doc__, run.__module__ = name, fn.__doc__, fn.__module__
         QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql

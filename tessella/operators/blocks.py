@@ -214,7 +214,7 @@ def pixel_rows(blocks: DataFrame, dtype=np.uint8, channels: Sequence[str] = ("v"
     return map_blocks(blocks, kernel, "y int, x int, " + ", ".join(f"{c} {kind}" for c in channels), carry)
 
 
-def digest(blocks: DataFrame, dtype=np.uint8) -> DataFrame:
+def digest(blocks: DataFrame, dtype=np.uint8, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Per-image fingerprint that depends on every value and its position (exact for integer pixels)."""
 
     def kernel(b):
@@ -224,7 +224,33 @@ def digest(blocks: DataFrame, dtype=np.uint8) -> DataFrame:
         return {"n": np.array([arr.size]), "v": np.array([arr.sum()]), "p": np.array([(arr * place).sum()])}
 
     return (
-        map_blocks(blocks, kernel, "n bigint, v bigint, p bigint")
-        .groupBy("image_id")
+        map_blocks(blocks, kernel, "n bigint, v bigint, p bigint", keys)
+        .groupBy(*keys)
         .agg(F.sum("n").alias("n_values"), F.sum("v").alias("sum_v"), F.sum("p").alias("pos_sum"))
     )
+
+
+def tile_pieces(tiles: DataFrame, blocks: DataFrame, block: int, keys: Sequence[str]) -> DataFrame:
+    """Trimmed block parts of each tile; ``tiles`` holds ``image_id``, the keys and ``x0, y0, x1, y1``.
+
+    Tiles are spread over the blocks they meet, so the join is on the full block key and both a huge image
+    and a busy one are split over many tasks.
+    """
+    cells = spread_over_blocks(tiles.select("image_id", *[k for k in keys if k != "image_id"], *[F.col(c).alias(f"t{c}") for c in ("y0", "x0", "y1", "x1")]),
+                               block, "ty0", "tx0", "ty1", "tx1")
+    met = cells.join(blocks, ["image_id", "by", "bx"])
+
+    def kernel(b):
+        y0, x0, y1, x1 = b["ty0"], b["tx0"], b["ty1"], b["tx1"]
+        arr = pixels(b)
+        got = cut(b, arr, y0, x0, y1, x1)
+        if got is None:
+            return None
+        return piece_rows([(0, 0, y0, x0, y1 - y0, x1 - x0, b["img_h"], b["img_w"], b["nch"])], [piece(*got)])
+
+    return map_blocks(met, kernel, PIECE_FIELDS, keys)
+
+
+def crop_tiles(tiles: DataFrame, blocks: DataFrame, block: int, keys: Sequence[str] = ("image_id", "tile_y", "tile_x")) -> DataFrame:
+    """Tile images, one row per tile (``y0, x0`` stay the origin in the source)."""
+    return assemble(tile_pieces(tiles, blocks, block, keys), keys=keys)

@@ -21,3 +21,24 @@ def label_vocabulary(tables: Sequence[DataFrame], label: str) -> DataFrame:
         labels = labels.unionByName(p)
     order = Window.orderBy("label")
     return labels.distinct().withColumn("label_index", (F.row_number().over(order) - 1).cast("int"))
+
+
+def pairing_stats(images: DataFrame, masks: DataFrame, key: str) -> DataFrame:
+    """Totals of a pairing: images, masks, paired rows, images without a mask.
+
+    One aggregate over a left join counts both sides of the pairing.
+    """
+    have = masks.select(key).distinct().withColumn("_mask", F.lit(1))
+    sides = images.join(have, key, "left").agg(
+        F.count("*").alias("total_images"), F.count("_mask").alias("paired_rows"), F.count_if(F.col("_mask").isNull()).alias("missing_masks")
+    )
+    return sides.crossJoin(masks.agg(F.count("*").alias("total_masks"))).select("total_images", "total_masks", "paired_rows", "missing_masks")
+
+
+def materialize_stats(tiles: DataFrame, sources: DataFrame, existing: DataFrame, source_key: str, tile_key: Sequence[str]) -> DataFrame:
+    """Tiles by outcome: ``missing`` (rows whose source is gone), ``skipped`` (already there) or ``written``."""
+    from tessella.operators.joins import mark_existing
+
+    marked = mark_existing(tiles, existing, tile_key).join(sources.distinct().withColumn("_src", F.lit(True)), source_key, "left")
+    status = F.when(F.col("_src").isNull(), "missing").when(F.col("reused_existing"), "skipped").otherwise("written")
+    return marked.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.countDistinct(source_key).alias("sources"))

@@ -33,8 +33,7 @@ def hash_rank(df: DataFrame, draw: Column, by: Sequence[str] = (), ties: Sequenc
     return (
         keyed.withColumn("_inside", inside)
         .join(offsets, [*by, "_bucket"])
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_draw", "_bucket", "_inside", "_before")
+        .select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
     )
 
 

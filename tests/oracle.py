@@ -72,10 +72,11 @@ def main(argv):
         for a in [a for a in argv[1:] if a.startswith("@")]:
             importlib.import_module(f"tessella.checks.{a[1:]}")
         queries, oracle = checks.QUERIES, checks.ORACLE
-        names = list(queries)
+        picked = {f"tessella.checks.{a[1:]}" for a in argv[1:]}
+        names = [n for n, q in queries.items() if q.__module__ in picked or "@" + n in argv[1:]]
     else:
         queries, oracle = checks.load()
-        names = argv[1:] or list(queries)
+        names = [n for n in argv[1:] if not n.startswith("-")] or list(queries)
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
