@@ -89,7 +89,7 @@ def bbox_square(spark, sf):
 
 
 @check("patch_meta", f"""WITH {fx.PIXELS_SQL}, {BBOX_SQL} SELECT s.k, CASE WHEN m.stem IS NULL THEN 'missing_mask' WHEN m.w <> s.w THEN 'size_mismatch' ELSE 'ok' END AS status, CAST(q.y1 - q.y0 AS INT) AS bbox_height, CAST(q.x1 - q.x0 AS INT) AS bbox_width,
-  round(512.0 / greatest(q.x1 - q.x0, 1), 6)::DOUBLE AS scale_x, round(512.0 / greatest(q.y1 - q.y0, 1), 6)::DOUBLE AS scale_y FROM slides s LEFT JOIN masks m USING (stem) LEFT JOIN square q ON q.k = s.k AND m.w = s.w""")
+  CASE WHEN q.k IS NOT NULL THEN round(512.0 / greatest(q.x1 - q.x0, 1), 6)::DOUBLE END AS scale_x, CASE WHEN q.k IS NOT NULL THEN round(512.0 / greatest(q.y1 - q.y0, 1), 6)::DOUBLE END AS scale_y FROM slides s LEFT JOIN masks m USING (stem) LEFT JOIN square q ON q.k = s.k AND m.w = s.w""")
 def patch_meta(spark, sf):
     from tessella.operators.joins import size_status
 

@@ -18,12 +18,12 @@ span AS (SELECT id, min(v) AS lo, max(v) AS hi FROM raw GROUP BY id),
 cam AS (SELECT id, px, (v - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END AS v FROM raw JOIN span USING (id)),
 frame AS (SELECT id, h, w, y0c, x0c, least(4, y0c + hc) AS y1c, least(4, x0c + wc) AS x1c FROM (SELECT id, h, w, CAST(round_even(((64 - nh) // 2) * 0.0625::DOUBLE, 0) AS INT) AS y0c, CAST(round_even(((64 - nw) // 2) * 0.0625::DOUBLE, 0) AS INT) AS x0c, CAST(round_even(nh * 0.0625::DOUBLE, 0) AS INT) AS hc, CAST(round_even(nw * 0.0625::DOUBLE, 0) AS INT) AS wc
   FROM (SELECT *, greatest(1, CAST(round_even(w * (64.0::DOUBLE / greatest(w, h)), 0) AS INT)) AS nw, greatest(1, CAST(round_even(h * (64.0::DOUBLE / greatest(w, h)), 0) AS INT)) AS nh FROM (SELECT vec_id AS id, CAST(20 + (vec_id % 5) * 8 AS INT) AS w, CAST(24 + (vec_id % 4) * 6 AS INT) AS h FROM embeddings) a) b) c),
-heat AS (SELECT c.id, c.px // 4 - y0c AS y, c.px % 4 - x0c AS x, round(v, 6) AS v, y1c - y0c AS hh, x1c - x0c AS ww, h, w FROM cam c JOIN frame f USING (id) WHERE c.px // 4 >= y0c AND c.px // 4 < y1c AND c.px % 4 >= x0c AND c.px % 4 < x1c)
+heat AS (SELECT c.id, c.px // 4 - y0c AS y, c.px % 4 - x0c AS x, floor(v * 1e6 + 0.501) / 1e6 AS v, y1c - y0c AS hh, x1c - x0c AS ww, h, w FROM cam c JOIN frame f USING (id) WHERE c.px // 4 >= y0c AND c.px // 4 < y1c AND c.px % 4 >= x0c AND c.px % 4 < x1c)
 """
 UP_SQL = HEAT_SQL + f""",
 {weights_sql('wx', 'SELECT DISTINCT ww AS n_in, w AS n_out FROM heat', wide='1.0')}, {weights_sql('wy', 'SELECT DISTINCT hh AS n_in, h AS n_out FROM heat', wide='1.0')},
 up_a AS (SELECT s.id, s.y, wx.i AS x, any_value(hh) AS hh, any_value(h) AS h, sum(wx.wt * v) AS v FROM heat s JOIN wx ON wx.n_in = s.ww AND wx.n_out = s.w AND wx.j = s.x GROUP BY s.id, s.y, wx.i),
-up AS (SELECT a.id, wy.i AS y, a.x, round(sum(wy.wt * v), 6) AS v FROM up_a a JOIN wy ON wy.n_in = a.hh AND wy.n_out = a.h AND wy.j = a.y GROUP BY a.id, wy.i, a.x)
+up AS (SELECT a.id, wy.i AS y, a.x, floor(sum(wy.wt * v) * 1e6 + 0.501) / 1e6 AS v FROM up_a a JOIN wy ON wy.n_in = a.hh AND wy.n_out = a.h AND wy.j = a.y GROUP BY a.id, wy.i, a.x)
 """
 
 
@@ -49,20 +49,20 @@ def activation_map(spark, sf):
     return as_k(saliency.activation_map(_channels(spark, sf))).select("k", "pixel", F.round("v", 6).alias("v"))
 
 
-@check("heatmap_unpad", f"WITH {UP_SQL} SELECT CAST(id AS INT) AS k, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(v, 5) AS v FROM up")
+@check("heatmap_unpad", f"WITH {UP_SQL} SELECT CAST(id AS INT) AS k, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(v, 6) AS v FROM up")
 def heatmap_unpad(spark, sf):
     import numpy as np
 
-    return as_k(blocks.pixel_rows(_heat(spark, sf), np.float64)).select("k", "y", "x", F.round("v", 5).alias("v"))
+    return as_k(blocks.pixel_rows(_heat(spark, sf), np.float64)).select("k", "y", "x", F.round("v", 6).alias("v"))
 
 
 @check("quantile_mask", f"""WITH {UP_SQL}, q AS (SELECT id, count(*) AS n, quantile_cont(v, 0.85) AS q, quantile_cont(v, 0.75) AS lo, quantile_cont(v, 0.95) AS hi FROM up GROUP BY id),
   a AS (SELECT id, q, lo, hi, count(*) FILTER (v >= q) / count(*) AS area, count(*) FILTER (v >= lo) / count(*) AS lo_area FROM up JOIN q USING (id) GROUP BY ALL),
   c AS (SELECT id, CASE WHEN CASE WHEN area < 0.16 THEN lo_area ELSE area END > 0.252 THEN hi WHEN area < 0.16 THEN lo ELSE q END AS cut FROM a)
-  SELECT CAST(id AS INT) AS k, round(cut, 5) AS cut, count(*) FILTER (v >= cut) AS n_on FROM up JOIN c USING (id) GROUP BY id, cut""")
+  SELECT CAST(id AS INT) AS k, floor(cut * 1e6 + 0.501) / 1e6 AS cut, count(*) FILTER (v >= cut) AS n_on FROM up JOIN c USING (id) GROUP BY id, cut""")
 def quantile_mask(spark, sf):
     heat = _heat(spark, sf)
     cuts = saliency.mask_thresholds(saliency.value_counts(heat), 0.85, 0.16, 0.252)
     mask = saliency.cut_masks(heat, cuts, _frames(spark, sf), fx.BLOCK)
     on = blocks.digest(mask).select("image_id", (F.col("sum_v") / 255).cast("bigint").alias("n_on"))
-    return as_k(on.join(cuts, "image_id")).select("k", F.round("cut", 5).alias("cut"), "n_on")
+    return as_k(on.join(cuts, "image_id")).select("k", (F.floor(F.col("cut") * 1e6 + 0.501) / 1e6).alias("cut"), "n_on")

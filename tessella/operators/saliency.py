@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 from tessella.operators.blocks import BLOCK_FIELDS, PIECE_FIELDS, assemble, block_row, cut, map_blocks, piece, piece_rows, pixels, spread_over_blocks
 from tessella.operators.resample import letterbox_geometry, resize_linear
+from tessella.session import pin
+
+
+def fixed(v: np.ndarray, digits: int) -> np.ndarray:
+    """Round to a fixed number of digits, halves up with slack for the last bits, so that equal heat compares equal."""
+    scale = 10.0**digits
+    return np.floor(v * scale + 0.501) / scale
 
 
 def activation_map(channels: DataFrame) -> DataFrame:
@@ -34,9 +41,9 @@ def heat_blocks(cam: DataFrame, height: int, width: int, digits: int = 6) -> Dat
     def kernel(r):
         arr = np.zeros(height * width)
         for c in r["cells"]:
-            arr[c["pixel"]] = round(c["v"], digits)
+            arr[c["pixel"]] = c["v"]
         b = {"by": 0, "bx": 0, "img_h": height, "img_w": width}
-        return block_row(b, 0, 0, arr.reshape(height, width))
+        return block_row(b, 0, 0, fixed(arr, digits).reshape(height, width))
 
     return map_blocks(rows, kernel, BLOCK_FIELDS)
 
@@ -63,7 +70,7 @@ def unpad(heat: DataFrame, images: DataFrame, block: int, size: int, digits: int
     keys = ("image_id", "orig_h", "orig_w")
     cropped = assemble(map_blocks(sized, crop, PIECE_FIELDS, keys), np.float64, keys=keys)
     grown = resize_linear(cropped, block, lambda b: (b["orig_h"], b["orig_w"]), antialias=False, dtype=np.float64,
-                          finish=lambda v: np.round(v, digits), keys=keys)
+                          finish=lambda v: fixed(v, digits), keys=keys)
     return grown.drop("orig_h", "orig_w")
 
 
@@ -83,8 +90,10 @@ def exact_quantiles(counts: DataFrame, key: str, probs: Sequence[float], lo: flo
     whole group.
 
     Values fall into 1024 equal bins, the bins holding the wanted order statistics are split into 1024 finer ones,
-    and only the values of those are ranked; every window sees at most one bin.
+    and only the values of those are ranked; every window sees at most one bin.  The counts are read several times, so
+    they are pinned once.
     """
+    counts = pin(counts)
     def bin_of(bits):
         scaled = (F.col("v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(1 << bits))
         return F.least(F.floor(scaled), F.lit((1 << bits) - 1)).cast("bigint")

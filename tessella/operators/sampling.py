@@ -108,8 +108,8 @@ def uniform(draw: Column) -> Column:
     return F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def weighted_draw(df: DataFrame, label: str, n: int, seed, key: Sequence[str]) -> DataFrame:
-    """``n`` draws with replacement, every class equally likely and rows equally likely within a class.
+def weighted_draw(df: DataFrame, label: str, n: int | None, seed, key: Sequence[str]) -> DataFrame:
+    """``n`` draws (as many as rows when ``None``) with replacement, every class equally likely and rows equally likely within a class.
 
     Inverse-frequency weights give each class the same mass, so a draw is "a class, then a position in it":
     an equi-join instead of a range join.
@@ -120,7 +120,7 @@ def weighted_draw(df: DataFrame, label: str, n: int, seed, key: Sequence[str]) -
     by_label = Window.orderBy(label)
     classes = sizes.select(label, "_size", (F.row_number().over(by_label) - 1).alias("_class"))  # one row per class
     total = classes.agg(F.count("*").alias("_classes"))
-    draws = spark.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total))
+    draws = spark.range(df.count() if n is None else n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total))
     u1 = uniform(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("class"), F.col("draw"))))
     u2 = uniform(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("row"), F.col("draw"))))
     drawn = (
@@ -129,3 +129,30 @@ def weighted_draw(df: DataFrame, label: str, n: int, seed, key: Sequence[str]) -
         .withColumn("_pos", F.floor(u2 * F.col("_size")))
     )
     return drawn.join(rows, [label, "_pos"]).drop("_pos", "_class", "_classes", "_size")
+
+
+def ordered_strata(df: DataFrame, label: str, n: int, seed, key: Sequence[str], name: str = "source_index") -> DataFrame:
+    """Stratified sample with a dense 0-based index: labels in order, draws in order within a label.
+
+    The index is "rows of earlier labels plus rank in the label", so no window spans the sample.
+    """
+    ranked = hash_rank(df, draw_key(seed, label, *key), by=[label], ties=key, name="_rank")
+    kept = ranked.where(F.col("_rank") < n) if n > 0 else ranked
+    sizes = df.groupBy(label).agg(F.count("*").alias("_all"))
+    size = F.least(F.col("_all"), F.lit(n)) if n > 0 else F.col("_all")
+    # one row per label
+    offsets = sizes.select(label, (F.sum(size).over(Window.orderBy(label)) - size).alias("_offset"))
+    return kept.join(F.broadcast(offsets), label).select(*df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(name))
+
+
+def holdout_sample(df: DataFrame, selection: DataFrame, label: str, n: int, seed, key: Sequence[str]) -> DataFrame:
+    """A second balanced sample, from rows the selection did not take."""
+    return stratified_sample(df.join(selection.select(*key), list(key), "left_anti"), label, n, seed, key)
+
+
+def split_report(split: DataFrame, group: str) -> DataFrame:
+    """Rows and groups per side; the groups themselves stay a relation (``split, group``)."""
+    return split.groupBy("split").agg(
+        F.count("*").alias("n_rows"), F.countDistinct(group).alias("n_groups"), F.min(group).alias("first_group"), F.max(group).alias("last_group")
+    )
+

@@ -60,23 +60,15 @@ def compare(query, sql: str, spark, con, sf_dir: str) -> tuple[bool, str]:
 
 
 def main(argv):
-    """``python tests/oracle.py SF_DIR [name ...]``"""
+    """``python tests/oracle.py SF_DIR [query or check module ...]``"""
     sys.path.insert(0, str(__import__("pathlib").Path(__file__).resolve().parents[1]))
-    import importlib
-
     from pyspark.sql import SparkSession
 
     import tessella.checks as checks
 
-    if any(a.startswith("@") for a in argv[1:]):
-        for a in [a for a in argv[1:] if a.startswith("@")]:
-            importlib.import_module(f"tessella.checks.{a[1:]}")
-        queries, oracle = checks.QUERIES, checks.ORACLE
-        picked = {f"tessella.checks.{a[1:]}" for a in argv[1:]}
-        names = [n for n, q in queries.items() if q.__module__ in picked or "@" + n in argv[1:]]
-    else:
-        queries, oracle = checks.load()
-        names = [n for n in argv[1:] if not n.startswith("-")] or list(queries)
+    queries, oracle = checks.load()
+    asked = {a.lstrip("@") for a in argv[1:]}
+    names = [n for n, q in queries.items() if not asked or n in asked or q.__module__.rsplit(".", 1)[1] in asked]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
