@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.checks.registry import table
 from tessella.operators.blocks import BLOCK_FIELDS, map_blocks
+from tessella.operators.roi import PALETTE
 from tessella.plans.mining import Mining
 
 BLOCK = 64
@@ -61,22 +62,6 @@ edited AS (
 )
 """
 
-# Mask palette (red, green, blue) -> class id
-PALETTE = {
-    (0, 0, 0): 0,
-    (224, 224, 224): 1,
-    (96, 96, 96): 2,
-    (150, 150, 0): 3,
-    (127, 255, 255): 4,
-    (255, 156, 0): 5,
-    (255, 0, 255): 6,
-    (0, 255, 0): 7,
-    (0, 156, 255): 8,
-    (127, 96, 255): 9,
-    (112, 48, 160): 10,
-    (0, 0, 128): 11,
-}
-
 
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k, w, h, stem``: one slide per part."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.checks import fixtures as fx
@@ -11,6 +10,7 @@ from tessella.checks.scalars import NAMED
 from tessella.checks.scoring import SCORED_SQL, scored
 from tessella.functions import labels, naming
 from tessella.operators import curriculum
+from tessella.operators.sampling import with_position
 
 RULES = curriculum.Rules(cross_repeat=2, same_repeat=1, min_cross_margin=-0.2, min_cross_prob=0.15, min_same_prob=0.2, target_repeat={"cancer": 3, "opmd": 0})
 JUDGED_SQL = f"""{SCORED_SQL}, judged AS (SELECT *, CASE WHEN prompt_mode = 'cross_class' THEN CASE WHEN target_label = 'cancer' THEN 3 ELSE 2 END ELSE 1 END AS repeat_,
@@ -64,9 +64,9 @@ def curriculum_next(spark, sf):
     CASE WHEN h.score > f.best + 0.01::DOUBLE THEN h.checkpoint ELSE f.best_ckpt END AS nc, CASE WHEN h.score > f.best + 0.01::DOUBLE THEN 0 ELSE f.idle + 1 END AS ni FROM fold f JOIN hist h ON h.run = f.run AND h.cycle = f.cycle + 1 WHERE f.idle < 3) q)
   SELECT run, cycle, improved AS improved_global_best, best AS global_best, best_ckpt AS global_best_checkpoint, idle AS no_improve, reverted, next_start AS next_start_checkpoint FROM fold""")
 def reward_fold(spark, sf):
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    history = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("run"), F.row_number().over(order).alias("cycle"), (F.col("o_totalprice") / 1e6).alias("score"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("checkpoint")
+    numbered = with_position(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], "cycle", 1, ["o_custkey"])
+    history = numbered.select(
+        F.col("o_custkey").alias("run"), F.col("cycle").cast("int").alias("cycle"), (F.col("o_totalprice") / 1e6).alias("score"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("checkpoint")
     )
     folded = curriculum.reward_fold(history, 0.01, 3, chunk=8)
     return folded.drop("score", "checkpoint")

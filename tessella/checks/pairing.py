@@ -36,7 +36,8 @@ def manifest_flatten(spark, sf):
 def manifest_summary(spark, sf):
     files = manifest.flatten_manifest(_manifest(spark, sf))
     first = manifest.manifest_summary(files, 20).toDF("first_count", "first_size")
-    return manifest.manifest_summary(files).crossJoin(first)  # one row each
+    both = manifest.manifest_summary(files).unionByName(first, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 @check("manifest_expect", "SELECT page_id // 10 AS dataset, 2 AS version FROM pages GROUP BY ALL")
@@ -89,13 +90,13 @@ def _checkpoints(spark, sf):
 
 @check("ckpt_order", f"""WITH {CKPT_SQL}, keyed AS (SELECT *, {CKPT_KEY} FROM ckpt WHERE name <> 'last.safetensors'),
   late AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY run ORDER BY rk DESC, num DESC, CASE WHEN rk = 3 THEN name ELSE '' END DESC, p_partkey DESC) <= 30)
-  SELECT run, p_partkey, name, CAST(row_number() OVER (PARTITION BY run ORDER BY rk, num, CASE WHEN rk = 3 THEN name ELSE '' END, p_partkey) - 1 AS INT) AS position FROM late""")
+  SELECT run, p_partkey, name, row_number() OVER (PARTITION BY run ORDER BY rk, num, CASE WHEN rk = 3 THEN name ELSE '' END, p_partkey) - 1 AS position FROM late""")
 def ckpt_order(spark, sf):
     out = listings.checkpoints(_checkpoints(spark, sf), "run", "name", include_last=False, latest=30, ties=["p_partkey"])
     return out.select("run", "p_partkey", "name", "position")
 
 
-@check("ckpt_mtime", f"""WITH {CKPT_SQL} SELECT run, name, mtime, CAST(row_number() OVER (PARTITION BY run ORDER BY mtime, name) - 1 AS INT) AS position FROM ckpt c
+@check("ckpt_mtime", f"""WITH {CKPT_SQL} SELECT run, name, mtime, row_number() OVER (PARTITION BY run ORDER BY mtime, name) - 1 AS position FROM ckpt c
   WHERE name <> 'last.safetensors' OR NOT EXISTS (SELECT 1 FROM ckpt o WHERE o.run = c.run AND o.name <> 'last.safetensors')""")
 def ckpt_mtime(spark, sf):
     return listings.checkpoints_by_time(_checkpoints(spark, sf), "run", "name", "mtime").select("run", "name", "mtime", "position")

@@ -55,7 +55,7 @@ def roi_coverage(spark, sf):
     counts = cover.groupBy(F.lit(0).alias("all"), F.col("coverage").alias("v")).agg(F.count("*").alias("n"))
     median = exact_quantiles(counts, "all", [0.5]).select(F.round("q", 6).alias("median"))
     mean = cover.agg(F.round(F.avg("coverage"), 6).alias("mean"))
-    return cover.select("k", F.round("coverage", 6).alias("coverage")).crossJoin(mean).crossJoin(median)  # one row each
+    return cover.select("k", F.round("coverage", 6).alias("coverage"), mean.scalar().alias("mean"), median.scalar().alias("median"))
 
 
 BBOX_SQL = f"""ext AS (SELECT k, any_value(w) AS w, any_value(h) AS h, min(y) FILTER (on_) AS y0, min(x) FILTER (on_) AS x0, max(y) FILTER (on_) + 1 AS y1, max(x) FILTER (on_) + 1 AS x1

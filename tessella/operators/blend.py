@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.blocks import BLOCK_FIELDS, PIECE_FIELDS, assemble, block_row, map_blocks, piece_rows, pixels, spread_over_blocks
+from tessella.operators.blocks import BLOCK_FIELDS, PIECE_FIELDS, assemble, block_row, map_blocks, piece_rows, pixels, spread_over_blocks, sum_pieces
 from tessella.operators.masks import gauss
 from tessella.operators.resample import _spread, axis_weights, to_levels
 
@@ -40,7 +40,7 @@ def feather_profiles(boxes: DataFrame, radius: int = 16) -> DataFrame:
     return map_blocks(boxes, kernel, "axis string, i int, weight double")
 
 
-def place_patches(patches: DataFrame, boxes: DataFrame, block: int, patch_block: int) -> DataFrame:
+def place_patches(patches: DataFrame, boxes: DataFrame, block: int) -> DataFrame:
     """Edited patches resized to their box and cut along the source image's block grid.
 
     ``patches`` are block images in patch space; ``boxes`` gives the window in the source image.
@@ -59,8 +59,7 @@ def place_patches(patches: DataFrame, boxes: DataFrame, block: int, patch_block:
         out = np.einsum("ij,jkc,lk->ilc", wy, arr, wx, optimize=True)
         return piece_rows(*_spread(out, iy + b["y0b"], ix + b["x0b"], (b["fh"], b["fw"]), block, b["nch"]))
 
-
-    return assemble(map_blocks(placed, kernel, PIECE_FIELDS), np.float64, add=True, finish=to_levels)
+    return assemble(map_blocks(placed, kernel, PIECE_FIELDS, merge=sum_pieces()), np.float64, add=True, finish=to_levels)
 
 
 def paste_back(original: DataFrame, edited: DataFrame, boxes: DataFrame, block: int, radius: int = 16) -> DataFrame:

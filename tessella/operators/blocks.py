@@ -43,10 +43,20 @@ def _arrow_column(chunks: list, kind: pa.DataType) -> pa.Array:
     return pa.array([v for c in chunks for v in c], type=kind)
 
 
-def map_blocks(blocks: DataFrame, kernel: Kernel, fields: str, carry: Sequence[str] = ("image_id",)) -> DataFrame:
+FLUSH = 64 << 20  # bytes of results held before a batch is handed back
+
+
+def _weight(values) -> int:
+    if isinstance(values, np.ndarray):
+        return values.nbytes
+    return sum(len(v) if isinstance(v, bytes) else len(v["data"]) if isinstance(v, dict) else 16 for v in values)
+
+
+def map_blocks(blocks: DataFrame, kernel: Kernel, fields: str, carry: Sequence[str] = ("image_id",), merge=None) -> DataFrame:
     """Run ``kernel`` on every row; it returns ``{column: values}`` of equal lengths (or ``None``).
 
-    ``carry`` columns are repeated for each produced row.
+    ``carry`` columns are repeated for each produced row.  ``merge`` may combine the results of one Arrow batch, as a
+    map-side combine: it gets and returns lists of ``(carried values, result)``.
     """
     made = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
     schema = T.StructType([blocks.schema[c] for c in carry] + made.fields)
@@ -55,21 +65,32 @@ def map_blocks(blocks: DataFrame, kernel: Kernel, fields: str, carry: Sequence[s
 
     def run(batches):
         arrow = to_arrow_schema(schema)
+
+        def pack(held):
+            held = merge(held) if merge else held
+            counts = [len(r[names[0]]) for _, r in held]
+            arrays = []
+            for j, c in enumerate(carry):
+                values = pa.array([k[j] for k, _ in held], type=arrow.field(c).type)
+                arrays.append(values.take(pa.array(np.repeat(np.arange(len(held)), counts))))
+            arrays += [_arrow_column([r[c] for _, r in held], arrow.field(c).type) for c in names]
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
         for batch in batches:
             cols = batch.to_pydict()
-            counts = np.zeros(batch.num_rows, dtype=np.int64)
-            chunks: dict[str, list] = {c: [] for c in names}
+            held, size = [], 0
             for i in range(batch.num_rows):
-                got = kernel({c: v[i] for c, v in cols.items()})
+                row = {c: v[i] for c, v in cols.items()}
+                got = kernel(row)
                 if got is None:
                     continue
-                counts[i] = len(got[names[0]])
-                for c in names:
-                    chunks[c].append(got[c])
-            take = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            arrays = [batch.column(batch.schema.get_field_index(c)).take(take).cast(arrow.field(c).type) for c in carry]
-            arrays += [_arrow_column(chunks[c], arrow.field(c).type) for c in names]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                held.append((tuple(row[c] for c in carry), got))
+                size += sum(_weight(got[c]) for c in names)
+                if size > FLUSH:
+                    yield pack(held)
+                    held, size = [], 0
+            if held:
+                yield pack(held)
 
     return blocks.mapInArrow(run, schema)
 
@@ -137,6 +158,33 @@ def assemble(pieces: DataFrame, dtype=np.uint8, add: bool = False, keys: Sequenc
     return map_blocks(grouped, kernel, "data binary", carry=[*keys, *geometry])
 
 
+def sum_pieces(dtype=np.float64):
+    """Map-side combine of additive pieces: those of one batch with the same target become one piece."""
+    target = ["by", "bx", "y0", "x0", "h", "w", "img_h", "img_w", "nch"]
+
+    def merge(held):
+        groups: dict = {}
+        for keys, got in held:
+            for at in zip(*[got[t] for t in target], got["piece"]):
+                groups.setdefault((keys, at[:-1]), []).append(at[-1])
+        out = []
+        for (keys, at), parts in groups.items():
+            if len(parts) > 1:
+                y0, x0 = min(p["y0"] for p in parts), min(p["x0"] for p in parts)
+                y1, x1 = max(p["y0"] + p["h"] for p in parts), max(p["x0"] + p["w"] for p in parts)
+                tail = () if at[-1] == 1 else (at[-1],)
+                total = np.zeros((y1 - y0, x1 - x0) + tail, dtype=dtype)
+                for p in parts:
+                    total[p["y0"] - y0 : p["y0"] - y0 + p["h"], p["x0"] - x0 : p["x0"] - x0 + p["w"]] += np.frombuffer(
+                        p["data"], dtype=dtype
+                    ).reshape((p["h"], p["w"]) + tail)
+                parts = [piece(y0, x0, total)]
+            out.append((keys, piece_rows([at], parts)))
+        return out
+
+    return merge
+
+
 def grid_targets(img_h: int, img_w: int, block: int, y0: int, x0: int, y1: int, x1: int, rim: int = 0):
     """Grid blocks whose window (grown by ``rim`` and clamped to the frame) meets ``[y0,y1) x [x0,x1)``."""
     for by in range(max(0, (y0 - rim) // block), min((img_h - 1) // block, (y1 - 1 + rim) // block) + 1):

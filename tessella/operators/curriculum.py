@@ -149,8 +149,7 @@ def quarantine(dataset: DataFrame, bad: DataFrame, key: str, name: str) -> tuple
     """Split off bad items: ``(clean, quarantined)``; a name already taken in quarantine gets ``__1``, ``__2``, ..."""
     clean = dataset.join(bad.select(key), key, "left_anti")
     taken = dataset.join(bad.select(key), key, "left_semi")
-    nth = F.row_number().over(Window.partitionBy(name).orderBy(key)) - 1
-    numbered = taken.withColumn("_i", nth)
+    numbered = sampling.with_position(taken, [key], "_i", by=[name])
     renamed = F.concat(naming.name_stem(F.col(name)), F.lit("__"), F.col("_i").cast("string"), naming.name_suffix(F.col(name)))
     return clean, numbered.withColumn("quarantine_name", F.when(F.col("_i") == 0, F.col(name)).otherwise(renamed)).drop("_i")
 

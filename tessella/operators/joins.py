@@ -89,7 +89,7 @@ def missing_report(rows: DataFrame, others: DataFrame, key: str, name: str, exam
     """How many rows lack a partner, and the first few names."""
     lost = rows.join(others, key, "left_anti")
     first = lost.select(name).orderBy(name).limit(examples).agg(F.array_sort(F.collect_list(name)).alias("examples"))
-    return lost.agg(F.count("*").alias("n_missing")).crossJoin(first)  # one row each
+    return lost.agg(F.count("*").alias("n_missing")).withColumn("examples", first.scalar())
 
 
 def label_chain(images: DataFrame, labels: DataFrame, tokens, default: str = "benign_lesion") -> DataFrame:

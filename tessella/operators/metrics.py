@@ -32,7 +32,8 @@ def pairing_stats(images: DataFrame, masks: DataFrame, key: str) -> DataFrame:
     sides = images.join(have, key, "left").agg(
         F.count("*").alias("total_images"), F.count("_mask").alias("paired_rows"), F.count_if(F.col("_mask").isNull()).alias("missing_masks")
     )
-    return sides.crossJoin(masks.agg(F.count("*").alias("total_masks"))).select("total_images", "total_masks", "paired_rows", "missing_masks")
+    both = sides.unionByName(masks.agg(F.count("*").alias("total_masks")), allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in ("total_images", "total_masks", "paired_rows", "missing_masks")])
 
 
 def materialize_stats(tiles: DataFrame, sources: DataFrame, existing: DataFrame, source_key: str, tile_key: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessella.operators.blocks import PIECE_FIELDS, assemble, grid_targets, map_blocks, piece, piece_rows, pixels
+from tessella.operators.blocks import PIECE_FIELDS, assemble, grid_targets, map_blocks, piece, piece_rows, pixels, sum_pieces
 
 
 def _triangle(x):
@@ -104,7 +104,8 @@ def resize_linear(blocks: DataFrame, block: int, size: Callable[[dict], tuple[in
                 parts.append(piece(ty0, tx0, np.empty((0, 0))))
         return piece_rows(targets, parts)
 
-    return assemble(map_blocks(blocks, kernel, PIECE_FIELDS, keys), np.float64, add=True, keys=keys, finish=finish)
+    shares = map_blocks(blocks, kernel, PIECE_FIELDS, keys, merge=sum_pieces())
+    return assemble(shares, np.float64, add=True, keys=keys, finish=finish)
 
 
 def letterbox_geometry(img_h: int, img_w: int, size: int) -> tuple[int, int, int, int]:

@@ -20,28 +20,27 @@ PREFIX = 3  # hex digits: 4096 buckets per group
 
 
 def hash_rank(df: DataFrame, draw: Column, by: Sequence[str] = (), ties: Sequence[str] = (), name: str = "rank",
-              prefix: int = PREFIX) -> DataFrame:
-    """Exact 0-based rank by draw within each group of ``by`` (few groups), without sorting a whole group."""
+              first: int | None = None, prefix: int = PREFIX) -> DataFrame:
+    """Exact 0-based rank by draw within each group of ``by`` (few groups), without sorting a whole group.
+
+    With ``first``, only ranks below it are kept: buckets beyond it fall away before anything is sorted.
+    """
     by = list(by)
     keyed = df.withColumn("_draw", draw).withColumn("_bucket", F.substring("_draw", 1, prefix))
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(
-        Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col("_size")
+    # at most 16 ** prefix rows per group
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_size")
     offsets = sizes.withColumn("_before", before).drop("_size")
+    if first is not None:
+        offsets = offsets.where(F.col("_before") < first)
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_draw", *ties)) - 1
-    return (
-        keyed.withColumn("_inside", inside)
-        .join(offsets, [*by, "_bucket"])
-        .select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
-    )
+    ranked = keyed.join(offsets, [*by, "_bucket"]).select(*df.columns, (F.col("_before") + inside).alias(name))
+    return ranked if first is None else ranked.where(F.col(name) < first)
 
 
 def exact_sample(df: DataFrame, n: int, seed, key: Sequence[str]) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, seeded; ``n <= 0`` keeps all."""
-    if n <= 0:
-        return df
-    return hash_rank(df, draw_key(seed, *key), ties=key, name="_rank").where(F.col("_rank") < n).drop("_rank")
+    return df if n <= 0 else hash_rank(df, draw_key(seed, *key), ties=key, name="_rank", first=n).drop("_rank")
 
 
 def stratified_sample(df: DataFrame, label: str, n: int, seed, key: Sequence[str], tokens: Sequence[str] | None = None) -> DataFrame:
@@ -50,26 +49,25 @@ def stratified_sample(df: DataFrame, label: str, n: int, seed, key: Sequence[str
         df = df.where(F.col(label).isin(list(tokens)))
     if n <= 0:
         return df
-    ranked = hash_rank(df, draw_key(seed, label, *key), by=[label], ties=key, name="_rank")
-    return ranked.where(F.col("_rank") < n).drop("_rank")
-
-
-def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "position", start: int = 0) -> DataFrame:
-    """Dense global position by a total order: range partitions are sorted on their own, and partition sizes
-    give the offset.  The partitioned rows are pinned so that both passes see the same split."""
-    order = list(order)
-    ranged = pin(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    # one row per partition, so the un-partitioned window stays tiny
-    before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")
-    offsets = sizes.select("_part", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return (
-        ranged.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_before") + F.col("_inside") + F.lit(start)).cast("bigint"))
-        .drop("_part", "_inside", "_before")
-    )
+    return hash_rank(df, draw_key(seed, label, *key), by=[label], ties=key, name="_rank", first=n).drop("_rank")
+
+
+def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "position", start: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Dense position by a total order, over all rows or within each group of ``by``.
+
+    Rows are range-partitioned by group and order, so a group of any size is split over partitions; each partition is
+    ranked on its own and the sizes of earlier partitions give the offset.  The partitioned rows are pinned so that both
+    passes see the same split.
+    """
+    order, by = list(order), list(by)
+    ranged = pin(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_size"))
+    # one row per group and partition it touches
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_size")
+    offsets = sizes.select(*by, "_part", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
+    place = (F.col("_before") + inside + F.lit(start)).cast("bigint")
+    return ranged.join(offsets, [*by, "_part"]).select(*df.columns, place.alias(name))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -92,10 +90,9 @@ def _keep(df, keys, order, pick):
 def group_split(df: DataFrame, group: str, fraction: float, seed) -> DataFrame:
     """Leakage-free split: adds ``split``; ``ceil(fraction * groups)`` whole groups go to validation."""
     groups = df.select(group).distinct()
-    total = groups.agg(F.ceil(F.lit(fraction) * F.count("*")).alias("_n_val"))
-    ranked = hash_rank(groups, draw_key(seed, group), ties=[group], name="_rank").crossJoin(total)  # one row
-    side = ranked.select(group, F.when(F.col("_rank") < F.col("_n_val"), "val").otherwise("train").alias("split"))
-    return df.join(side, group)
+    n_val = groups.agg(F.ceil(F.lit(fraction) * F.count("*"))).scalar()
+    ranked = hash_rank(groups, draw_key(seed, group), ties=[group], name="_rank")
+    return df.join(ranked.select(group, F.when(F.col("_rank") < n_val, "val").otherwise("train").alias("split")), group)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -119,16 +116,15 @@ def weighted_draw(df: DataFrame, label: str, n: int | None, seed, key: Sequence[
     sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
     by_label = Window.orderBy(label)
     classes = sizes.select(label, "_size", (F.row_number().over(by_label) - 1).alias("_class"))  # one row per class
-    total = classes.agg(F.count("*").alias("_classes"))
-    draws = spark.range(df.count() if n is None else n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total))
+    draws = spark.range(df.count() if n is None else n).withColumnRenamed("id", "draw")
     u1 = uniform(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("class"), F.col("draw"))))
     u2 = uniform(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("row"), F.col("draw"))))
     drawn = (
-        draws.withColumn("_class", F.floor(u1 * F.col("_classes")).cast("int"))
-        .join(F.broadcast(classes), "_class")  # one row per class
+        draws.withColumn("_class", F.floor(u1 * classes.agg(F.count("*")).scalar()).cast("int"))
+        .join(classes, "_class")
         .withColumn("_pos", F.floor(u2 * F.col("_size")))
     )
-    return drawn.join(rows, [label, "_pos"]).drop("_pos", "_class", "_classes", "_size")
+    return drawn.join(rows, [label, "_pos"]).drop("_pos", "_class", "_size")
 
 
 def ordered_strata(df: DataFrame, label: str, n: int, seed, key: Sequence[str], name: str = "source_index") -> DataFrame:
@@ -136,13 +132,12 @@ def ordered_strata(df: DataFrame, label: str, n: int, seed, key: Sequence[str],
 
     The index is "rows of earlier labels plus rank in the label", so no window spans the sample.
     """
-    ranked = hash_rank(df, draw_key(seed, label, *key), by=[label], ties=key, name="_rank")
-    kept = ranked.where(F.col("_rank") < n) if n > 0 else ranked
+    kept = hash_rank(df, draw_key(seed, label, *key), by=[label], ties=key, name="_rank", first=n if n > 0 else None)
     sizes = df.groupBy(label).agg(F.count("*").alias("_all"))
     size = F.least(F.col("_all"), F.lit(n)) if n > 0 else F.col("_all")
     # one row per label
     offsets = sizes.select(label, (F.sum(size).over(Window.orderBy(label)) - size).alias("_offset"))
-    return kept.join(F.broadcast(offsets), label).select(*df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(name))
+    return kept.join(offsets, label).select(*df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(name))
 
 
 def holdout_sample(df: DataFrame, selection: DataFrame, label: str, n: int, seed, key: Sequence[str]) -> DataFrame:

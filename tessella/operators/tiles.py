@@ -37,12 +37,12 @@ def _origins(length: int, size: int, stride: int, lo: int, hi: int) -> np.ndarra
     return steps
 
 
-def tile_counts(blocks: DataFrame, size: int, stride: int, test, name: str, dtype=np.uint8) -> DataFrame:
+def tile_counts(blocks: DataFrame, size: int, stride: int, test, name: str, dtype=np.uint8, skip_zero: bool = False) -> DataFrame:
     """Pixels per tile for which ``test(array)`` holds: ``(image_id, tile_y, tile_x, <name>)``.
 
     One pass over the blocks: a summed-area table per block yields the block's share of every tile
     it meets, in O(1) per tile.  Only these small shares are shuffled, keyed by tile, with partial sums
-    on the map side; pixel bytes never move.
+    on the map side; pixel bytes never move.  ``skip_zero`` leaves out shares of nothing, and tiles without any.
     """
 
     def kernel(b):
@@ -55,26 +55,27 @@ def tile_counts(blocks: DataFrame, size: int, stride: int, test, name: str, dtyp
         ya, yb = np.clip(ys - b["y0"], 0, b["h"]), np.clip(ys + size - b["y0"], 0, b["h"])
         xa, xb = np.clip(xs - b["x0"], 0, b["w"]), np.clip(xs + size - b["x0"], 0, b["w"])
         n = area[np.ix_(yb, xb)] - area[np.ix_(ya, xb)] - area[np.ix_(yb, xa)] + area[np.ix_(ya, xa)]
+        keep = np.flatnonzero(n.ravel()) if skip_zero else slice(None)
         return {
-            "tile_y": np.repeat(ys, len(xs)).astype(np.int32),
-            "tile_x": np.tile(xs, len(ys)).astype(np.int32),
-            "n": n.ravel(),
+            "tile_y": np.repeat(ys, len(xs)).astype(np.int32)[keep],
+            "tile_x": np.tile(xs, len(ys)).astype(np.int32)[keep],
+            "n": n.ravel()[keep],
         }
 
     shares = map_blocks(blocks, kernel, "tile_y int, tile_x int, n bigint")
     return shares.groupBy("image_id", "tile_y", "tile_x").agg(F.sum("n").alias(name))
 
 
-def mask_coverage(mask_blocks: DataFrame, size: int, stride: int, test=lambda a: a > 0, dtype=np.uint8) -> DataFrame:
+def mask_coverage(mask_blocks: DataFrame, size: int, stride: int, test=lambda a: a > 0, dtype=np.uint8, skip_zero: bool = False) -> DataFrame:
     """Share of foreground per tile."""
-    return tile_counts(mask_blocks, size, stride, test, "n_fg", dtype).withColumn(
+    return tile_counts(mask_blocks, size, stride, test, "n_fg", dtype, skip_zero).withColumn(
         "tile_mask_coverage", F.col("n_fg") / F.lit(size * size)
     )
 
 
 def white_content(rgb_blocks: DataFrame, size: int, stride: int, threshold: int) -> DataFrame:
-    """Share of near-white pixels (all channels at or above the threshold) per tile."""
-    return tile_counts(rgb_blocks, size, stride, lambda a: (a >= threshold).all(axis=2), "n_white").withColumn(
+    """Share of near-white pixels (all channels at or above the threshold) of each tile that has any."""
+    return tile_counts(rgb_blocks, size, stride, lambda a: (a >= threshold).all(axis=2), "n_white", skip_zero=True).withColumn(
         "tile_white_frac", F.col("n_white") / F.lit(size * size)
     )
 

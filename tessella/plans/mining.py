@@ -28,7 +28,7 @@ class Mining:
 
 def covered_tiles(images: DataFrame, mask_blocks: DataFrame, p: Mining, test=lambda a: a > 0, dtype="uint8") -> DataFrame:
     """Tiles of usable images whose mask coverage lies in the band."""
-    cover = TL.mask_coverage(mask_blocks, p.size, p.stride, test, dtype)
+    cover = TL.mask_coverage(mask_blocks, p.size, p.stride, test, dtype, skip_zero=p.min_cover > 0)
     return cover.where(F.col("tile_mask_coverage").between(p.min_cover, p.max_cover)).join(images, "image_id")
 
 
@@ -39,7 +39,8 @@ def selected_tiles(images: DataFrame, mask_blocks: DataFrame, rgb_blocks: DataFr
     if p.max_white >= 1.0:
         return capped.withColumn("tile_white_frac", F.lit(None).cast("double"))
     white = TL.white_content(rgb_blocks, p.size, p.stride, p.white_at)
-    return capped.join(white, ["image_id", "tile_y", "tile_x"])
+    key = ["image_id", "tile_y", "tile_x"]
+    return capped.join(white.select(*key, "tile_white_frac"), key, "left").fillna(0.0, ["tile_white_frac"])
 
 
 def mine_tiles(images: DataFrame, mask_blocks: DataFrame, rgb_blocks: DataFrame, p: Mining = Mining(),
@@ -75,7 +76,8 @@ def mining_funnel(images: DataFrame, selected: DataFrame, p: Mining) -> DataFram
         F.count_if(dropped).alias("dropped_by_white"),
         F.count_if(~dropped).alias("kept"),
     )
-    return small.crossJoin(tiles)  # one row each
+    both = small.unionByName(tiles, allowMissingColumns=True)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
 
 
 def tile_statistics(tiles: DataFrame) -> DataFrame:

@@ -53,8 +53,8 @@ def judge_edits(original: DataFrame, edited: DataFrame, boxes: DataFrame, block:
     return quality.judge(quality.edit_metrics(quality.edit_counters(original, edited, boxes, block)), limits)
 
 
-def paste_and_judge(original: DataFrame, patches: DataFrame, boxes: DataFrame, block: int, patch_block: int, radius: int = 16):
+def paste_and_judge(original: DataFrame, patches: DataFrame, boxes: DataFrame, block: int, radius: int = 16):
     """Place edited patches, blend them in and judge the result: ``(merged blocks, verdicts)``."""
-    placed = blend.place_patches(patches, boxes, block, patch_block)
+    placed = blend.place_patches(patches, boxes, block)
     merged = blend.paste_back(original, placed, boxes, block, radius)
     return merged, judge_edits(original, merged, boxes, block)

@@ -14,9 +14,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on; safe to call on a session somebody else made."""
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # Pixel blocks are large rows: bound Arrow batches by rows so a batch stays near 64 MB
-    # (256 x 256 x 3 bytes is about 200 kB per row).
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "320")
+    # Pixel blocks are large rows (256 x 256 x 3 bytes is about 200 kB): bound Arrow batches by bytes.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     return spark
 
 

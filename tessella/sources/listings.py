@@ -57,8 +57,7 @@ def checkpoints(listing: DataFrame, run: str, name: str, include_last: bool = Tr
     if latest > 0:
         back = Window.partitionBy(run).orderBy(F.desc("_key"), *[F.desc(t) for t in ties])
         rows = rows.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= latest).drop("_back")
-    forth = Window.partitionBy(run).orderBy("_key", *ties)
-    return rows.withColumn("position", F.row_number().over(forth) - 1).drop("_key")
+    return with_position(rows, ["_key", *ties], by=[run]).drop("_key")
 
 
 def checkpoints_by_time(listing: DataFrame, run: str, name: str, mtime: str, include_last: bool = False) -> DataFrame:
@@ -68,8 +67,7 @@ def checkpoints_by_time(listing: DataFrame, run: str, name: str, mtime: str, inc
         rows = listing.join(others, run, "left").where((F.col(name) != "last.safetensors") | F.col("_others").isNull()).drop("_others")
     else:
         rows = listing
-    order = Window.partitionBy(run).orderBy(mtime, name)
-    return rows.withColumn("position", F.row_number().over(order) - 1)
+    return with_position(rows, [mtime, name], by=[run])
 
 
 def explicit_checkpoints(requests: DataFrame, listing: DataFrame, run: str, names: str, name: str, strict: bool = True) -> DataFrame:
