@@ -1,9 +1,16 @@
-"""Streaming ingest."""
+"""Streaming ingest and image scans."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessella.checks import fixtures as fx
+from tessella.checks.png import write_pngs
 from tessella.checks.registry import check, table
+from tessella.checks.roi import digest_sql
+from tessella.operators.blocks import digest
 from tessella.session import new_path
+from tessella.sources.images import scan_images
 from tessella.streaming.ingest import ingest_new, stream_files
 
 
@@ -15,3 +22,14 @@ def stream_ingest(spark, sf):
     for _ in range(2):
         ingest_new(stream_files(spark, sf, schema, "orders.parquet"), target, state, ["o_orderkey"], ["o_orderdate", "o_custkey"])
     return spark.read.parquet(target).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@check("image_scan", f"WITH {fx.PIXELS_SQL}, d AS ({digest_sql('pixels')}), g AS (SELECT k, CAST(sum((19595 * r + 38470 * g + 7471 * b + 32768) // 65536) AS BIGINT) AS grey FROM pixels GROUP BY k) SELECT d.*, grey FROM d JOIN g USING (k)")
+def image_scan(spark, sf):
+    """Slides written as PNG files, decoded again by the image source, in colour and in grey."""
+    path = new_path(spark, "png")
+    write_pngs(fx.rgb_blocks(spark, sf, 512), path)
+    number = F.regexp_extract("image_id", r"^(\d+)\.png$", 1).cast("int")
+    colour = digest(scan_images(spark, path, "rgb", 32))
+    grey = digest(scan_images(spark, path, "grey", 32)).select("image_id", F.col("sum_v").alias("grey"))
+    return colour.join(grey, "image_id").withColumn("image_id", number).withColumnRenamed("image_id", "k")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tessella.checks import fixtures as fx
@@ -107,15 +109,15 @@ def tile_name(spark, sf):
 
 @check("cap_top", f"WITH {COVER} SELECT k, tile_y, tile_x, round(coverage, 6) AS coverage FROM ranked WHERE rn_top <= 6")
 def cap_top(spark, sf):
-    cover = mining.covered_tiles(usable_images(spark, sf), fx.class_blocks(spark, sf), fx.MINING, dtype="int8")
-    top = tiles.cap_per_image(cover, 6, "top_coverage", 222)
+    params = replace(fx.MINING, mode="top_coverage")
+    top = mining.capped_tiles(usable_images(spark, sf), fx.class_blocks(spark, sf), params, dtype="int8")
     return top.select(F.col("image_id").alias("k"), "tile_y", "tile_x", F.round("tile_mask_coverage", 6).alias("coverage"))
 
 
 @check("cap_random", f"WITH {COVER} SELECT k, tile_y, tile_x FROM ranked WHERE rn <= 6")
 def cap_random(spark, sf):
-    cover = mining.covered_tiles(usable_images(spark, sf), fx.class_blocks(spark, sf), fx.MINING, dtype="int8")
-    return tiles.cap_per_image(cover, 6, "random", 222).select(F.col("image_id").alias("k"), "tile_y", "tile_x")
+    capped = mining.capped_tiles(usable_images(spark, sf), fx.class_blocks(spark, sf), fx.MINING, dtype="int8")
+    return capped.select(F.col("image_id").alias("k"), "tile_y", "tile_x")
 
 
 @check("cap_global", f"""WITH {fx.SLIDES_SQL}, {POSITIONS} SELECT k, tile_y, tile_x FROM grid

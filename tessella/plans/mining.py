@@ -26,16 +26,20 @@ class Mining:
     total: int = 0
 
 
-def covered_tiles(images: DataFrame, mask_blocks: DataFrame, p: Mining, test=lambda a: a > 0, dtype="uint8") -> DataFrame:
-    """Tiles of usable images whose mask coverage lies in the band."""
+def capped_tiles(images: DataFrame, mask_blocks: DataFrame, p: Mining, test=lambda a: a > 0, dtype="uint8") -> DataFrame:
+    """Tiles of usable images whose mask coverage lies in the band, at most so many per image.
+
+    An image is usable as a whole or not at all, so the cap may come first; then only capped tiles meet the image table.
+    """
     cover = TL.mask_coverage(mask_blocks, p.size, p.stride, test, dtype, skip_zero=p.min_cover > 0)
-    return cover.where(F.col("tile_mask_coverage").between(p.min_cover, p.max_cover)).join(images, "image_id")
+    banded = cover.where(F.col("tile_mask_coverage").between(p.min_cover, p.max_cover))
+    return TL.cap_per_image(banded, p.per_image, p.mode, p.seed).join(images, "image_id")
 
 
 def selected_tiles(images: DataFrame, mask_blocks: DataFrame, rgb_blocks: DataFrame, p: Mining,
                    test=lambda a: a > 0, dtype="uint8") -> DataFrame:
     """Capped tiles with their white content (NULL when the white filter is off), before the filter."""
-    capped = TL.cap_per_image(covered_tiles(images, mask_blocks, p, test, dtype), p.per_image, p.mode, p.seed)
+    capped = capped_tiles(images, mask_blocks, p, test, dtype)
     if p.max_white >= 1.0:
         return capped.withColumn("tile_white_frac", F.lit(None).cast("double"))
     white = TL.white_content(rgb_blocks, p.size, p.stride, p.white_at)

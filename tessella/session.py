@@ -16,6 +16,11 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # Pixel blocks are large rows (256 x 256 x 3 bytes is about 200 kB): bound Arrow batches by bytes.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    # Plan-time estimates know nothing of pixel bytes (a binary column counts as 100 bytes), so no join side is broadcast
+    # on an estimate. Adaptive execution still turns a join into a broadcast join once the side's measured size is small.
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "32m")
     return spark
 
 
