@@ -9,6 +9,7 @@ from tessella.checks.registry import check, table
 from tessella.checks.roi import as_k
 from tessella.checks.stencils import weights_sql
 from tessella.operators import blocks, saliency
+from tessella.session import pin
 
 HEAT_SQL = """
 emb AS (SELECT vec_id AS id, CAST(v AS DOUBLE) AS v, (e - 1) // 16 AS ch, (e - 1) % 16 AS px FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS e FROM embeddings) q),
@@ -61,7 +62,7 @@ def heatmap_unpad(spark, sf):
   c AS (SELECT id, CASE WHEN CASE WHEN area < 0.16 THEN lo_area ELSE area END > 0.252 THEN hi WHEN area < 0.16 THEN lo ELSE q END AS cut FROM a)
   SELECT CAST(id AS INT) AS k, floor(cut * 1e6 + 0.501) / 1e6 AS cut, count(*) FILTER (v >= cut) AS n_on FROM up JOIN c USING (id) GROUP BY id, cut""")
 def quantile_mask(spark, sf):
-    heat = _heat(spark, sf)
+    heat = pin(_heat(spark, sf))  # read by the counts and by the cut
     cuts = saliency.mask_thresholds(saliency.value_counts(heat), 0.85, 0.16, 0.252)
     mask = saliency.cut_masks(heat, cuts, _frames(spark, sf), fx.BLOCK)
     on = blocks.digest(mask).select("image_id", (F.col("sum_v") / 255).cast("bigint").alias("n_on"))

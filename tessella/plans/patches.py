@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import boxes as bx
-from tessella.functions import naming, prompts, seeds
+from tessella.functions import seeds
 from tessella.operators import blend, quality, resample
 from tessella.operators.blocks import crop_tiles
+from tessella.session import pin
 
 # Descriptor of each coarse label in edit prompts, and of any other label
 EDIT_DESCRIPTORS = {
@@ -24,11 +25,12 @@ def source_inputs(tiles: DataFrame, image_blocks: DataFrame, mask_blocks: DataFr
     ``tiles``: ``image_id, tile_y, tile_x, tile_size, tile_w, tile_h``; masks share the image's frame.
     """
     keys = ["image_id", "tile_y", "tile_x"]
-    frames = image_blocks.select("image_id", "img_h", "img_w").groupBy("image_id").agg(F.max("img_h").alias("img_h"), F.max("img_w").alias("img_w"))
+    frames = image_blocks.groupBy("image_id").agg(F.max("img_h").alias("img_h"), F.max("img_w").alias("img_w"))
     box = bx.clamp_box(
         bx.crop_box(*[F.col(f"tile_{c}") for c in ("x", "y", "size", "w", "h")]), F.col("img_w"), F.col("img_h")
     )
-    boxed = tiles.join(frames, "image_id").withColumn("box", box).where("box IS NOT NULL").select(*keys, "box.*")
+    # coordinates only, and read by both crops: pinned once instead of mined twice
+    boxed = pin(tiles.join(frames, "image_id").withColumn("box", box).where("box IS NOT NULL").select(*keys, "box.*"))
 
     def load(source):
         crops = resample.as_images(crop_tiles(boxed, source, block, keys), keys)
