@@ -69,7 +69,7 @@ def reward_fold(spark, sf):
         F.col("o_custkey").alias("run"), F.col("cycle").cast("int").alias("cycle"), (F.col("o_totalprice") / 1e6).alias("score"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("checkpoint")
     )
     folded = curriculum.reward_fold(history, 0.01, 3, chunk=8)
-    return folded.drop("score", "checkpoint")
+    return folded.drop("score", "checkpoint", "global_best_cycle")
 
 
 @check("quarantine_split", """WITH d AS (SELECT o_orderkey AS k, concat('img', CAST(o_custkey % 50 AS VARCHAR), '.png') AS name, o_orderstatus = 'P' AS bad FROM orders)

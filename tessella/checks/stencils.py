@@ -161,6 +161,7 @@ def source_inputs(spark, sf):
 
     keys = ["image_id", "tile_y", "tile_x"]
     tiles = mined(spark, sf).select(*keys, "tile_size", "tile_w", "tile_h")
-    image, mask = load(tiles, fx.rgb_blocks(spark, sf), fx.mask_blocks(spark, sf), B, 16, 16)
+    frames = fx.slides(spark, sf).select(F.col("k").alias("image_id"), "w", "h")
+    image, mask = load(tiles, frames, fx.rgb_blocks(spark, sf), fx.mask_blocks(spark, sf), B, 16, 16)
     total = blocks.digest(mask, keys=keys).select(*keys, F.col("sum_v").alias("mask_sum"))
     return as_k(blocks.digest(image, keys=keys).join(total, keys))

@@ -135,27 +135,54 @@ def assemble(pieces: DataFrame, dtype=np.uint8, add: bool = False, keys: Sequenc
              finish: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Bring the pieces of each target window together: pasted, or summed when ``add`` is set.
 
-    A target is a bounded window (a block, or a block and its rim), so the group is bounded too.
+    One shuffle by target, then pieces stream in target order onto one canvas at a time, so a task holds a single
+    target however many pieces it has.  The order within a target is fixed, which keeps sums of floats repeatable.
     """
     keys = list(keys)
     geometry = ["by", "bx", "y0", "x0", "h", "w", "img_h", "img_w", "nch"]
-    grouped = pieces.groupBy(*keys, *geometry).agg(F.collect_list("piece").alias("pieces"))
-
-    def kernel(row):
-        shape = (row["h"], row["w"]) if row["nch"] == 1 else (row["h"], row["w"], row["nch"])
-        canvas = np.zeros(shape, dtype=dtype)
-        # a fixed order keeps sums of floats repeatable
-        for p in sorted(row["pieces"], key=lambda q: (q["y0"], q["x0"], q["h"], q["w"])):
-            part = np.frombuffer(p["data"], dtype=dtype).reshape((p["h"], p["w"]) + shape[2:])
-            ya, xa = p["y0"] - row["y0"], p["x0"] - row["x0"]
-            view = canvas[ya : ya + p["h"], xa : xa + p["w"]]
-            if add:
-                view += part
-            else:
-                view[...] = part
-        return {"data": [(finish(canvas) if finish else canvas).tobytes()]}
-
-    return map_blocks(grouped, kernel, "data binary", carry=[*keys, *geometry])
+    named = keys + geometry
+    ordered = pieces.repartition(*keys, "by", "bx").sortWithinPartitions(*named, "piece.y0", "piece.x0")
+    schema = T.StructType([pieces.schema[c] for c in named] + [T.StructField("data", T.BinaryType())])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        done: list[tuple] = []
+        size = 0
+        target, canvas = None, None
+
+        def pack():
+            columns = list(zip(*done))
+            return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, arrow)], schema=arrow)
+
+        def close():
+            return (*target, (finish(canvas) if finish else canvas).tobytes())
+
+        for batch in batches:
+            cols = batch.to_pydict()
+            for *at, p in zip(*[cols[c] for c in named], cols["piece"]):
+                if at != target:
+                    if target is not None:
+                        done.append(close())
+                        size += len(done[-1][-1])
+                        if size > FLUSH:
+                            yield pack()
+                            done, size = [], 0
+                    h, w, nch = at[-5], at[-4], at[-1]
+                    target, tail = at, () if nch == 1 else (nch,)
+                    canvas = np.zeros((h, w) + tail, dtype=dtype)
+                part = np.frombuffer(p["data"], dtype=dtype).reshape((p["h"], p["w"]) + tail)
+                ya, xa = p["y0"] - at[-7], p["x0"] - at[-6]
+                view = canvas[ya : ya + p["h"], xa : xa + p["w"]]
+                if add:
+                    view += part
+                else:
+                    view[...] = part
+        if target is not None:
+            done.append(close())
+        if done:
+            yield pack()
+
+    return ordered.mapInArrow(run, schema)
 
 
 def sum_pieces(dtype=np.float64):

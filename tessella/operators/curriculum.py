@@ -61,7 +61,7 @@ def reward_fold(history: DataFrame, epsilon: float, patience: int = 0, revert: b
     back = F.lit(revert) & F.col("_best").isNotNull() & (F.col("score") + epsilon < g)
     out = folded.select(
         "run", "cycle", "score", "checkpoint", F.coalesce("_hit", F.lit(False)).alias("improved_global_best"), g.alias("global_best"),
-        F.col("_best.checkpoint").alias("global_best_checkpoint"), (F.col("cycle") - F.coalesce("_best.cycle", F.lit(0))).cast("int").alias("no_improve"),
+        F.col("_best.checkpoint").alias("global_best_checkpoint"), F.col("_best.cycle").alias("global_best_cycle"), (F.col("cycle") - F.coalesce("_best.cycle", F.lit(0))).cast("int").alias("no_improve"),
         back.alias("reverted"), F.when(back, F.col("_best.checkpoint")).otherwise(F.col("checkpoint")).alias("next_start_checkpoint"),
     )
     if patience <= 0:
@@ -88,8 +88,12 @@ def _below(col: str, limit: float | None) -> Column:
     return F.lit(False) if limit is None else value.isNull() | (value < limit)
 
 
-def judge_rows(rows: DataFrame, rules: Rules) -> DataFrame:
-    """Scored rows with ``status`` (``kept`` or the rule that dropped them) and ``repeat``."""
+def judge_rows(rows: DataFrame, rules: Rules, generated: DataFrame | None = None, masks: DataFrame | None = None) -> DataFrame:
+    """Scored rows with ``status`` (``kept`` or the rule that dropped them) and ``repeat``.
+
+    With listings of the generated images (``generated_path``) and masks (``mask_path``), rows whose files are gone get
+    ``missing_file``.
+    """
     cross = F.col("prompt_mode") == "cross_class"
     own = labels.lookup(F.col("target_label"), dict(rules.target_repeat), rules.cross_repeat) if rules.target_repeat else F.lit(rules.cross_repeat)
     repeat = F.when(cross, F.greatest(F.lit(rules.cross_repeat), own)).otherwise(F.lit(rules.same_repeat))
@@ -100,12 +104,18 @@ def judge_rows(rows: DataFrame, rules: Rules) -> DataFrame:
         .when(repeat <= 0, "no_repeat")
         .otherwise("kept")
     )
-    return rows.withColumn("repeat", repeat).withColumn("status", status)
+    judged = rows.withColumn("repeat", repeat).withColumn("status", status)
+    for listing, key in ((generated, "generated_path"), (masks, "mask_path")):
+        if listing is not None:
+            there = listing.select(key).distinct().withColumn("_there", F.lit(True))
+            gone = (F.col("status") == "kept") & F.col("_there").isNull()
+            judged = judged.join(there, key, "left").withColumn("status", F.when(gone, "missing_file").otherwise(F.col("status"))).drop("_there")
+    return judged
 
 
-def curriculum_rows(rows: DataFrame, rules: Rules) -> DataFrame:
+def curriculum_rows(rows: DataFrame, rules: Rules, generated: DataFrame | None = None, masks: DataFrame | None = None) -> DataFrame:
     """Accepted rows repeated under ``..__r01``, ``..__r02``, ... names."""
-    kept = judge_rows(rows, rules).where(F.col("status") == "kept")
+    kept = judge_rows(rows, rules, generated, masks).where(F.col("status") == "kept")
     base = F.concat(F.col("prompt_mode"), F.lit("_"), naming.safe_name(F.col("source_key")), F.lit("__to__"), naming.safe_name(F.col("target_label")))
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeat")))).withColumn(
         "stem", F.concat(base, F.format_string("__r%02d", "copy"))

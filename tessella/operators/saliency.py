@@ -84,44 +84,45 @@ def value_counts(heat: DataFrame) -> DataFrame:
     return map_blocks(heat, kernel, "v double, n bigint").groupBy("image_id", "v").agg(F.sum("n").alias("n"))
 
 
-def exact_quantiles(counts: DataFrame, key: str, probs: Sequence[float], lo: float = 0.0, hi: float = 1.0,
-                    levels: Sequence[int] = (10, 20)) -> DataFrame:
+def exact_quantiles(counts: DataFrame, key: str, probs: Sequence[float], lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """Exact linear-interpolated quantiles ``(key, prob, q)`` of counted values ``(key, v, n)``, without ever sorting a
     whole group.
 
     Values fall into 1024 equal bins, the bins holding the wanted order statistics are split into 1024 finer ones,
-    and only the values of those are ranked; every window sees at most one bin.  The counts are read several times, so
-    they are pinned once.
+    and only the values of those are ranked; every window sees at most one bin.  The counts are read twice, so they are
+    pinned once.
     """
-    counts = pin(counts)
+
     def bin_of(bits):
         scaled = (F.col("v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(1 << bits))
         return F.least(F.floor(scaled), F.lit((1 << bits) - 1)).cast("bigint")
 
-    totals = counts.groupBy(key).agg(F.sum("n").alias("_total"))
-    wanted = totals.select(key, "_total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    def before(size, *group):
+        return F.sum(size).over(Window.partitionBy(*group).orderBy("_bin")) - F.col(size)
+
+    cells = pin(counts).withColumn("_bin", bin_of(10))
+    spans = (
+        cells.groupBy(key, "_bin").agg(F.sum("n").alias("_size"))
+        .withColumn("_before", before("_size", key)).withColumn("_total", F.sum("_size").over(Window.partitionBy(key)))
+    )
+    asked = spans.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     place = (F.col("_total") - 1) * F.col("prob")
-    wanted = wanted.select(
-        key, "prob", (place - F.floor(place)).alias("_frac"),
-        F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.floor(place).alias("at")), F.struct(F.lit("hi").alias("side"), F.ceil(place).alias("at")))).alias("_w"),
-    ).select(key, "prob", "_frac", "_w.*")
+    ends = F.array(F.struct(F.lit("lo").alias("side"), F.floor(place).alias("at")), F.struct(F.lit("hi").alias("side"), F.ceil(place).alias("at")))
     target = [key, "prob", "_frac", "side"]
-    cells = counts
-    for step, bits in enumerate(levels):
-        group = [key] if step == 0 else target
-        binned = cells.withColumn("_bin", bin_of(bits))
-        sizes = binned.groupBy(*group, "_bin").agg(F.sum("n").alias("_size"))
-        before = F.sum("_size").over(Window.partitionBy(*group).orderBy("_bin")) - F.col("_size")
-        spans = sizes.withColumn("_before", before)
-        hit = spans.join(wanted, group).where((F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_size")))
-        wanted = hit.select(*target, "_bin", (F.col("at") - F.col("_before")).alias("at"))
-        cells = binned.join(wanted.select(*target, "_bin"), [*group, "_bin"]).drop("_bin")
-        wanted = wanted.drop("_bin")
+    within = (F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_size"))
+    offset = (F.col("at") - F.col("_before")).alias("at")
+    coarse = asked.select("*", (place - F.floor(place)).alias("_frac"), F.explode(ends).alias("_e")).select("*", "_e.*").where(within)
+
+    cells = cells.join(coarse.select(*target, "_bin", offset), [key, "_bin"]).withColumn("_bin", bin_of(20))
+    spans = cells.groupBy(*target, "at", "_bin").agg(F.sum("n").alias("_size")).withColumn("_before", before("_size", *target))
+    fine = spans.where(within).select(*target, "_bin", offset)
+
     upto = F.sum("n").over(Window.partitionBy(*target).orderBy("v"))
-    ranked = cells.withColumn("_upto", upto).join(wanted, target)
+    ranked = cells.drop("at").join(fine, [*target, "_bin"]).withColumn("_upto", upto)
     found = ranked.where((F.col("at") < F.col("_upto")) & (F.col("at") >= F.col("_upto") - F.col("n")))
-    ends = found.groupBy(key, "prob", "_frac").agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("_a"), F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("_b"))
-    return ends.select(key, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")).alias("q"))
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("v")))
+    pairs = found.groupBy(key, "prob", "_frac").agg(side("lo").alias("_a"), side("hi").alias("_b"))
+    return pairs.select(key, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")).alias("q"))
 
 
 def mask_thresholds(counts: DataFrame, quantile: float = 0.85, min_area: float = 0.05, max_area: float = 0.5,

@@ -19,18 +19,18 @@ EDIT_DESCRIPTORS = {
 OTHER_DESCRIPTOR = "skin histology tissue pattern"
 
 
-def source_inputs(tiles: DataFrame, image_blocks: DataFrame, mask_blocks: DataFrame, block: int, height: int, width: int):
+def source_inputs(tiles: DataFrame, images: DataFrame, image_blocks: DataFrame, mask_blocks: DataFrame, block: int, height: int, width: int):
     """Image and mask of each tile, cropped to the clamped box and resized to the model's size.
 
-    ``tiles``: ``image_id, tile_y, tile_x, tile_size, tile_w, tile_h``; masks share the image's frame.
+    ``tiles``: ``image_id, tile_y, tile_x, tile_size, tile_w, tile_h``; ``images``: ``image_id, w, h``; masks share the
+    image's frame.
     """
     keys = ["image_id", "tile_y", "tile_x"]
-    frames = image_blocks.groupBy("image_id").agg(F.max("img_h").alias("img_h"), F.max("img_w").alias("img_w"))
     box = bx.clamp_box(
-        bx.crop_box(*[F.col(f"tile_{c}") for c in ("x", "y", "size", "w", "h")]), F.col("img_w"), F.col("img_h")
+        bx.crop_box(*[F.col(f"tile_{c}") for c in ("x", "y", "size", "w", "h")]), F.col("w"), F.col("h")
     )
     # coordinates only, and read by both crops: pinned once instead of mined twice
-    boxed = pin(tiles.join(frames, "image_id").withColumn("box", box).where("box IS NOT NULL").select(*keys, "box.*"))
+    boxed = pin(tiles.join(images.select("image_id", "w", "h"), "image_id").withColumn("box", box).where("box IS NOT NULL").select(*keys, "box.*"))
 
     def load(source):
         crops = resample.as_images(crop_tiles(boxed, source, block, keys), keys)

@@ -52,13 +52,13 @@ def expect_version(manifest: DataFrame, expected: int) -> DataFrame:
     return manifest.withColumn("version", F.when(ok, F.col("version")).otherwise(F.raise_error(message).cast("int")))
 
 
-def fetch_plan(files: DataFrame, existing: DataFrame) -> DataFrame:
+def fetch_plan(files: DataFrame, existing: DataFrame, skip_existing: bool = True) -> DataFrame:
     """Adds ``status``: ``missing_url``, ``skip`` (present, and size unknown or equal) or ``fetch``.
 
-    ``existing`` is a listing ``(filename, length)``.
+    ``existing`` is a listing ``(filename, length)``; without ``skip_existing`` everything with a URL is fetched.
     """
     present = existing.select("filename", F.col("length").alias("_length"))
-    same = F.col("_length").isNotNull() & ((F.col("size_bytes") <= 0) | (F.col("_length") == F.col("size_bytes")))
+    same = F.lit(skip_existing) & F.col("_length").isNotNull() & ((F.col("size_bytes") <= 0) | (F.col("_length") == F.col("size_bytes")))
     no_url = F.coalesce(F.col("download_url"), F.lit("")) == ""
     return (
         files.join(present, "filename", "left")
