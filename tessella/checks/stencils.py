@@ -10,6 +10,7 @@ from tessella.checks.registry import check
 from tessella.checks.roi import as_k, digest_sql
 from tessella.checks.tiles import COVER, T, mined
 from tessella.operators import blend, blocks, masks, resample
+from tessella.session import pin
 
 B = fx.BLOCK
 MASK_SQL = fx.PIXELS_SQL + ", mask AS (SELECT k, x, y, w, h, CASE WHEN cid > 0 THEN 255 ELSE 0 END AS v FROM pixels)"
@@ -52,7 +53,7 @@ def resize_bilinear(spark, sf):
   d AS ({digest_sql('placed')}), m AS (SELECT k, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM placed GROUP BY k)
   SELECT d.k, CAST(3072 AS BIGINT) AS n_values, d.sum_v, d.pos_sum, round((r / 1024.0::DOUBLE / 255 - 0.485::DOUBLE) / 0.229::DOUBLE, 5) AS mean_r, round((g / 1024.0::DOUBLE / 255 - 0.456::DOUBLE) / 0.224::DOUBLE, 5) AS mean_g, round((b / 1024.0::DOUBLE / 255 - 0.406::DOUBLE) / 0.225::DOUBLE, 5) AS mean_b FROM d JOIN m USING (k)""")
 def letterbox(spark, sf):
-    boxed = resample.letterbox(fx.rgb_blocks(spark, sf), B, 32)
+    boxed = pin(resample.letterbox(fx.rgb_blocks(spark, sf), B, 32))  # read twice
 
     def means(b):
         total = blocks.pixels(b, np.float64).sum(axis=(0, 1))

@@ -50,8 +50,9 @@ CATEGORY_TOKENS = {
     "Doenças potencialmente malignas": "opmd",
     "Outras": "benign_lesion",
 }
-# White space as Unicode text handling sees it
+# White space as Unicode text handling sees it: as a pattern range and as characters
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def literal_map(pairs: Mapping) -> Column:
@@ -96,9 +97,13 @@ def _accent_table() -> tuple[str, str]:
 
 def normalise_category(text: Column) -> Column:
     """Trim, drop accents and other non-ASCII characters, lower-case, collapse white space."""
-    trimmed = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$(?![\\s\\S])", "")
-    ascii_only = F.regexp_replace(F.translate(trimmed, *_accent_table()), r"[^\x00-\x7F]", "")
-    return F.regexp_replace(F.lower(ascii_only), r"[\t-\r\x1c-\x20]+", " ")
+    trimmed = F.trim(text, F.lit(SPACES))
+    # one byte per character means there is nothing to translate
+    flat = F.when(F.octet_length(trimmed) == F.char_length(trimmed), trimmed).otherwise(
+        F.regexp_replace(F.translate(trimmed, *_accent_table()), r"[^\x00-\x7F]", "")
+    )
+    # single blanks are left alone: only runs that change are matched
+    return F.regexp_replace(F.lower(flat), r"[\t-\r\x1c-\x1f][\t-\r\x1c-\x20]*| [\t-\r\x1c-\x20]+", " ")
 
 
 def label_token(category: Column, table: Mapping[str, str], known: Sequence[str], default: str = "benign_lesion") -> Column:

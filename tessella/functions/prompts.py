@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.labels import SPACE, lookup
+from tessella.functions.labels import SPACE, SPACES, lookup
 from tessella.functions.naming import name_stem
 
 LABEL_IN_TEXT = r"(?i)(?:diagnosis|tissue\s*pattern):\s*([A-Za-z0-9_]+)"
@@ -26,7 +26,7 @@ def render(template: Column | str, token: Column, descriptors: Mapping[str, str]
 def caption_token(text: Column, default: str = "benign_lesion") -> Column:
     """Label named in a caption, else its last word, else the default."""
     named = F.regexp_extract(text, LABEL_IN_TEXT, 1)
-    last = F.regexp_extract(text, f"([^{SPACE}]+)[{SPACE}]*\\z", 1)
+    last = F.regexp_extract(F.rtrim(text, F.lit(SPACES)), f"(?s)(?:^|.*[{SPACE}])([^{SPACE}]+)\\z", 1)
     return F.coalesce(F.nullif(named, F.lit("")), F.nullif(last, F.lit("")), F.lit(default))
 
 

@@ -23,35 +23,42 @@ class Limits:
     min_similarity: float = 0.9
 
 
+ROI, DRIFT, SEAM, HIST = 0, 1, 2, 3  # counter items; HIST + c for the three channels
+
+
 def edit_counters(original: DataFrame, edited: DataFrame, boxes: DataFrame, block: int, changed: float = 10.0, edge: int = 8) -> DataFrame:
     """Additive counters per image from one pass over aligned blocks: ``(image_id, item, bin, a, b)``.
 
-    ``roi``: changed pixels and all pixels of the box; ``drift``: absolute difference and values outside;
-    ``seam``: the same on the two checked half-edges; ``hist0..2``: pixels per bin before and after, outside.
+    ``ROI``: changed pixels and all pixels of the box; ``DRIFT``: absolute difference and values outside; ``SEAM``: the
+    same on the two checked half-edges; ``HIST + c``: pixels per bin before and after, outside.
     """
     key = ["image_id", "by", "bx"]
     window = spread_over_blocks(boxes, block)
     met = original.join(edited.select(*key, F.col("data").alias("edit")), key).join(window.drop("img_h", "img_w"), key)
 
     def kernel(b):
-        before, after = pixels(b).astype(np.int64), pixels(b, data="edit").astype(np.int64)
+        before, after = pixels(b).astype(np.int32), pixels(b, data="edit").astype(np.int32)
         diff = np.abs(before - after).sum(axis=2)
         ys, xs = np.arange(b["y0"], b["y0"] + b["h"]), np.arange(b["x0"], b["x0"] + b["w"])
         inside = ((ys >= b["y0b"]) & (ys < b["y1b"]))[:, None] & ((xs >= b["x0b"]) & (xs < b["x1b"]))[None, :]
-        rows = [("roi", 0, int((diff[inside] > 3 * changed).sum()), int(inside.sum())),
-                ("drift", 0, int(diff[~inside].sum()), 3 * int((~inside).sum()))]
+        n_in = int(inside.sum())
+        roi = diff[inside]
+        item, bins = [ROI, DRIFT], [0, 0]
+        a, v = [int((roi > 3 * changed).sum()), int(diff.sum() - roi.sum())], [n_in, 3 * (diff.size - n_in)]
         for y, x in ((b["y0b"], b["x0b"]), (b["y1b"], b["x1b"] - 1)):
-            near = (ys >= y - edge) & (ys < y + edge)
-            col = diff[np.ix_(near, xs == x)]
-            rows.append(("seam", 0, int(col.sum()), 3 * col.size))
-        for c in range(3):
-            n_a = np.bincount(np.minimum(BINS - 1, before[:, :, c][~inside] * BINS // 255), minlength=BINS)
-            n_b = np.bincount(np.minimum(BINS - 1, after[:, :, c][~inside] * BINS // 255), minlength=BINS)
-            rows += [(f"hist{c}", int(i), int(n_a[i]), int(n_b[i])) for i in np.flatnonzero(n_a + n_b)]
-        item, bin_, a, v = zip(*rows)
-        return {"item": list(item), "bin": list(bin_), "a": list(a), "b": list(v)}
-
-    shares = map_blocks(met, kernel, "item string, bin int, a bigint, b bigint")
+            if b["x0"] <= x < b["x0"] + b["w"]:
+                col = diff[(ys >= y - edge) & (ys < y + edge), x - b["x0"]]
+                item, bins, a, v = [*item, SEAM], [*bins, 0], [*a, int(col.sum())], [*v, 3 * col.size]
+        out = ~inside
+        shift = np.arange(3) * BINS
+        n_a, n_b = (np.bincount((np.minimum(BINS - 1, p[out] * BINS // 255) + shift).ravel(), minlength=3 * BINS) for p in (before, after))
+        some = np.flatnonzero(n_a + n_b)
+        return {
+            "item": np.concatenate([item, HIST + some // BINS]).astype(np.int32), "bin": np.concatenate([bins, some % BINS]).astype(np.int32),
+            "a": np.concatenate([a, n_a[some]]).astype(np.int64), "b": np.concatenate([v, n_b[some]]).astype(np.int64),
+        }
+
+    shares = map_blocks(met, kernel, "item int, bin int, a bigint, b bigint")
     return shares.groupBy("image_id", "item", "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
@@ -66,16 +73,13 @@ def edit_metrics(counters: DataFrame) -> DataFrame:
     )
     spread = F.sqrt((BINS * F.col("aa") - F.col("a") * F.col("a")) * (BINS * F.col("bb") - F.col("b") * F.col("b")))
     r = F.try_divide(BINS * F.col("ab") - F.col("a") * F.col("b"), spread)
-    kind = F.col("item")
-    pick = lambda name, value: F.max(F.when(kind == name, value))
-    flat = F.count_if(kind.startswith("hist") & r.isNull()) > 0
+    item, hist = F.col("item"), F.col("item") >= HIST
+    pick = lambda code, value: F.max(F.when(item == code, value))
     return items.groupBy("image_id").agg(
-        F.coalesce(pick("roi", F.try_divide("a", "b")), F.lit(0.0)).alias("mask_coverage"),
-        pick("drift", F.try_divide("a", "b")).alias("non_roi_drift"),
-        F.coalesce(pick("seam", F.try_divide("a", "b")), F.lit(0.0)).alias("seam_quality"),
-        F.when(F.count_if(kind.startswith("hist")) == 0, 1.0)
-        .when(~flat, F.avg(F.when(kind.startswith("hist"), r)))
-        .alias("histogram_similarity"),
+        F.coalesce(pick(ROI, F.try_divide("a", "b")), F.lit(0.0)).alias("mask_coverage"),
+        pick(DRIFT, F.try_divide("a", "b")).alias("non_roi_drift"),
+        F.coalesce(pick(SEAM, F.try_divide("a", "b")), F.lit(0.0)).alias("seam_quality"),
+        F.when(F.count_if(hist) == 0, 1.0).when(F.count_if(hist & r.isNull()) == 0, F.avg(F.when(hist, r))).alias("histogram_similarity"),
     )
 
 
