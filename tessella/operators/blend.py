@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.blocks import BLOCK_FIELDS, PIECE_FIELDS, assemble, block_row, map_blocks, piece_rows, pixels, spread_over_blocks, sum_pieces
 from tessella.operators.masks import gauss
-from tessella.operators.resample import _spread, axis_weights, to_levels
+from tessella.operators.resample import _spread, axis_weights, to_levels, weigh
 
 
 def axis_profile(n: int, lo: int, hi: int, radius: int, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -55,8 +55,7 @@ def place_patches(patches: DataFrame, boxes: DataFrame, block: int) -> DataFrame
         out_h, out_w = b["y1b"] - b["y0b"], b["x1b"] - b["x0b"]
         iy, wy = axis_weights(b["img_h"], out_h, b["y0"], b["y0"] + b["h"])
         ix, wx = axis_weights(b["img_w"], out_w, b["x0"], b["x0"] + b["w"])
-        arr = pixels(b).reshape(b["h"], b["w"], b["nch"]).astype(np.float64)
-        out = np.einsum("ij,jkc,lk->ilc", wy, arr, wx, optimize=True)
+        out = weigh(pixels(b), wy, wx)
         return piece_rows(*_spread(out, iy + b["y0b"], ix + b["x0b"], (b["fh"], b["fw"]), block, b["nch"]))
 
     return assemble(map_blocks(placed, kernel, PIECE_FIELDS, merge=sum_pieces()), np.float64, add=True, finish=to_levels)

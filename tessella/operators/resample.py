@@ -45,6 +45,16 @@ def axis_weights(n_in: int, n_out: int, j0: int, j1: int, filt: str = "triangle"
     return lo, own / full.sum(axis=1, keepdims=True)
 
 
+def weigh(arr: np.ndarray, wy: np.ndarray, wx: np.ndarray) -> np.ndarray:
+    """Apply row and column weights as two matrix products, the one that shrinks more first."""
+    planes = np.atleast_3d(arr).astype(np.float64).transpose(2, 0, 1)
+    if wy.shape[0] * wx.shape[1] <= wy.shape[1] * wx.shape[0]:
+        out = (wy @ planes) @ wx.T
+    else:
+        out = wy @ (planes @ wx.T)
+    return out[0] if arr.ndim == 2 else np.ascontiguousarray(out.transpose(1, 2, 0))
+
+
 def nearest_source(n_in: int, n_out: int) -> np.ndarray:
     """Source cell of each output cell."""
     return ((2 * np.arange(n_out) + 1) * n_in) // (2 * n_out)
@@ -93,9 +103,7 @@ def resize_linear(blocks: DataFrame, block: int, size: Callable[[dict], tuple[in
         top, left, canvas_h, canvas_w = place(b) if place else (0, 0, out_h, out_w)
         iy, wy = axis_weights(b["img_h"], out_h, b["y0"], b["y0"] + b["h"], filt, antialias)
         ix, wx = axis_weights(b["img_w"], out_w, b["x0"], b["x0"] + b["w"], filt, antialias)
-        arr = pixels(b, dtype).reshape(b["h"], b["w"], b["nch"]).astype(np.float64)
-        out = np.einsum("ij,jkc,lk->ilc", wy, arr, wx, optimize=True)
-        out = out[:, :, 0] if b["nch"] == 1 else out
+        out = weigh(pixels(b, dtype), wy, wx)
         targets, parts = _spread(out, iy + top, ix + left, (canvas_h, canvas_w), block, b["nch"])
         if place and b["by"] == 0 and b["bx"] == 0:
             # one empty piece per canvas block, so that blocks made of padding only exist too

@@ -308,4 +308,5 @@ def test_image_scan_puts_channels_in_order(spark, tmp_path):
     for r in df.collect():
         assert np.array_equal(np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, 3), src[0][r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w])
     assert [tuple(r) for r in image_sizes(df).collect()] == [("one.png", 13, 9)]
+    assert scan_images(spark, str(tmp_path), "grey", 8, "*.png", "stem").select("image_id", "nch").distinct().collect() == [("one", 1)]
     assert {r.filename for r in list_folder(spark, str(tmp_path)).collect()} == {"one.png", "note.txt"}
