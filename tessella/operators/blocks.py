@@ -121,6 +121,13 @@ def piece(y0: int, x0: int, part: np.ndarray) -> dict:
     return {"y0": int(y0), "x0": int(x0), "h": part.shape[0], "w": part.shape[1], "data": part.tobytes()}
 
 
+def piece_values(p: dict, tail: tuple, dtype) -> np.ndarray:
+    """Values of a piece; additive pieces that are final already come as bytes instead of ``dtype``."""
+    shape = (p["h"], p["w"]) + tail
+    small = len(p["data"]) == int(np.prod(shape))
+    return np.frombuffer(p["data"], dtype=np.uint8 if small and np.dtype(dtype).itemsize > 1 else dtype).reshape(shape)
+
+
 def piece_rows(targets: list[tuple], pieces: list[dict]) -> dict | None:
     """Kernel result for pieces; a target is ``(by, bx, y0, x0, h, w, img_h, img_w, nch)``."""
     if not targets:
@@ -170,7 +177,7 @@ def assemble(pieces: DataFrame, dtype=np.uint8, add: bool = False, keys: Sequenc
                     h, w, nch = at[-5], at[-4], at[-1]
                     target, tail = at, () if nch == 1 else (nch,)
                     canvas = np.zeros((h, w) + tail, dtype=dtype)
-                part = np.frombuffer(p["data"], dtype=dtype).reshape((p["h"], p["w"]) + tail)
+                part = piece_values(p, tail, dtype)
                 ya, xa = p["y0"] - at[-7], p["x0"] - at[-6]
                 view = canvas[ya : ya + p["h"], xa : xa + p["w"]]
                 if add:
@@ -186,15 +193,18 @@ def assemble(pieces: DataFrame, dtype=np.uint8, add: bool = False, keys: Sequenc
 
 
 def sum_pieces(dtype=np.float64):
-    """Map-side combine of additive pieces: those of one batch with the same target become one piece."""
+    """Map-side combine of additive pieces: unfinished ones of one batch with the same target become one piece."""
     target = ["by", "bx", "y0", "x0", "h", "w", "img_h", "img_w", "nch"]
 
     def merge(held):
         groups: dict = {}
-        for keys, got in held:
-            for at in zip(*[got[t] for t in target], got["piece"]):
-                groups.setdefault((keys, at[:-1]), []).append(at[-1])
         out = []
+        for keys, got in held:
+            for *at, p in zip(*[got[t] for t in target], got["piece"]):
+                if len(p["data"]) > p["h"] * p["w"] * at[-1]:
+                    groups.setdefault((keys, tuple(at)), []).append(p)
+                else:
+                    out.append((keys, piece_rows([tuple(at)], [p])))
         for (keys, at), parts in groups.items():
             if len(parts) > 1:
                 y0, x0 = min(p["y0"] for p in parts), min(p["x0"] for p in parts)
@@ -202,9 +212,7 @@ def sum_pieces(dtype=np.float64):
                 tail = () if at[-1] == 1 else (at[-1],)
                 total = np.zeros((y1 - y0, x1 - x0) + tail, dtype=dtype)
                 for p in parts:
-                    total[p["y0"] - y0 : p["y0"] - y0 + p["h"], p["x0"] - x0 : p["x0"] - x0 + p["w"]] += np.frombuffer(
-                        p["data"], dtype=dtype
-                    ).reshape((p["h"], p["w"]) + tail)
+                    total[p["y0"] - y0 : p["y0"] - y0 + p["h"], p["x0"] - x0 : p["x0"] - x0 + p["w"]] += piece_values(p, tail, dtype)
                 parts = [piece(y0, x0, total)]
             out.append((keys, piece_rows([at], parts)))
         return out

@@ -45,6 +45,16 @@ def axis_weights(n_in: int, n_out: int, j0: int, j1: int, filt: str = "triangle"
     return lo, own / full.sum(axis=1, keepdims=True)
 
 
+def whole_cells(n_in: int, n_out: int, j0: int, j1: int, first: int, count: int, filt: str = "triangle", antialias: bool = True) -> tuple[int, int]:
+    """The run of output cells (relative to ``first``) that draw on source cells ``[j0, j1)`` alone."""
+    step = n_in / n_out
+    support = FILTERS[filt][0] * (max(step, 1.0) if antialias else 1.0)
+    centre = (np.arange(first, first + count) + 0.5) * step
+    inside = (np.maximum(0, np.floor(centre - support)) >= j0) & (np.minimum(n_in, np.ceil(centre + support)) <= j1)
+    at = np.flatnonzero(inside)
+    return (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
+
+
 def weigh(arr: np.ndarray, wy: np.ndarray, wx: np.ndarray) -> np.ndarray:
     """Apply row and column weights as two matrix products, the one that shrinks more first."""
     planes = np.atleast_3d(arr).astype(np.float64).transpose(2, 0, 1)
@@ -104,7 +114,18 @@ def resize_linear(blocks: DataFrame, block: int, size: Callable[[dict], tuple[in
         iy, wy = axis_weights(b["img_h"], out_h, b["y0"], b["y0"] + b["h"], filt, antialias)
         ix, wx = axis_weights(b["img_w"], out_w, b["x0"], b["x0"] + b["w"], filt, antialias)
         out = weigh(pixels(b, dtype), wy, wx)
-        targets, parts = _spread(out, iy + top, ix + left, (canvas_h, canvas_w), block, b["nch"])
+        areas = [(0, 0, out)]
+        if finish is to_levels:
+            # cells no other block adds to are final: they travel as bytes, only the border as unfinished sums
+            ya, yb = whole_cells(b["img_h"], out_h, b["y0"], b["y0"] + b["h"], iy, len(wy), filt, antialias)
+            xa, xb = whole_cells(b["img_w"], out_w, b["x0"], b["x0"] + b["w"], ix, len(wx), filt, antialias)
+            if ya < yb and xa < xb:
+                areas = [(ya, xa, to_levels(out[ya:yb, xa:xb])), (0, 0, out[:ya]), (yb, 0, out[yb:]), (ya, 0, out[ya:yb, :xa]), (ya, xb, out[ya:yb, xb:])]
+        targets, parts = [], []
+        for dy, dx, area in areas:
+            if area.size:
+                some, cut = _spread(area, iy + top + dy, ix + left + dx, (canvas_h, canvas_w), block, b["nch"])
+                targets, parts = targets + some, parts + cut
         if place and b["by"] == 0 and b["bx"] == 0:
             # one empty piece per canvas block, so that blocks made of padding only exist too
             for by, bx, ty0, tx0, ty1, tx1 in grid_targets(canvas_h, canvas_w, block, 0, 0, canvas_h, canvas_w):
