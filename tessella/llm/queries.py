@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import quality, rules, toxicity
+from tessella.llm import packing, quality, rules, substrings, toxicity
 from tessella.llm.tables import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,19 @@ def query(fn):
     return fn
 
 
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1,024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+
+
+@query
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words that a document with a smaller id has as well, removed from all documents."""
+    found = substrings.remove_repeated_windows(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", substrings.digest("kept_text").alias("kept_sha256"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside fold 0 of 5."""
