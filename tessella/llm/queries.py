@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import minhash, packing, quality, rules, substrings, toxicity
+from tessella.llm import lines, minhash, mixing, packing, quality, rules, substrings, toxicity
 from tessella.llm.tables import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), quality.fold("doc_id", 4) == 2
     labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
     return quality.classify(docs, labels).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probabilities of all documents after raking to smoothed shares of source, language and topic."""
+    topics = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), topics)
+
+
+@query
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand earlier in the corpus, up to one edit."""
+    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), substrings.digest("text").alias("kept_sha256"))
+
+
+ORACLE["op7_mixing"] = mixing.mixing_sql()
+ORACLE["op8_lines"] = lines.LINES_SQL
