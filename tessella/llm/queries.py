@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import lines, minhash, mixing, packing, quality, rules, substrings, toxicity
+from tessella.llm import lines, minhash, mixing, neighbours, packing, quality, rules, substrings, toxicity
 from tessella.llm.tables import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
+@query
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product for every 20th vector, among all."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a document with a smaller id has as well, removed from all documents."""
