@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import lines, minhash, mixing, neighbours, packing, quality, rules, substrings, toxicity
+from tessella.llm import lines, minhash, mixing, neighbours, packing, quality, rules, substrings, suffixes, toxicity
 from tessella.llm.tables import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,13 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that start more than once, removed from all documents."""
+    found = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and risk-controlled cutoffs for every document."""

@@ -20,66 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import packed
 from tessella.llm.tables import partitions, small, texts, written
 from tessella.llm.words import chunks, hash_words, split_words, windows
 
 WINDOW = 13
 BUFFER = 2_000_000  # windows settled together before they are dealt
-BUCKETS = 4  # buckets for each shuffle partition of the session
-
-_PACKED = "bucket int, docs binary, counts binary, places binary, hashes binary"
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, all lowest bytes first: small numbers leave runs of zeros, which compress."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplanes(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def _pack(doc: np.ndarray, place: np.ndarray, hashes: np.ndarray | None = None) -> tuple[bytes, bytes, bytes, bytes | None]:
-    """Entries sorted by document and place, with places as steps within a document."""
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    step = np.diff(place, prepend=0)
-    step[cut] = place[cut]
-    counts = np.diff(np.append(cut, len(doc)))
-    return doc[cut].astype("<i8").tobytes(), _planes(counts), _planes(step), None if hashes is None else hashes.astype("<u8").tobytes()
-
-
-def _unpack(docs: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
-    counts, step = _unplanes(counts), _unplanes(places)
-    first = np.cumsum(counts) - counts
-    total = np.cumsum(step)
-    base = np.where(first > 0, total[first - 1], 0) if len(first) else first
-    return np.repeat(np.frombuffer(docs, "<i8"), counts), total - np.repeat(base, counts)
-
-
-def _unpack_all(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, places and hashes of all rows of a bucket."""
-    doc, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    hashes = [np.zeros(0, np.uint64)]
-    for d, c, p, h in zip(*(part[x] for x in ("docs", "counts", "places", "hashes"))):
-        one, two = _unpack(d.as_buffer(), c.as_buffer(), p.as_buffer())
-        doc.append(one), place.append(two)
-        if h.is_valid:
-            hashes.append(np.frombuffer(h.as_buffer(), "<u8"))
-    return np.concatenate(doc), np.concatenate(place), np.concatenate(hashes)
-
-
-def _rows(buckets: np.ndarray, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray | None, sign: int) -> Iterator[pa.RecordBatch]:
-    """One packed row for each bucket; marks go to negative buckets."""
-    order = np.lexsort((place, doc, buckets))
-    buckets, doc, place = buckets[order], doc[order], place[order]
-    hashes = None if hashes is None else hashes[order]
-    cut = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(buckets) else []
-    out = []
-    for a, b in zip(cut, [*cut[1:], len(buckets)]):
-        out.append((sign * int(buckets[a]) - (sign < 0), *_pack(doc[a:b], place[a:b], None if hashes is None else hashes[a:b])))
-    if out:
-        kinds = [pa.int32(), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["bucket", "docs", "counts", "places", "hashes"])
 
 
 def _beaten(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -93,18 +39,13 @@ def _beaten(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spread(doc: np.ndarray, buckets: int) -> np.ndarray:
-    """The share of marks a document belongs to."""
-    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-
-
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Maximal runs of words to remove: ``doc_id, starts, stops`` (arrays), one row per document that has any.
 
     docs: ``doc_id`` and ``text``. Rows without a ``doc_id`` have no order among the others and take no part.
     """
     spark = docs.sparkSession
-    buckets = BUCKETS * partitions(spark)
+    buckets = packed.BUCKETS * partitions(spark)
 
     def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -113,10 +54,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             hashes, doc, place = (np.concatenate(c) for c in zip(*held))
             held.clear()
             marked = _beaten(hashes, doc)
-            yield from _rows(_spread(doc[marked], buckets), doc[marked], place[marked], None, -1)
-            left = ~marked
-            hashes, doc, place = hashes[left], doc[left], place[left]
-            yield from _rows(((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), doc, place, hashes, 1)
+            yield from packed.pack(packed.by_document(doc[marked], buckets), doc[marked], place[marked])
+            hashes, doc, place = hashes[~marked], doc[~marked], place[~marked]
+            yield from packed.pack(packed.by_hash(hashes, buckets), doc, place, hashes[None])
 
         for batch in batches:
             for chunk in chunks(batch.column("text")):
@@ -132,28 +72,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def mark(part: pa.Table) -> pa.Table:
         if part["bucket"][0].as_py() < 0:  # marks made before, already at their place
             return part
-        doc, place, hashes = _unpack_all(part)
-        marked = _beaten(hashes, doc)
+        doc, place, hashes = packed.unpack(part)
+        marked = _beaten(hashes[0], doc)
         doc, place = doc[marked], place[marked]
-        return pa.Table.from_batches(_rows(_spread(doc, buckets), doc, place, None, -1), schema=part.schema)
+        return packed.table(packed.pack(packed.by_document(doc, buckets), doc, place))
 
     def merge(part: pa.Table) -> pa.Table:
-        doc, place, _ = _unpack_all(part)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        apart = np.append(True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + window)) if len(doc) else np.zeros(0, bool)
-        first = np.flatnonzero(apart)
-        last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-        of, start, stop = doc[first], place[first], place[last] + window
-        cut = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        offsets = pa.array(np.append(cut, len(of)), pa.int32())
-        return pa.table({
-            "doc_id": of[cut], "starts": pa.ListArray.from_arrays(offsets, pa.array(start, pa.int64())), "stops": pa.ListArray.from_arrays(offsets, pa.array(stop, pa.int64())),
-        })
-
-    hashed = texts(docs).where("doc_id IS NOT NULL").mapInArrow(hash_windows, _PACKED)
-    marks = hashed.groupBy("bucket").applyInArrow(mark, _PACKED)
-    return marks.groupBy("bucket").applyInArrow(merge, "doc_id long, starts array<long>, stops array<long>")
+        doc, place, _ = packed.unpack(part)
+        return packed.runs(doc, place, place + window)
+
+    hashed = texts(docs).where("doc_id IS NOT NULL").mapInArrow(hash_windows, packed.SCHEMA)
+    marks = hashed.groupBy("bucket").applyInArrow(mark, packed.SCHEMA)
+    return marks.groupBy("bucket").applyInArrow(merge, packed.RUNS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
