@@ -186,3 +186,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     out = sketch.drop("bands").join(named, kind, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those documents that belong to the class of a smaller ``doc_id``.
+
+    A ``doc_id`` leaves if none of its rows is kept.
+    """
+    found = written(near_duplicates(docs, percent), "classes")
+    gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("kept")).where("NOT kept").drop("kept")
+    gone = small(written(gone, "copies"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -68,8 +68,18 @@ def mix_documents(docs: DataFrame, topics: DataFrame | None = None, budget: floa
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     rates = small(written(rake(cells, budget, rounds, temperature), "rates"))
     out = rows.join(rates, list(MARGINS), "left").withColumn("probability", F.coalesce("probability", F.lit(budget)))
-    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return out.select("doc_id", *MARGINS, "n_tokens", "probability", (draw(number, seed) < F.col("probability")).alias("sampled"))
+    return out.select("doc_id", *MARGINS, "n_tokens", "probability", (_draw_of("doc_id", seed) < F.col("probability")).alias("sampled"))
+
+
+def _draw_of(key: str, seed: int) -> Column:
+    return draw(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
+
+
+def sampled_documents(docs: DataFrame, topics: DataFrame | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """The sampled rows of ``docs`` with all their columns, by ``mix_documents``. What isn't sampled leaves by its id."""
+    mixed = written(mix_documents(docs, topics, budget, rounds, temperature, seed), "mixed")
+    gone = small(written(mixed.where("NOT sampled").select(F.col("doc_id").alias("__gone")).distinct(), "unsampled"))
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def mixing_sql(budget: float = BUDGET, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED) -> str:

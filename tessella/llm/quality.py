@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.forest import Forest, train
-from tessella.llm.statistics import COUNTS, count_documents
+from tessella.llm.statistics import COUNTS, count_chunk, count_documents
 from tessella.llm.tables import written
+from tessella.llm.words import chunks
 
 #: Most labelled rows the trees are fitted on.
 SAMPLE = 40_000
@@ -79,3 +80,25 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     stats = written(count_documents(docs), "quality-stats")
     scored = score_statistics(stats, fit(stats, labels, sample))
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold; each row is scored by its own text.
+
+    The trees are fitted on the statistics of the sampled rows alone, whose ids (``sample`` at most) are broadcast; then one pass over
+    all texts scores and filters, and nothing is shuffled.
+    """
+    known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    forest = fit(count_documents(wanted), chosen, sample)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text")
+            for chunk in chunks(text.cast(pa.large_string())):
+                counts = count_chunk(chunk)
+                table = pa.RecordBatch.from_arrays([pa.array(counts[c]) for c in COUNTS], COUNTS)
+                yield batch.slice(chunk.first, len(chunk)).filter(pa.array(forest.score(_features(table)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
