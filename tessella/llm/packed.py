@@ -12,7 +12,7 @@ import pyarrow as pa
 
 SCHEMA = "bucket int, docs binary, counts binary, places binary, hashes binary"
 NAMES = ["bucket", "docs", "counts", "places", "hashes"]
-BUCKETS = 4  # buckets for each shuffle partition of the session
+BUCKETS = 2  # buckets for each shuffle partition of the session; there are as many shares as partitions, since every bucket may answer every share
 
 
 def _planes(values: np.ndarray) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import lines, minhash, mixing, neighbours, packing, quality, rules, substrings, suffixes, toxicity
+from tessella.llm import lines, minhash, mixing, neighbours, packing, quality, rules, sql, substrings, suffixes, toxicity
 from tessella.llm.tables import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,7 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op7_mixing"] = mixing.mixing_sql()
 ORACLE["op8_lines"] = lines.LINES_SQL
+ORACLE["op3_substrings"] = sql.SUBSTRINGS
+ORACLE["op5_minhash"] = sql.MINHASH
+ORACLE["op6_suffixes"] = sql.SUFFIXES
+ORACLE["op9_quality_rules"] = sql.quality_rules()

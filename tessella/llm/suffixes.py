@@ -135,10 +135,14 @@ def repeated_runs(docs: DataFrame, depth: int = DEPTH, step: int = STEP, gram: i
     Marks and questions travel as packed rows by document: a place times four, plus 0 for a repeated window, 1 for a block that is
     repeated as a whole, 2 for a block whose windows are to be sorted.
     """
-    buckets = packed.BUCKETS * partitions(docs.sparkSession)
+    shares = partitions(docs.sparkSession)
+    buckets = packed.BUCKETS * shares
 
-    def say(doc: np.ndarray, place: np.ndarray, what: int) -> Iterator[pa.RecordBatch]:
-        return packed.pack(packed.by_document(doc, buckets), doc, place * 4 + what)
+    def say(doc: np.ndarray, place: np.ndarray, **what: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes = {"window": 0, "block": 1, "question": 2}
+        told = np.concatenate([place[which] * 4 + codes[name] for name, which in what.items()])
+        doc = np.concatenate([doc[which] for which in what.values()])
+        return packed.pack(packed.by_document(doc, shares), doc, told)
 
     def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -147,8 +151,7 @@ def repeated_runs(docs: DataFrame, depth: int = DEPTH, step: int = STEP, gram: i
             first, whole, doc, place = (np.concatenate(c) for c in zip(*held))
             held.clear()
             repeated, asked, state = _settle_blocks(first, whole, doc, place, np.zeros(len(first), np.int64))
-            yield from say(doc[repeated], place[repeated], 1)
-            yield from say(doc[asked], place[asked], 2)
+            yield from say(doc, place, block=repeated, question=asked)
             on = state >= 0
             yield from packed.pack(packed.by_hash(first[on], buckets), doc[on], place[on] * 4 + state[on], np.stack([first[on], whole[on]]))
 
@@ -168,7 +171,7 @@ def repeated_runs(docs: DataFrame, depth: int = DEPTH, step: int = STEP, gram: i
         doc, place, (first, whole) = packed.unpack(part, 2)
         place, state = place // 4, place % 4
         repeated, asked, _ = _settle_blocks(first, whole, doc, place, state)
-        return packed.table([*say(doc[repeated], place[repeated], 1), *say(doc[asked], place[asked], 2)])
+        return packed.table(say(doc, place, block=repeated, question=asked))
 
     def questions(part: pa.Table) -> pa.Table:
         doc, place, _ = packed.unpack(part)
@@ -184,7 +187,7 @@ def repeated_runs(docs: DataFrame, depth: int = DEPTH, step: int = STEP, gram: i
             hashes, doc, place = (np.concatenate(c) for c in zip(*held))
             held.clear()
             repeated, on = _settle_windows(hashes, doc, place)
-            yield from say(doc[repeated], place[repeated], 0)
+            yield from say(doc, place, window=repeated)
             yield from packed.pack(packed.by_hash(hashes[on], buckets), doc[on], place[on], hashes[None, on])
 
         for batch in batches:
@@ -210,7 +213,7 @@ def repeated_runs(docs: DataFrame, depth: int = DEPTH, step: int = STEP, gram: i
             return part
         doc, place, hashes = packed.unpack(part)
         repeated, _ = _settle_windows(hashes[0], doc, place)
-        return packed.table(say(doc[repeated], place[repeated], 0))
+        return packed.table(say(doc, place, window=repeated))
 
     def merge(part: pa.Table) -> pa.Table:
         doc, place, _ = packed.unpack(part)
