@@ -44,8 +44,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     docs: ``doc_id`` and ``text``. Rows without a ``doc_id`` have no order among the others and take no part.
     """
-    spark = docs.sparkSession
-    buckets = packed.BUCKETS * partitions(spark)
+    shares = partitions(docs.sparkSession)
+    buckets = packed.BUCKETS * shares
 
     def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -54,7 +54,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             hashes, doc, place = (np.concatenate(c) for c in zip(*held))
             held.clear()
             marked = _beaten(hashes, doc)
-            yield from packed.pack(packed.by_document(doc[marked], buckets), doc[marked], place[marked])
+            yield from packed.pack(packed.by_document(doc[marked], shares), doc[marked], place[marked])
             hashes, doc, place = hashes[~marked], doc[~marked], place[~marked]
             yield from packed.pack(packed.by_hash(hashes, buckets), doc, place, hashes[None])
 
@@ -75,7 +75,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         doc, place, hashes = packed.unpack(part)
         marked = _beaten(hashes[0], doc)
         doc, place = doc[marked], place[marked]
-        return packed.table(packed.pack(packed.by_document(doc, buckets), doc, place))
+        return packed.table(packed.pack(packed.by_document(doc, shares), doc, place))
 
     def merge(part: pa.Table) -> pa.Table:
         doc, place, _ = packed.unpack(part)
