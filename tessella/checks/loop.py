@@ -80,3 +80,25 @@ def quarantine_split(spark, sf):
     return clean.select("k", F.lit("clean").alias("side"), F.col("name").alias("final")).unionByName(
         bad.select("k", F.lit("quarantine").alias("side"), F.col("quarantine_name").alias("final"))
     )
+
+
+@check("reward_fold_gaps", """WITH RECURSIVE hist AS (SELECT o_custkey AS run, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS cycle, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN -2 ELSE o_totalprice / 1e6 END AS score, o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0 AS odd, concat('c', CAST(o_orderkey AS VARCHAR)) AS checkpoint FROM orders),
+  fold AS (SELECT DISTINCT run, 0 AS cycle, -1.0::DOUBLE AS best, CAST(NULL AS VARCHAR) AS best_ckpt, 0 AS idle, false AS improved, false AS reverted, CAST(NULL AS VARCHAR) AS next_start FROM hist
+  UNION ALL SELECT run, cycle, nb, nc, ni, imp, back, CASE WHEN back THEN nc ELSE checkpoint END FROM (SELECT *, NOT odd AND nc IS NOT NULL AND score + 0.01::DOUBLE < nb AS back FROM (SELECT h.run, h.cycle, h.score, h.odd, h.checkpoint, NOT odd AND h.score > f.best + 0.01::DOUBLE AS imp,
+    CASE WHEN NOT odd AND h.score > f.best + 0.01::DOUBLE THEN h.score ELSE f.best END AS nb, CASE WHEN NOT odd AND h.score > f.best + 0.01::DOUBLE THEN h.checkpoint ELSE f.best_ckpt END AS nc, CASE WHEN NOT odd AND h.score > f.best + 0.01::DOUBLE THEN 0 ELSE f.idle + 1 END AS ni FROM fold f JOIN hist h ON h.run = f.run AND h.cycle = f.cycle + 1) q) r)
+  SELECT run, cycle, improved AS improved_global_best, best AS global_best, best_ckpt AS global_best_checkpoint, idle AS no_improve, reverted, next_start AS next_start_checkpoint FROM fold WHERE cycle > 0""")
+def reward_fold_gaps(spark, sf):
+    """Scores that are missing (zero) or not a number (never an improvement, never a drop)."""
+    numbered = with_position(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), ["o_orderdate", "o_orderkey"], "cycle", 1, ["o_custkey"])
+    score = F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice") / 1e6)
+    history = numbered.select(F.col("o_custkey").alias("run"), F.col("cycle").cast("int").alias("cycle"), score.alias("score"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("checkpoint"))
+    return curriculum.reward_fold(history, 0.01, 0, chunk=8).drop("score", "checkpoint", "global_best_cycle")
+
+
+@check("quarantine_null", """WITH d AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 50 <> 7 THEN concat('img', CAST(o_custkey % 50 AS VARCHAR), '.png') END AS name FROM orders WHERE o_orderstatus = 'P')
+  SELECT k, CASE WHEN i = 0 THEN name ELSE replace(name, '.png', concat('__', CAST(i AS VARCHAR), '.png')) END AS final FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS i FROM d) q""")
+def quarantine_null(spark, sf):
+    """Items without a name are set apart as well, and stay nameless."""
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.expr("CASE WHEN o_custkey % 50 <> 7 THEN concat('img', o_custkey % 50, '.png') END").alias("name"), "o_orderstatus")
+    _, bad = curriculum.quarantine(d, d.where("o_orderstatus = 'P'"), "k", "name")
+    return bad.select("k", F.col("quarantine_name").alias("final"))

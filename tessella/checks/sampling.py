@@ -82,7 +82,7 @@ def class_weights(spark, sf):
 
 
 def _unit(part: str) -> str:
-    return f"(CAST(concat('0x', substr(md5(concat_ws('|', '42', '{part}', draw)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    return f"(CAST(concat('0x', substr(md5(concat_ws('|', '42', '{part}', draw)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
 @check("weighted_draw", f"""WITH pos AS ({_rank_sql(42)}), cls AS (SELECT {LABEL}, count(*) AS size, row_number() OVER (ORDER BY {LABEL}) - 1 AS c FROM orders GROUP BY {LABEL}),
@@ -95,3 +95,55 @@ def weighted_draw(spark, sf):
 @check("head_n", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25")
 def head_n(spark, sf):
     return _orders(spark, sf).orderBy("o_orderdate", KEY).limit(25).select(KEY, "o_custkey")
+
+
+#: Orders of which every third has no label and every customer divisible by five no number.
+GAPS_SQL = f"""gaps AS (SELECT {KEY}, CASE WHEN {KEY} % 3 <> 0 THEN {LABEL} END AS {LABEL}, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS o_custkey FROM orders)"""
+
+
+def _gaps(spark, sf):
+    label = F.when(F.col(KEY) % 3 != 0, F.col(LABEL)).alias(LABEL)
+    return table(spark, sf, "orders").select(KEY, label, F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey"))
+
+
+@check("stratified_sample_null", f"WITH {GAPS_SQL} SELECT {KEY}, {LABEL}, row_number() OVER (ORDER BY {LABEL} NULLS FIRST, rk) - 1 AS source_index FROM ({_rank_sql(42, 'gaps')}) q WHERE rk < 100")
+def stratified_sample_null(spark, sf):
+    return S.ordered_strata(_gaps(spark, sf), LABEL, 100, 42, [KEY]).select(KEY, LABEL, "source_index")
+
+
+@check("ranks_null", f"WITH {GAPS_SQL} SELECT {KEY}, rk AS rank FROM ({_rank_sql(42, 'gaps')}) q")
+def ranks_null(spark, sf):
+    """Ranks of whole groups, NULL being one."""
+    return S.hash_rank(_gaps(spark, sf), S.draw_key(42, LABEL, KEY), by=[LABEL], ties=[KEY]).select(KEY, F.col("rank").cast("bigint").alias("rank"))
+
+
+@check("group_split_null", f"""WITH {GAPS_SQL}, g AS (SELECT o_custkey, row_number() OVER (ORDER BY md5(concat_ws('|', '7', o_custkey)), o_custkey NULLS FIRST) - 1 AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey FROM gaps) q)
+  SELECT {KEY}, CASE WHEN rk < ceil(0.2::DOUBLE * n) THEN 'val' ELSE 'train' END AS split FROM gaps JOIN g ON gaps.o_custkey IS NOT DISTINCT FROM g.o_custkey""")
+def group_split_null(spark, sf):
+    return S.group_split(_gaps(spark, sf), "o_custkey", 0.2, 7).select(KEY, "split")
+
+
+@check("weighted_draw_null", f"""WITH {GAPS_SQL}, pos AS ({_rank_sql(42, 'gaps')}), cls AS (SELECT {LABEL}, count(*) AS size, row_number() OVER (ORDER BY {LABEL} NULLS FIRST) - 1 AS c FROM gaps GROUP BY {LABEL}),
+  drawn AS (SELECT draw, CAST(floor({_unit('class')} * (SELECT count(*) FROM cls)) AS BIGINT) AS c, {_unit('row')} AS u FROM (SELECT unnest(range(0, (SELECT count(*) FROM gaps))) AS draw) q)
+  SELECT draw, {KEY}, pos.{LABEL} FROM drawn JOIN cls USING (c) JOIN pos ON cls.{LABEL} IS NOT DISTINCT FROM pos.{LABEL} WHERE rk = CAST(floor(u * size) AS BIGINT)""")
+def weighted_draw_null(spark, sf):
+    """As many draws as rows, also from the rows without a label."""
+    return S.weighted_draw(_gaps(spark, sf), LABEL, None, 42, [KEY]).select("draw", KEY, LABEL)
+
+
+@check("positions_null", f"WITH {GAPS_SQL} SELECT {KEY}, row_number() OVER (PARTITION BY o_custkey ORDER BY {KEY}) - 1 AS position FROM gaps")
+def positions_null(spark, sf):
+    return S.with_position(_gaps(spark, sf), [KEY], by=["o_custkey"]).select(KEY, "position")
+
+
+@check("split_groups", f"WITH {SPLIT_SQL} SELECT split, o_custkey, count(*) AS n_rows FROM orders JOIN side USING (o_custkey) GROUP BY ALL")
+def split_groups(spark, sf):
+    return S.split_groups(S.group_split(_orders(spark, sf), "o_custkey", 0.2, 7), "o_custkey")
+
+
+@check("holdout_overlap", f"""WITH sel AS (SELECT {KEY} FROM ({_rank_sql(42)}) q WHERE rk < 100), rest AS (SELECT * FROM orders ANTI JOIN sel USING ({KEY})), hold AS (SELECT {KEY} FROM ({_rank_sql(1042, 'rest')}) q WHERE rk < 40)
+  SELECT (SELECT count(*) FROM sel) AS n_selection, (SELECT count(*) FROM hold) AS n_holdout, (SELECT count(*) FROM hold SEMI JOIN sel USING ({KEY})) AS n_overlap""")
+def holdout_overlap(spark, sf):
+    orders = _orders(spark, sf)
+    selection = S.stratified_sample(orders, LABEL, 100, 42, [KEY])
+    return S.holdout_overlap(selection, S.holdout_sample(orders, selection, LABEL, 40, 1042, [KEY]), [KEY])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import labels, naming, prompts
 from tessella.functions.coerce import to_float
 from tessella.operators import sampling
+from tessella.operators.sampling import join_groups
 
 CHUNK = 4096  # cycles per window partition
 
@@ -24,16 +25,20 @@ def reward_fold(history: DataFrame, epsilon: float, patience: int = 0, revert: b
 
     Only a running maximum can improve the best, since the best never trails the maximum by more than ``epsilon``.  Running
     maxima are found in chunks of cycles, the order-dependent fold streams over those few rows with constant state, and the
-    state is brought back to all cycles chunk by chunk; no window or task holds a whole long run.
+    state is brought back to all cycles chunk by chunk. The fold sees a run's strictly rising maxima only, one after the other; a
+    run that rises in every cycle is folded by one task as long as the run.
     """
-    rows = history.withColumn("_chunk", F.floor(F.col("cycle") / chunk))
+    # A missing score counts as zero; one that isn't a number never improves and must not enter a maximum, where Spark has it on top.
+    rows = history.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("_chunk", F.floor(F.col("cycle") / chunk))
+    number = F.when(~F.isnan("score"), F.col("score"))
     per_run = Window.partitionBy("run").orderBy("_chunk")
     earlier = per_run.rowsBetween(Window.unboundedPreceding, -1)
     in_chunk = Window.partitionBy("run", "_chunk").orderBy("cycle")
 
-    tops = rows.groupBy("run", "_chunk").agg(F.max("score").alias("_m")).withColumn("_prev", F.max("_m").over(earlier)).drop("_m")
-    peak = F.greatest("_prev", F.max("score").over(in_chunk.rowsBetween(Window.unboundedPreceding, -1)))
-    peaks = rows.join(tops, ["run", "_chunk"]).withColumn("_peak", peak).where(F.col("_peak").isNull() | (F.col("score") > F.col("_peak") - 1e-9))
+    tops = rows.groupBy("run", "_chunk").agg(F.max(number).alias("_m")).withColumn("_prev", F.max("_m").over(earlier)).drop("_m")
+    peak = F.greatest("_prev", F.max(number).over(in_chunk.rowsBetween(Window.unboundedPreceding, -1)))
+    higher = (F.col("score") > F.col("_peak") - 1e-9) & (F.col("score") != F.col("_peak"))  # an equal score never improves
+    peaks = join_groups(rows, tops, ["run", "_chunk"]).withColumn("_peak", peak).where(~F.isnan("score") & (F.col("_peak").isNull() | higher))
 
     def fold(batches):
         run, best = None, -1.0
@@ -49,16 +54,16 @@ def reward_fold(history: DataFrame, epsilon: float, patience: int = 0, revert: b
 
     kept = peaks.select("run", "cycle", "score")
     accepted = kept.repartition("run").sortWithinPartitions("run", "cycle").mapInPandas(fold, kept.schema)
-    marked = rows.join(accepted.select("run", "cycle", F.lit(True).alias("_hit")), ["run", "cycle"], "left")
+    marked = join_groups(rows, accepted.select("run", "cycle", F.lit(True).alias("_hit")), ["run", "cycle"], "left")
     state = F.when(F.col("_hit"), F.struct("cycle", "score", "checkpoint"))
     carried = (
         marked.groupBy("run", "_chunk").agg(F.max(state).alias("_last"))
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
     )
     now = F.coalesce(F.last(state, ignorenulls=True).over(in_chunk), F.col("_carry"))
-    folded = marked.join(carried, ["run", "_chunk"]).withColumn("_best", now)
+    folded = join_groups(marked, carried, ["run", "_chunk"]).withColumn("_best", now)
     g = F.coalesce("_best.score", F.lit(-1.0))
-    back = F.lit(revert) & F.col("_best").isNotNull() & (F.col("score") + epsilon < g)
+    back = F.lit(revert) & F.col("_best").isNotNull() & ~F.isnan("score") & (F.col("score") + epsilon < g)
     out = folded.select(
         "run", "cycle", "score", "checkpoint", F.coalesce("_hit", F.lit(False)).alias("improved_global_best"), g.alias("global_best"),
         F.col("_best.checkpoint").alias("global_best_checkpoint"), F.col("_best.cycle").alias("global_best_cycle"), (F.col("cycle") - F.coalesce("_best.cycle", F.lit(0))).cast("int").alias("no_improve"),
@@ -67,7 +72,7 @@ def reward_fold(history: DataFrame, epsilon: float, patience: int = 0, revert: b
     if patience <= 0:
         return out
     stops = out.where(F.col("no_improve") >= patience).groupBy("run").agg(F.min("cycle").alias("_stop"))
-    return out.join(stops, "run", "left").where(F.col("_stop").isNull() | (F.col("cycle") <= F.col("_stop"))).drop("_stop")
+    return join_groups(out, stops, ["run"], "left").where(F.col("_stop").isNull() | (F.col("cycle") <= F.col("_stop"))).drop("_stop")
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,8 @@ buckets; bucket sizes give the offset, and only rows of one bucket are sorted to
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,15 +19,30 @@ from tessella.operators.tiles import draw_key
 from tessella.session import pin
 
 PREFIX = 3  # hex digits: 4096 buckets per group
+FEW = 100_000  # asked rows up to which a ranked window (or a top-n) beats counting buckets: one pass over the input
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the group columns with NULL as a group of its own; the right side's other columns are added."""
+    named = right.select(*[F.col(c).alias(f"_group_{c}" if c in by else c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_group_{c}")) for c in by]
+    return left.join(named, reduce(and_, same, F.lit(True)) if same else None, how).drop(*[f"_group_{c}" for c in by])
 
 
 def hash_rank(df: DataFrame, draw: Column, by: Sequence[str] = (), ties: Sequence[str] = (), name: str = "rank",
               first: int | None = None, prefix: int = PREFIX) -> DataFrame:
     """Exact 0-based rank by draw within each group of ``by`` (few groups), without sorting a whole group.
 
-    With ``first``, only ranks below it are kept: buckets beyond it fall away before anything is sorted.
+    With ``first``, only ranks below it are kept. Up to ``FEW`` of them come from one pass: each task cuts its groups (or its
+    rows) to that many. Beyond, buckets past the last rank fall away before anything is sorted. NULL is a group.
     """
     by = list(by)
+    if first is not None and first <= FEW:
+        drawn = df.withColumn("_draw", draw)
+        if not by:
+            drawn = drawn.orderBy("_draw", *ties).limit(first)  # each task sends its first rows only
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_draw", *ties)) - 1
+        return drawn.withColumn(name, rank).where(F.col(name) < first).drop("_draw")
     keyed = df.withColumn("_draw", draw).withColumn("_bucket", F.substring("_draw", 1, prefix))
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
     # at most 16 ** prefix rows per group
@@ -34,7 +51,7 @@ def hash_rank(df: DataFrame, draw: Column, by: Sequence[str] = (), ties: Sequenc
     if first is not None:
         offsets = offsets.where(F.col("_before") < first)
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_draw", *ties)) - 1
-    ranked = keyed.join(offsets, [*by, "_bucket"]).select(*df.columns, (F.col("_before") + inside).alias(name))
+    ranked = join_groups(keyed, offsets, [*by, "_bucket"]).select(*df.columns, (F.col("_before") + inside).alias(name))
     return ranked if first is None else ranked.where(F.col(name) < first)
 
 
@@ -44,7 +61,7 @@ def exact_sample(df: DataFrame, n: int, seed, key: Sequence[str]) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, label: str, n: int, seed, key: Sequence[str], tokens: Sequence[str] | None = None) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows per label; ``n <= 0`` keeps all. Labels outside ``tokens`` are dropped."""
+    """Exactly ``min(n, rows)`` rows per label, NULL being one; ``n <= 0`` keeps all. With ``tokens``, other labels and NULL are dropped."""
     if tokens is not None:
         df = df.where(F.col(label).isin(list(tokens)))
     if n <= 0:
@@ -67,7 +84,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     offsets = sizes.select(*by, "_part", before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
     place = (F.col("_before") + inside + F.lit(start)).cast("bigint")
-    return ranged.join(offsets, [*by, "_part"]).select(*df.columns, place.alias(name))
+    return join_groups(ranged, offsets, [*by, "_part"]).select(*df.columns, place.alias(name))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -92,7 +109,7 @@ def group_split(df: DataFrame, group: str, fraction: float, seed) -> DataFrame:
     groups = df.select(group).distinct()
     n_val = groups.agg(F.ceil(F.lit(fraction) * F.count("*"))).scalar()
     ranked = hash_rank(groups, draw_key(seed, group), ties=[group], name="_rank")
-    return df.join(ranked.select(group, F.when(F.col("_rank") < n_val, "val").otherwise("train").alias("split")), group)
+    return join_groups(df, ranked.select(group, F.when(F.col("_rank") < n_val, "val").otherwise("train").alias("split")), [group])
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -101,8 +118,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def uniform(draw: Column) -> Column:
-    """A number in [0, 1) from the first 32 bits of an md5 digest."""
-    return F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """A number in [0, 1) from the first 52 bits of an md5 digest: as fine as a double, so every row can be drawn."""
+    return F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def weighted_draw(df: DataFrame, label: str, n: int | None, seed, key: Sequence[str]) -> DataFrame:
@@ -121,10 +138,10 @@ def weighted_draw(df: DataFrame, label: str, n: int | None, seed, key: Sequence[
     u2 = uniform(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("row"), F.col("draw"))))
     drawn = (
         draws.withColumn("_class", F.floor(u1 * classes.agg(F.count("*")).scalar()).cast("int"))
-        .join(classes, "_class")
+        .join(F.broadcast(classes), "_class")  # one row per class
         .withColumn("_pos", F.floor(u2 * F.col("_size")))
     )
-    return drawn.join(rows, [label, "_pos"]).drop("_pos", "_class", "_size")
+    return join_groups(drawn, rows, [label, "_pos"]).drop("_pos", "_class", "_size")
 
 
 def ordered_strata(df: DataFrame, label: str, n: int, seed, key: Sequence[str], name: str = "source_index") -> DataFrame:
@@ -137,7 +154,7 @@ def ordered_strata(df: DataFrame, label: str, n: int, seed, key: Sequence[str],
     size = F.least(F.col("_all"), F.lit(n)) if n > 0 else F.col("_all")
     # one row per label
     offsets = sizes.select(label, (F.sum(size).over(Window.orderBy(label)) - size).alias("_offset"))
-    return kept.join(offsets, label).select(*df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(name))
+    return join_groups(kept, offsets, [label]).select(*df.columns, (F.col("_offset") + F.col("_rank")).cast("bigint").alias(name))
 
 
 def holdout_sample(df: DataFrame, selection: DataFrame, label: str, n: int, seed, key: Sequence[str]) -> DataFrame:
@@ -145,6 +162,17 @@ def holdout_sample(df: DataFrame, selection: DataFrame, label: str, n: int, seed
     return stratified_sample(df.join(selection.select(*key), list(key), "left_anti"), label, n, seed, key)
 
 
+def holdout_overlap(selection: DataFrame, holdout: DataFrame, key: Sequence[str]) -> DataFrame:
+    """How many rows each sample has and how many keys they share (none, if the hold-out was drawn as above)."""
+    shared = holdout.join(selection.select(*key).distinct(), list(key), "left_semi").agg(F.count("*").alias("n_overlap"))
+    return selection.agg(F.count("*").alias("n_selection")).crossJoin(holdout.agg(F.count("*").alias("n_holdout"))).crossJoin(shared)  # one row each
+
+
+def split_groups(split: DataFrame, group: str) -> DataFrame:
+    """The groups of each side, with their rows."""
+    return split.groupBy("split", group).agg(F.count("*").alias("n_rows"))
+
+
 def split_report(split: DataFrame, group: str) -> DataFrame:
     """Rows and groups per side; the groups themselves stay a relation (``split, group``)."""
     return split.groupBy("split").agg(
