@@ -16,7 +16,7 @@ _LABEL = "CASE label % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumera
 _PICK = "CASE {c} " + " ".join(f"WHEN '{c}' THEN p{i}" for i, c in enumerate(CLASSES)) + " END"
 SCORED_SQL = f"""
 logits AS (SELECT vec_id, {_LABEL} AS source_label, m.i AS m, CASE m.i WHEN 0 THEN 'base' WHEN 1 THEN 'tuned' ELSE 'best' END AS model_alias,
-  embedding[4 * m.i + 1]::DOUBLE * 8 AS l0, embedding[4 * m.i + 2]::DOUBLE * 8 AS l1, embedding[4 * m.i + 3]::DOUBLE * 8 AS l2, embedding[4 * m.i + 4]::DOUBLE * 8 AS l3 FROM embeddings, unnest(range(0, 3)) AS m(i)),
+  {", ".join(f"2 * list_sum(list_transform(range(0, len(embedding) // 4), lambda x: embedding[4 * x + {j + 1}]::DOUBLE * ((m.i + 1) * (x + 1) % 7 - 3))) AS l{j}" for j in range(4))} FROM embeddings, unnest(range(0, 3)) AS m(i)),
 probs AS (SELECT vec_id, source_label, model_alias, e0 / s AS p0, e1 / s AS p1, e2 / s AS p2, e3 / s AS p3 FROM (SELECT *, e0 + e1 + e2 + e3 AS s FROM (
   SELECT *, exp(l0 - greatest(l0, l1, l2, l3)) AS e0, exp(l1 - greatest(l0, l1, l2, l3)) AS e1, exp(l2 - greatest(l0, l1, l2, l3)) AS e2, exp(l3 - greatest(l0, l1, l2, l3)) AS e3 FROM logits) a) b),
 predicted AS (SELECT *, greatest(p0, p1, p2, p3) AS confidence, CASE greatest(p0, p1, p2, p3) WHEN p0 THEN '{CLASSES[0]}' WHEN p1 THEN '{CLASSES[1]}' WHEN p2 THEN '{CLASSES[2]}' ELSE '{CLASSES[3]}' END AS pred_label FROM probs),
@@ -33,10 +33,11 @@ def _embeddings(spark, sf):
 
 
 def _logits(spark, sf):
-    """Four logits per vector and model."""
+    """Four logits per vector and model; every element of a vector enters one of them, with a weight of the model's own."""
     models = F.array(*[F.struct(F.lit(i).alias("m"), F.lit(n).alias("model_alias")) for i, n in enumerate(MODELS)])
     rows = _embeddings(spark, sf).withColumn("_m", F.explode(models)).select("*", "_m.*").drop("_m")
-    return rows.withColumn("logits", F.expr("transform(slice(v, 4 * m + 1, 4), x -> x * 8)")).drop("v", "m")
+    logit = "aggregate(sequence(0, size(v) div 4 - 1), 0D, (a, x) -> a + v[4 * x + j] * ((m + 1) * (x + 1) % 7 - 3)) * 2"
+    return rows.withColumn("logits", F.expr(f"transform(sequence(0, 3), j -> {logit})")).drop("v", "m")
 
 
 def predictions(spark, sf):
@@ -83,8 +84,10 @@ def batch_score(spark, sf):
     inputs = _embeddings(spark, sf).withColumn("model_alias", models)
 
     def predict(batch):
-        at = [4 * MODELS.index(m) for m in batch["model_alias"]]
-        return np.stack([np.asarray(v)[a : a + 4] * 8 for v, a in zip(batch["v"], at)])
+        v = np.stack(batch["v"].to_list()).reshape(len(batch), -1, 4)
+        m = np.array([MODELS.index(m) for m in batch["model_alias"]])[:, None]
+        weight = (m + 1) * (np.arange(v.shape[1]) + 1) % 7 - 3
+        return 2 * (v * weight[:, :, None]).sum(axis=1)
 
     out = seams.batch_score(inputs, predict, CLASSES)
     return out.select("vec_id", "model_alias", "pred_label", F.round("confidence", 6).alias("confidence"))
@@ -99,12 +102,18 @@ def _expected(spark, sf):
 
 @check("pred_distribution", f"WITH {SCORED_SQL} SELECT model_alias, pred_label, count(*) AS n FROM predicted GROUP BY ALL")
 def pred_distribution(spark, sf):
-    return predictions(spark, sf).groupBy("model_alias", "pred_label").agg(F.count("*").alias("n"))
+    return metrics.distribution(predictions(spark, sf), "pred_label", ["model_alias"])
 
 
-@check("confusion", f"WITH {SCORED_SQL} SELECT expected_label, " + ", ".join(f"count(*) FILTER (pred_label = '{c}') AS {c}" for c in CLASSES) + f" FROM (SELECT *, {EXPECTED} AS expected_label FROM predicted) q WHERE expected_label IS NOT NULL GROUP BY expected_label")
+@check("confusion", f"WITH {SCORED_SQL} SELECT expected_label, pred_label, count(*) AS n FROM (SELECT *, {EXPECTED} AS expected_label FROM predicted) q WHERE expected_label IS NOT NULL GROUP BY ALL")
 def confusion(spark, sf):
-    return metrics.confusion(_expected(spark, sf), "expected_label", "pred_label", CLASSES)
+    return metrics.confusion(_expected(spark, sf), "expected_label", "pred_label")
+
+
+@check("confusion_wide", f"WITH {SCORED_SQL} SELECT expected_label, " + ", ".join(f"count(*) FILTER (pred_label = '{c}') AS {c}" for c in CLASSES[1:]) + f", count(*) FILTER (pred_label = '{CLASSES[0]}') AS other FROM (SELECT *, {EXPECTED} AS expected_label FROM predicted) q WHERE expected_label IS NOT NULL GROUP BY expected_label")
+def confusion_wide(spark, sf):
+    """One predicted label isn't in the list: it counts as another."""
+    return metrics.confusion_wide(_expected(spark, sf), "expected_label", "pred_label", CLASSES[1:])
 
 
 @check("consistency", f"""WITH {SCORED_SQL}, q AS (SELECT *, {EXPECTED} AS expected_label FROM predicted) SELECT count(*) AS n_images, count(expected_label) AS n_with_expected_label,

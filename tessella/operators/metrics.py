@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.sampling import join_groups
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Non-NULL values by falling frequency; ties by value."""
@@ -45,15 +47,21 @@ def materialize_stats(tiles: DataFrame, sources: DataFrame, existing: DataFrame,
     return marked.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.countDistinct(source_key).alias("sources"))
 
 
-def distribution(rows: DataFrame, col: str) -> DataFrame:
-    """Count per non-NULL value."""
-    return rows.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
+def distribution(rows: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Count per non-NULL value, within the groups of ``by``."""
+    return rows.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"))
+
+
+def confusion(rows: DataFrame, expected: str, predicted: str) -> DataFrame:
+    """Counts of every pair of expected and predicted label that occurs; rows without an expected label don't count."""
+    return rows.where(F.col(expected).isNotNull()).groupBy(expected, predicted).agg(F.count("*").alias("n"))
 
 
-def confusion(rows: DataFrame, expected: str, predicted: str, classes: Sequence[str]) -> DataFrame:
-    """Expected x predicted counts, one column per class."""
-    counted = rows.where(F.col(expected).isNotNull()).groupBy(expected).pivot(predicted, list(classes)).count()
-    return counted.fillna(0, list(classes))
+def confusion_wide(rows: DataFrame, expected: str, predicted: str, classes: Sequence[str]) -> DataFrame:
+    """Confusion counts with one column per class, and ``other`` for predictions outside of them (or none)."""
+    named = [F.count_if(F.col(predicted) == c).alias(c) for c in classes]
+    other = F.count_if(F.coalesce(~F.col(predicted).isin(list(classes)), F.lit(True))).alias("other")
+    return rows.where(F.col(expected).isNotNull()).groupBy(expected).agg(*named, other)
 
 
 def class_accuracy(rows: DataFrame, expected: str = "expected_label", predicted: str = "pred_label") -> DataFrame:
@@ -117,27 +125,27 @@ def combined_reward(summary: DataFrame, by: Sequence[str], same_weight: float =
 
 
 def evaluate_binary(rows: DataFrame, truth: str, predicted: str, prob_of_truth: str) -> DataFrame:
-    """Mean log loss, accuracy and F1 of the positive class (0 when undefined)."""
+    """Mean log loss, accuracy and F1 of the positive class (0 when undefined). Probabilities below 1e-12 count as that."""
     y, p = F.col(truth) == 1, F.col(predicted) == 1
     tp, fp, fn = F.count_if(y & p), F.count_if(~y & p), F.count_if(y & ~p)
     return rows.agg(
-        F.avg(-F.log(F.col(prob_of_truth))).alias("val_loss"), F.avg((y == p).cast("double")).alias("val_acc"),
+        F.avg(-F.log(F.greatest(F.col(prob_of_truth), F.lit(1e-12)))).alias("val_loss"), F.avg((y == p).cast("double")).alias("val_acc"),
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("val_f1"),
     )
 
 
 def token_examples(rows: DataFrame, token: str, name: str, examples: int = 3) -> DataFrame:
-    """Count per token with its first few names; names are cut per token before they are collected."""
+    """Count per token, NULL being one, with its first few names; names are cut per token before they are collected."""
     first = F.row_number().over(Window.partitionBy(token).orderBy(name))
     shown = rows.select(token, name, first.alias("_r")).where(F.col("_r") <= examples).groupBy(token).agg(F.array_sort(F.collect_list(name)).alias("examples"))
-    return rows.groupBy(token).agg(F.count("*").alias("n")).join(shown, token)
+    return join_groups(rows.groupBy(token).agg(F.count("*").alias("n")), shown, [token])
 
 
 def resolve_classes(vocabulary: DataFrame, expected: int | None, fallback: Sequence[str], default: Sequence[str]) -> list[str]:
     """Class names of a model head: the vocabulary when its size fits, else the fallback tokens, else the default four,
-    else numbered names.  Reads at most ``expected + 1`` labels."""
+    else numbered names.  Reads at most ``expected + 1`` labels; without an expected size the head takes every label there is."""
     asked = vocabulary.select("label").orderBy("label")
-    found = [r["label"] for r in (asked.limit(expected + 1) if expected is not None else asked.limit(10000)).collect()]
+    found = [r["label"] for r in (asked if expected is None else asked.limit(expected + 1)).collect()]
     unique = sorted(set(fallback))
     if expected is None:
         return found or unique
