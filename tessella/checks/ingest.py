@@ -33,3 +33,15 @@ def image_scan(spark, sf):
     colour = digest(scan_images(spark, path, "rgb", 32))
     grey = digest(scan_images(spark, path, "grey", 32)).select("image_id", F.col("sum_v").alias("grey"))
     return colour.join(grey, "image_id").withColumn("image_id", number).withColumnRenamed("image_id", "k")
+
+
+@check("image_rejects", f"WITH {fx.SLIDES_SQL} SELECT count(*) AS readable, 1::BIGINT AS unreadable FROM slides")
+def image_rejects(spark, sf):
+    """A folder of slides and one broken file: what is read, and what is reported."""
+    path = new_path(spark, "png")
+    write_pngs(fx.rgb_blocks(spark, sf, 512), path)
+    spark.range(1).select(F.lit("no image").alias("value")).coalesce(1).write.mode("append").text(path)
+    from tessella.sources.images import unreadable_images
+
+    readable = scan_images(spark, path, "grey", 512, skip_unreadable=True).agg(F.count_distinct("image_id").alias("readable"))
+    return readable.crossJoin(unreadable_images(spark, path).agg(F.count("*").alias("unreadable")))  # one row each

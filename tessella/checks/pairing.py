@@ -255,12 +255,20 @@ def materialize_stats(spark, sf):
     return metrics.materialize_stats(tiles, fx.masks(spark, sf).select("k"), existing, "k", ["k", "i"])
 
 
-@check("history_append", """SELECT CAST(o_orderkey AS INT) AS cycle, CASE WHEN o_orderkey % 2 = 0 THEN concat('c', CAST(o_orderkey AS VARCHAR)) END AS start_checkpoint, round(o_totalprice / 1e6, 6) AS cycle_best_combined_reward,
-  CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END AS pseudo_rows_kept FROM orders""")
+HISTORY_SQL = """SELECT CAST(o_orderkey AS INT) AS cycle, CASE WHEN o_orderkey % 2 = 0 THEN concat('c', CAST(o_orderkey AS VARCHAR)) END AS start_checkpoint, round(o_totalprice / 1e6, 6) AS cycle_best_combined_reward,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END AS pseudo_rows_kept, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey END AS linked_real_anchor_images, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey % 7 END AS pseudo_dropped_same_prob,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS holdout_summary_json, CASE WHEN o_orderkey % 2 = 0 THEN o_comment_ END AS next_curriculum_mask_dir FROM (SELECT *, concat('/m/', CAST(o_custkey AS VARCHAR)) AS o_comment_ FROM orders) q"""
+
+
+@check("history_append", HISTORY_SQL)
 def history_append(spark, sf):
     from tessella.schemas import HISTORY
 
     orders = table(spark, sf, "orders").withColumn("cycle", F.col("o_orderkey").cast("int")).withColumn("cycle_best_combined_reward", F.round(F.col("o_totalprice") / 1e6, 6))
-    old = orders.where("o_orderkey % 2 = 0").select("cycle", F.concat(F.lit("c"), "o_orderkey").alias("start_checkpoint"), "cycle_best_combined_reward")
-    new = orders.where("o_orderkey % 2 = 1").select("cycle", "cycle_best_combined_reward", F.col("o_orderkey").alias("pseudo_rows_kept"))
-    return sinks.append_history(old, new, HISTORY).select("cycle", "start_checkpoint", "cycle_best_combined_reward", "pseudo_rows_kept")
+    old = orders.where("o_orderkey % 2 = 0").select("cycle", F.concat(F.lit("c"), "o_orderkey").alias("start_checkpoint"), "cycle_best_combined_reward", F.concat(F.lit("/m/"), "o_custkey").alias("next_curriculum_mask_dir"))
+    new = orders.where("o_orderkey % 2 = 1").select(
+        "cycle", "cycle_best_combined_reward", F.col("o_orderkey").alias("pseudo_rows_kept"), F.col("o_custkey").alias("linked_real_anchor_images"),
+        (F.col("o_custkey") % 7).alias("pseudo_dropped_same_prob"), F.col("o_orderpriority").alias("holdout_summary_json"),
+    )
+    asked = ["cycle", "start_checkpoint", "cycle_best_combined_reward", "pseudo_rows_kept", "linked_real_anchor_images", "pseudo_dropped_same_prob", "holdout_summary_json", "next_curriculum_mask_dir"]
+    return sinks.append_history(old, new, HISTORY).select(*asked)

@@ -241,3 +241,14 @@ def model_specs(spark, sf):
 
     spec = F.expr("CASE WHEN p_size < 3 THEN ' =/m/x' WHEN p_size < 5 THEN 'noequals' ELSE concat(' ', p_brand, '-', p_partkey div 3, ' = /m/a=', p_size) END")
     return resolve_models(table(spark, sf, "part").select("p_partkey", spec.alias("spec"))).select("p_partkey", "alias", "path", "status")
+
+
+_RAW = ["Neoplasias malignas", " Doenças  potencialmente malignas", "Doenças infecciosas", "LESÕES inflamatórias reativas", "Malignant", "Outras", "benign lesion", "non cancer", "unheard of", "Healthy "]
+_TOKEN = ["cancer", "opmd", "benign_lesion", "benign_lesion", "cancer", "benign_lesion", "benign_lesion", "non_cancer", "benign_lesion", "healthy"]
+
+
+@check("label_token_table", "SELECT doc_id, CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TOKEN)) + " END AS token FROM documents")
+def label_token_table(spark, sf):
+    """The shipped category table, for spellings as they come."""
+    raw = F.element_at(F.array(*[F.lit(r) for r in _RAW]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", labels.label_token(labels.normalise_category(raw)).alias("token"))

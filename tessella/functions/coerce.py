@@ -20,9 +20,17 @@ def to_int(raw: Column, default: int | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
+def _checked(json: Column, kind: str) -> Column:
+    """A JSON object as a map; text that is neither empty nor an object fails."""
+    found = F.from_json(json, kind)
+    blank = json.isNull() | (F.trim(json) == "")
+    wrong = ~blank & (found.isNull() | ~F.trim(json).startswith("{"))
+    return F.when(wrong, F.raise_error(F.concat(F.lit("not a JSON object: "), json)).cast(kind)).otherwise(F.when(~blank, found))
+
+
 def float_map(json: Column) -> Column:
-    """JSON object as ``map<string,double>``."""
-    return F.from_json(json, "map<string,double>")
+    """JSON object as ``map<string,double>``; malformed text fails."""
+    return _checked(json, "map<string,double>")
 
 
 def repeat_map(json: Column) -> Column:
@@ -32,7 +40,7 @@ def repeat_map(json: Column) -> Column:
 
 def text_map(json: Column) -> Column:
     """JSON object as ``map<string,string>``."""
-    return F.from_json(json, "map<string,string>")
+    return _checked(json, "map<string,string>")
 
 
 def id_list(text: Column) -> Column:

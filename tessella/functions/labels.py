@@ -106,10 +106,16 @@ def normalise_category(text: Column) -> Column:
     return F.regexp_replace(F.lower(flat), r"[\t-\r\x1c-\x1f][\t-\r\x1c-\x20]*| [\t-\r\x1c-\x20]+", " ")
 
 
-def label_token(category: Column, table: Mapping[str, str], known: Sequence[str], default: str = "benign_lesion") -> Column:
-    """Token of a normalised category: table, else its underscored form when known, else the default."""
+def plain_category(text: str) -> str:
+    """The same rule for one Python string."""
+    flat = unicodedata.normalize("NFD", text.strip(SPACES)).encode("ascii", "ignore").decode("ascii").lower()
+    return " ".join(flat.split())
+
+
+def label_token(category: Column, table: Mapping[str, str] = CATEGORY_TOKENS, known: Sequence[str] = TOKENS, default: str = "benign_lesion") -> Column:
+    """Token of a normalised category: table (its keys are normalised alike), else its underscored form when known, else the default."""
     coarse = F.replace(category, F.lit(" "), F.lit("_"))
-    return F.coalesce(lookup(category, table), F.when(coarse.isin(list(known)), coarse), F.lit(default))
+    return F.coalesce(lookup(category, {plain_category(k): v for k, v in table.items()}), F.when(coarse.isin(list(known)), coarse), F.lit(default))
 
 
 def normalise_token(raw: Column, aliases: Mapping[str, str], known: Sequence[str], default: str | None = None) -> Column:

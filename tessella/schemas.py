@@ -53,7 +53,12 @@ HISTORY = (
     "cycle_best_combined_reward double, cycle_best_cross_class_target_top1 double, cycle_best_same_class_target_top1 double, "
     "cycle_best_cross_class_margin_score double, cycle_best_cross_class_target_prob_margin_mean double, "
     "cycle_best_same_class_target_prob_mean double, global_best_checkpoint string, global_best_combined_reward double, "
-    "improved_global_best boolean, reverted_to_global_best boolean, next_start_checkpoint string, pseudo_rows_kept bigint, "
-    "real_anchor_images bigint, holdout_combined_reward double"
+    "improved_global_best boolean, reverted_to_global_best boolean, next_start_checkpoint string, "
+    "linked_real_anchor_images bigint, real_anchor_images_per_class_cap int, pseudo_rows_kept bigint, pseudo_cross_rows bigint, "
+    "pseudo_same_rows bigint, pseudo_dropped_cross_margin bigint, pseudo_dropped_cross_prob bigint, pseudo_dropped_same_prob bigint, "
+    "next_curriculum_dataset_path string, next_curriculum_mask_dir string, holdout_combined_reward double, "
+    "holdout_cross_class_margin_score double, holdout_cross_class_target_prob_margin_mean double, holdout_cross_class_target_top1 double, "
+    "holdout_same_class_target_prob_mean double, holdout_same_class_target_top1 double, holdout_summary_json string, "
+    "ranking_json string, ranking_csv string"
 )
 TRAIN_HISTORY = ("epoch double, train_loss double, val_loss double, val_acc double, val_f1 double")

@@ -77,7 +77,7 @@ def explicit_checkpoints(requests: DataFrame, listing: DataFrame, run: str, name
     out = asked.join(have, [run, "wanted"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
     if strict:
         failed = F.raise_error(F.concat(F.lit("checkpoint not found: "), F.col("wanted"))).cast("boolean")
-        out = out.withColumn("found", F.when(F.col("found"), True).otherwise(failed))
+        out = out.where(F.when(F.col("found"), True).otherwise(failed))  # a filter: no projection drops it
     return out
 
 

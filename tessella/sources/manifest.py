@@ -49,7 +49,7 @@ def expect_version(manifest: DataFrame, expected: int) -> DataFrame:
     """The manifest, failing on execution when its version differs."""
     message = F.concat(F.lit(f"version mismatch: expected {expected}, got "), F.coalesce(F.col("version").cast("string"), F.lit("none")))
     ok = F.coalesce(F.col("version") == expected, F.lit(False))
-    return manifest.withColumn("version", F.when(ok, F.col("version")).otherwise(F.raise_error(message).cast("int")))
+    return manifest.where(F.when(ok, True).otherwise(F.raise_error(message).cast("boolean")))  # a filter: no projection drops it
 
 
 def fetch_plan(files: DataFrame, existing: DataFrame, skip_existing: bool = True) -> DataFrame:

@@ -24,7 +24,9 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet dataset, or ``None`` when it was never written."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -38,7 +40,10 @@ def append_new(df: DataFrame, path: str, key: Sequence[str], overwrite: bool = F
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
-    """Exactly the columns of a schema, in order; absent ones are NULL."""
+    """Exactly the columns of a schema, in order; absent ones are NULL, and a column the schema lacks is an error."""
+    unknown = [c for c in df.columns if c not in T.StructType.fromDDL(schema).names]
+    if unknown:
+        raise ValueError(f"not in the schema: {unknown}")
     return df.select(
         *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields]
     )

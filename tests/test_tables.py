@@ -44,9 +44,10 @@ def test_category_equals_unicode_rules(spark, texts):
 
 
 def test_tokens_and_modes(spark):
-    table = {plain_category(k): v for k, v in labels.CATEGORY_TOKENS.items()}
-    got = column(spark, ["Doenças infecciosas", "opmd", "benign  lesion", "??"], lambda c: labels.label_token(labels.normalise_category(c), table, labels.TOKENS))
-    assert got == ["benign_lesion", "opmd", "benign_lesion", "benign_lesion"]
+    raw = ["Doenças infecciosas", "opmd", "benign  lesion", "??", "Neoplasias malignas", "Doenças potencialmente malignas"]
+    got = column(spark, raw, lambda c: labels.label_token(labels.normalise_category(c)))
+    assert got == ["benign_lesion", "opmd", "benign_lesion", "benign_lesion", "cancer", "opmd"]
+    assert all(labels.plain_category(k) == plain_category(k) for k in labels.CATEGORY_TOKENS)
     assert column(spark, ["In-Paint", "txt2_img", None], labels.normalise_mode) == ["inpaint", "text2image", "text2image"]
     with pytest.raises(PySparkException):
         column(spark, ["other"], labels.normalise_mode)
@@ -262,3 +263,60 @@ def test_model_seam(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", -1.0)], "image_path string, x double")
     out = seams.batch_score(df, lambda b: np.stack([b["x"], -b["x"]], axis=1), ["pos", "neg"])
     assert {r.image_path: r.pred_label for r in out.collect()} == {"a": "pos", "b": "neg"}
+
+
+def test_checks_survive_projection(spark):
+    m = spark.createDataFrame([(1, "a")], "version int, files string")
+    with pytest.raises(PySparkException):
+        manifest.expect_version(m, 2).select("files").collect()
+    requests = spark.createDataFrame([("r", "a, gone")], "run string, names string")
+    listing = spark.createDataFrame([("r", "a")], "run string, name string")
+    with pytest.raises(PySparkException):
+        listings.explicit_checkpoints(requests, listing, "run", "names", "name").select("run", "wanted").collect()
+    assert listings.explicit_checkpoints(requests, listing, "run", "names", "name", strict=False).count() == 2
+
+
+def test_large_vocabulary_is_whole(spark):
+    found = metrics.resolve_classes(spark.range(10_050).select(F.format_string("l%06d", "id").alias("label")), None, [], [])
+    assert len(found) == 10_050 and found[-1] == "l010049"
+
+
+def test_history_refuses_unknown_columns(spark):
+    with pytest.raises(ValueError):
+        sinks.conform(spark.createDataFrame([(1, 2)], "cycle int, odd int"), "cycle int")
+
+
+def test_log_loss_of_certain_errors(spark):
+    rows = spark.createDataFrame([(1, 1, 1.0), (1, 0, 0.0)], "y int, p int, q double")
+    assert metrics.evaluate_binary(rows, "y", "p", "q").first().val_loss == pytest.approx(13.8155, abs=1e-3)
+
+
+def test_malformed_json_fails(spark):
+    assert column(spark, ["", None, '{"a": 1}'], coerce.float_map) == [None, None, {"a": 1.0}]
+    for text in ("{bad", "[1]", "3"):
+        with pytest.raises(PySparkException):
+            column(spark, [text], coerce.float_map)
+
+
+def test_image_names_are_decoded(spark, tmp_path):
+    import numpy as np
+
+    from tessella.checks.png import encode_png
+    from tessella.sources.images import scan_images, unreadable_images
+
+    names = ["p%q.png", "s[1].png", "a b.png", "c#d.png", "e+f.png", "ü.png"]
+    for n in names:
+        (tmp_path / n).write_bytes(encode_png(np.zeros((2, 2, 3), np.uint8)))
+    (tmp_path / "broken.png").write_bytes(b"x")
+    got = {r.image_id for r in scan_images(spark, str(tmp_path), skip_unreadable=True).collect()}
+    assert got == set(names) <= {r.filename for r in listings.list_folder(spark, str(tmp_path)).collect()}
+    assert [r.filename for r in unreadable_images(spark, str(tmp_path)).collect()] == ["broken.png"]
+    with pytest.raises(PySparkException):
+        scan_images(spark, str(tmp_path)).collect()
+
+
+def test_missing_read_errors_are_not_hidden(spark, tmp_path):
+    assert sinks.read_if_exists(spark, str(tmp_path / "none")) is None
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(PySparkException):
+        sinks.read_if_exists(spark, str(tmp_path / "empty"))
