@@ -62,8 +62,8 @@ def heatmap_unpad(spark, sf):
   c AS (SELECT id, CASE WHEN CASE WHEN area < 0.16 THEN lo_area ELSE area END > 0.252 THEN hi WHEN area < 0.16 THEN lo ELSE q END AS cut FROM a)
   SELECT CAST(id AS INT) AS k, floor(cut * 1e6 + 0.501) / 1e6 AS cut, count(*) FILTER (v >= cut) AS n_on FROM up JOIN c USING (id) GROUP BY id, cut""")
 def quantile_mask(spark, sf):
-    heat = pin(_heat(spark, sf))  # read by the counts and by the cut
-    cuts = saliency.mask_thresholds(saliency.value_counts(heat), 0.85, 0.16, 0.252)
+    heat = pin(_heat(spark, sf))  # read by both passes of the cuts and by the masks
+    cuts = pin(saliency.heat_cuts(heat, _frames(spark, sf), fx.BLOCK, 0.85, 0.16, 0.252))
     mask = saliency.cut_masks(heat, cuts, _frames(spark, sf), fx.BLOCK)
     on = blocks.digest(mask).select("image_id", (F.col("sum_v") / 255).cast("bigint").alias("n_on"))
     return as_k(on.join(cuts, "image_id")).select("k", (F.floor(F.col("cut") * 1e6 + 0.501) / 1e6).alias("cut"), "n_on")

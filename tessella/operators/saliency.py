@@ -137,6 +137,62 @@ def mask_thresholds(counts: DataFrame, quantile: float = 0.85, min_area: float =
     return areas.select("image_id", F.when(area > max_area, F.col("_high")).otherwise(first).alias("cut"))
 
 
+BINS = 4096  # of the first pass over heat
+
+
+def heat_cuts(heat: DataFrame, images: DataFrame, block: int, quantile: float = 0.85, min_area: float = 0.05, max_area: float = 0.5,
+              low: float = 0.75, high: float = 0.95) -> DataFrame:
+    """Cut level per image as ``mask_thresholds`` gives it, by two passes over heat in [0, 1] and without a row per pixel.
+
+    The first pass counts ``BINS`` equal bins per block; sums over them tell which bins hold the wanted order statistics. The second
+    emits distinct values of those bins only, with their number. Areas above a cut follow from the same running sums.
+    """
+
+    def binned(values):
+        return np.minimum((values * BINS).astype(np.int64), BINS - 1)
+
+    def histogram(b):
+        n = np.bincount(binned(pixels(b, np.float64)).ravel(), minlength=BINS)
+        at = np.flatnonzero(n)
+        return {"bin": at.astype(np.int32), "n": n[at]}
+
+    bins = map_blocks(heat, histogram, "bin int, n bigint").groupBy("image_id", "bin").agg(F.sum("n").alias("n"))
+    by_bin = Window.partitionBy("image_id")  # BINS rows of an image at most
+    spans = bins.select("image_id", "bin", "n", (F.sum("n").over(by_bin.orderBy("bin")) - F.col("n")).alias("before"), F.sum("n").over(by_bin).alias("total"))
+    probs = F.explode(F.array(*[F.lit(float(p)) for p in (quantile, low, high)])).alias("prob")
+    place = (F.col("total") - 1) * F.col("prob")
+    ends = F.explode(F.array(F.struct(F.lit("a").alias("end"), F.floor(place).alias("at")), F.struct(F.lit("b").alias("end"), F.ceil(place).alias("at")))).alias("e")
+    asked = spans.select("*", probs).select("*", (place - F.floor(place)).alias("frac"), ends).select("image_id", "bin", "n", "before", "total", "prob", "frac", "e.*")
+    wanted = pin(asked.where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n"))).drop("n"))  # six rows an image
+
+    frames = images.select("image_id", F.col("h").alias("img_h"), F.col("w").alias("img_w"))
+    lists = wanted.groupBy("image_id").agg(F.collect_set("bin").alias("bins"))
+    listed = spread_over_blocks(frames.join(lists, "image_id"), block).drop("img_h", "img_w")
+
+    def values(b):
+        flat = pixels(b, np.float64).ravel()
+        v, n = np.unique(flat[np.isin(binned(flat), b["bins"])], return_counts=True)
+        return {"bin": binned(v).astype(np.int32), "v": v, "n": n.astype(np.int64)}
+
+    found = map_blocks(heat.join(listed, ["image_id", "by", "bx"]), values, "bin int, v double, n bigint").groupBy("image_id", "bin", "v").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("image_id", "bin").orderBy("v"))
+    placed = found.withColumn("upto", upto).join(wanted, ["image_id", "bin"]).withColumn("first", F.col("before") + F.col("upto") - F.col("n"))
+    hit = placed.where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("before") + F.col("upto")))
+    pick = lambda end, c: F.max(F.when(F.col("end") == end, F.col(c)))
+    pairs = hit.groupBy("image_id", "prob", "frac", "total").agg(
+        pick("a", "v").alias("a"), pick("b", "v").alias("b"), pick("a", "first").alias("below"), F.max(F.when(F.col("end") == "a", F.col("before") + F.col("upto"))).alias("through")
+    )
+    q = F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")
+    under = F.when(F.col("q") > F.col("a"), F.col("through")).otherwise(F.col("below"))  # no value lies between the two ends
+    each = pairs.withColumn("q", q).select("image_id", "prob", "q", (1 - under / F.col("total")).alias("area"))
+    at = lambda p, c: F.max(F.when(F.col("prob") == float(p), F.col(c)))
+    wide = each.groupBy("image_id").agg(at(quantile, "q").alias("q"), at(low, "q").alias("lo"), at(high, "q").alias("hi"), at(quantile, "area").alias("area"), at(low, "area").alias("lo_area"))
+    little = F.col("area") < min_area
+    first = F.when(little, F.col("lo")).otherwise(F.col("q"))
+    area = F.when(little, F.col("lo_area")).otherwise(F.col("area"))
+    return wide.select("image_id", F.when(area > max_area, F.col("hi")).otherwise(first).alias("cut"))
+
+
 def cut_masks(heat: DataFrame, cuts: DataFrame, images: DataFrame, block: int) -> DataFrame:
     """Masks (0 / 255) of heat at or above each image's cut level."""
     frames = images.select("image_id", F.col("h").alias("img_h"), F.col("w").alias("img_w"))

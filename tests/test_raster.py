@@ -310,3 +310,21 @@ def test_image_scan_puts_channels_in_order(spark, tmp_path):
     assert [tuple(r) for r in image_sizes(df).collect()] == [("one.png", 13, 9)]
     assert scan_images(spark, str(tmp_path), "grey", 8, "*.png", "stem").select("image_id", "nch").distinct().collect() == [("one", 1)]
     assert {r.filename for r in list_folder(spark, str(tmp_path)).collect()} == {"one.png", "note.txt"}
+
+
+@pytest.mark.parametrize("limits", [(0.05, 0.5), (0.2, 0.5), (0.05, 0.1)])
+def test_heat_cuts_equal_quantiles(spark, make_blocks, limits):
+    rng = np.random.default_rng(5)
+    arrays = {0: rng.random((23, 17)), 1: np.round(rng.random((20, 20)), 1), 2: np.full((9, 11), 0.25), 3: np.where(rng.random((30, 12)) < 0.9, 0.0, rng.random((30, 12))), 4: np.ones((1, 1))}
+    heat = make_blocks(arrays, 8)
+    images = spark.createDataFrame([(k, a.shape[1], a.shape[0]) for k, a in arrays.items()], "image_id int, w int, h int")
+    got = {r.image_id: r.cut for r in saliency.heat_cuts(heat, images, 8, 0.85, *limits).collect()}
+    for k, a in arrays.items():
+        q, low, high = (float(np.quantile(a, p)) for p in (0.85, 0.75, 0.95))
+        area = (a >= q).mean()
+        cut = q
+        if area < limits[0]:
+            cut, area = low, (a >= low).mean()
+        if area > limits[1]:
+            cut = high
+        assert got[k] == pytest.approx(cut, abs=1e-12), k
