@@ -313,25 +313,36 @@ def digest(blocks: DataFrame, dtype=np.uint8, keys: Sequence[str] = ("image_id",
     )
 
 
+TILES = 32  # tiles cut from a block by one kernel call: what it holds at once is bounded by that many blocks
+
+
 def tile_pieces(tiles: DataFrame, blocks: DataFrame, block: int, keys: Sequence[str]) -> DataFrame:
     """Trimmed block parts of each tile; ``tiles`` holds ``image_id``, the keys and ``x0, y0, x1, y1``.
 
     Tiles are spread over the blocks they meet, so the join is on the full block key and both a huge image
-    and a busy one are split over many tasks.
+    and a busy one are split over many tasks.  A block's tiles are listed before the join (as many as the per-image cap lets
+    meet it), so that its bytes go to Python once for every ``TILES`` of them.
     """
-    cells = spread_over_blocks(tiles.select("image_id", *[k for k in keys if k != "image_id"], *[F.col(c).alias(f"t{c}") for c in ("y0", "x0", "y1", "x1")]),
-                               block, "ty0", "tx0", "ty1", "tx1")
-    met = cells.join(blocks, ["image_id", "by", "bx"])
+    own = [k for k in keys if k != "image_id"]
+    cells = spread_over_blocks(tiles.select("image_id", *own, *[F.col(c).alias(f"t{c}") for c in ("y0", "x0", "y1", "x1")]), block, "ty0", "tx0", "ty1", "tx1")
+    lists = cells.groupBy("image_id", "by", "bx").agg(F.collect_list(F.struct(*own, "ty0", "tx0", "ty1", "tx1")).alias("tiles"))
+    part = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("tiles") - 1) / TILES).cast("int")), lambda i: F.slice("tiles", i * TILES + 1, TILES)))
+    met = lists.select("image_id", "by", "bx", part.alias("tiles")).join(blocks, ["image_id", "by", "bx"])
 
     def kernel(b):
-        y0, x0, y1, x1 = b["ty0"], b["tx0"], b["ty1"], b["tx1"]
-        arr = pixels(b)
-        got = cut(b, arr, y0, x0, y1, x1)
-        if got is None:
-            return None
-        return piece_rows([(0, 0, y0, x0, y1 - y0, x1 - x0, b["img_h"], b["img_w"], b["nch"])], [piece(*got)])
-
-    return map_blocks(met, kernel, PIECE_FIELDS, keys)
+        arr, chosen, targets, pieces = pixels(b), [], [], []
+        for t in b["tiles"]:
+            y0, x0, y1, x1 = t["ty0"], t["tx0"], t["ty1"], t["tx1"]
+            got = cut(b, arr, y0, x0, y1, x1)
+            if got is not None:
+                chosen.append(t)
+                targets.append((0, 0, y0, x0, y1 - y0, x1 - x0, b["img_h"], b["img_w"], b["nch"]))
+                pieces.append(piece(*got))
+        rows = piece_rows(targets, pieces)
+        return rows and {k: [t[k] for t in chosen] for k in own} | rows
+
+    schema = T.StructType([tiles.schema[k] for k in own] + T.StructType.fromDDL(PIECE_FIELDS).fields)
+    return map_blocks(met, kernel, schema).select(*keys, *T.StructType.fromDDL(PIECE_FIELDS).names)
 
 
 def crop_tiles(tiles: DataFrame, blocks: DataFrame, block: int, keys: Sequence[str] = ("image_id", "tile_y", "tile_x")) -> DataFrame:
