@@ -4,10 +4,11 @@
    each bin keeps its smallest shingle hash, and an empty bin takes the value of a filled one chosen by a hash of its number
    (optimal densification). ``BANDS`` bands of ``ROWS`` bins each become keys.
 2. Documents with the same set are one class from here on, its representative the smallest ``doc_id``.
-3. A bucket (band key) links its representatives to the smallest one of them: a star, not all pairs. Each representative is first
-   compared, on full sets, with the star centre that it shares most bands with.
-4. Buckets whose members are not yet in one component are completed: members outside the component of the centre are compared
-   with all members of other components. So no candidate pair between different components stays untested.
+3. A bucket (band key) links its representatives to one of them, the one that shares most buckets with others: a star, not all
+   pairs. Each representative is compared, on full sets, with the star centre that it shares most bands with.
+4. Representatives of buckets that are not yet within one component are compared beyond the stars, by an exact filter: shingles
+   are ordered from rare to frequent; two similar sets share one of their first shingles, and what follows it in both must suffice
+   for the similarity. So no similar pair of a bucket stays undetected, and sets that are merely alike meet in few pairs.
 
 A pair of similarity 0.85 shares none of 26 bands of 5 with a probability of 2 in 10 million.
 """
@@ -131,19 +132,56 @@ def _compare(percent: int):
     return run
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, prints: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full shingle sets are similar enough. prints: ``node, print_1`` of all nodes."""
-    pairs = small(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(prints, "node")
-    needed = small(written(needed, "needed").withColumnRenamed("node", "doc_id"))
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, print_1, members`` (packed hashes): the shingle sets of ``nodes`` (``node, print_1``), written."""
+    needed = small(written(nodes.select(F.col("node").alias("doc_id"), "print_1").distinct(), "needed"))
     sets = texts(docs).join(needed, "doc_id").select("doc_id", "print_1", "text").mapInArrow(_full_sets, "node long, print_1 long, members binary")
     # A repeated row of a document would repeat its pairs: each set once for each node.
-    sets = written(sets.groupBy("node", "print_1").agg(F.first("members").alias("members")), "sets")
+    return written(sets.groupBy("node", "print_1").agg(F.first("members").alias("members")), "sets")
+
+
+def confirm(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (``a``, ``b``) whose full shingle sets are similar enough."""
+    pairs = small(pairs)
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")).join(pairs, "a")
     rows = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
     return rows.mapInArrow(_compare(percent), "a long, b long").distinct()
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        members = [np.frombuffer(m.as_buffer(), np.int64) for m in batch.column("members")]
+        offsets = pa.array(np.cumsum([0, *map(len, members)]), pa.int32())
+        values = pa.array(np.concatenate(members) if members else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("print_1"), pa.ListArray.from_arrays(offsets, values)], ["node", "print_1", "shingles"])
+
+
+def filtered_pairs(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of ``nodes`` (``node, component``) of different components that may be similar enough; none that is gets lost.
+
+    With shingles ordered from rare to frequent, two similar sets share one within the first ``n - ceil(percent * n / 100) + 1`` of each,
+    and the shingles from there on, of the shorter rest, must reach the overlap that the similarity asks for. Shingles of one
+    node alone come first and are never joined.
+    """
+    named = sets.join(nodes, "node").select("node", "print_1", "members", "component")
+    rows = named.select("node", "print_1", "members").mapInArrow(_unpack, "node long, print_1 long, shingles array<long>")
+    rows = written(rows.select("node", "print_1", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ranked = rows.join(often, "shingle").groupBy("node", "print_1", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("known"))
+    alone = F.col("n") - F.size("known")
+    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - alone
+    ranked = ranked.where(first > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("known", 1, first.cast("int"))).alias("at", "token"))
+    ranked = ranked.select("node", "n", F.col("token.shingle").alias("shingle"), (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+    ranked = written(ranked.join(small(nodes), "node"), "prefixes")
+    mixed = ranked.groupBy("shingle").agg(F.min("component").alias("main"), F.max("component").alias("last")).where("main < last").drop("last")
+    ranked = written(ranked.join(mixed, "shingle"), "mixed")
+    x = ranked.where("component <> main").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("component").alias("cx"))
+    y = ranked.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("component").alias("cy"))
+    enough = (100 + percent) * F.least("rx", "ry") >= percent * (F.col("nx") + F.col("ny"))
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & (x["cx"] != y["cy"]) & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -157,29 +195,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     kind = ["print_1", "print_2", "n_shingles"]
     classes = some.groupBy(*kind).agg(F.min(F.struct("doc_id", "bands")).alias("first"))
     nodes = written(classes.select(*kind, F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands")), "nodes")
-    members = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    shared = written(members.join(buckets, "key"), "buckets")  # only buckets of two nodes or more
-    prints = nodes.select("node", "print_1")
-
-    def comparable(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    stars = shared.where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("bands"))
-    best = stars.groupBy("node").agg(F.max(F.struct("bands", (-F.col("centre")).alias("near"))).alias("best"))
-    first = written(best.select((-F.col("best.near")).alias("a"), F.col("node").alias("b")), "pairs")
-    links = written(confirm(docs, first, prints, percent), "confirmed")
-    found = written(components(links), "components")
-
-    labelled = shared.join(small(found), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    labelled = written(labelled, "labelled")
+    members = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = written(members.join(sizes, "key"), "buckets")  # only buckets of two nodes or more
+    common = written(shared.groupBy("node").agg(F.sum("size").alias("common")), "common")
+    centres = shared.join(small(common), "node").groupBy("key").agg(F.max(F.struct("common", (-F.col("node")).alias("near"))).alias("centre"))
+    stars = shared.join(centres, "key").select("node", (-F.col("centre.near")).alias("centre")).where("node <> centre")
+    best = stars.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("bands")).groupBy("node").agg(F.max(F.struct("bands", (-F.col("centre")).alias("near"))).alias("best"))
+    pairs = written(best.select((-F.col("best.near")).alias("a"), F.col("node").alias("b")), "pairs")
+    sets = full_sets(docs, nodes.join(small(common), "node", "left_semi"))
+    links = written(confirm(sets, pairs, percent), "confirmed")
+    found = small(written(components(links), "components"))
+
+    labelled = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("last")).where("main < last")
-    open_ = written(labelled.join(mixed.drop("last"), "key"), "open")
-    x = open_.where("component <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    y = open_.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    more = x.join(y, (x["key"] == y["key"]) & (x["cx"] != y["cy"]) & comparable("nx", "ny"))
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(confirm(docs, written(more, "pairs"), prints, percent))
+    open_ = written(labelled.join(mixed, "key").select("node", "component").distinct(), "open")
+    more = written(filtered_pairs(sets, open_, percent), "pairs")
+    links = links.unionByName(confirm(sets, more, percent))
     found = written(components(links), "components")
 
     named = nodes.select(*kind, "node").join(small(found), "node", "left").select(*kind, F.coalesce("component", "node").alias("component"))
