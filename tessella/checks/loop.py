@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.checks import fixtures as fx
 from tessella.checks.registry import check, table
 from tessella.checks.scalars import NAMED
-from tessella.checks.scoring import SCORED_SQL, scored
+from tessella.checks.scoring import SCORED_SQL, SUMMARY_SQL, scored
 from tessella.functions import labels, naming
 from tessella.operators import curriculum
 from tessella.operators.sampling import with_position
@@ -102,3 +102,25 @@ def quarantine_null(spark, sf):
     d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.expr("CASE WHEN o_custkey % 50 <> 7 THEN concat('img', o_custkey % 50, '.png') END").alias("name"), "o_orderstatus")
     _, bad = curriculum.quarantine(d, d.where("o_orderstatus = 'P'"), "k", "name")
     return bad.select("k", F.col("quarantine_name").alias("final"))
+
+
+def _reward_sql(src: str) -> str:
+    summary = SUMMARY_SQL.format(by="cycle, checkpoint", src=src).replace("summary AS", f"{src}_summary AS", 1)
+    pick = lambda mode, col, default: f"coalesce(max({col}) FILTER (prompt_mode = '{mode}'), {default})"
+    return f"""{summary}, {src}_reward AS (SELECT cycle, checkpoint, {pick('same_class', 'top1', 0)} AS st, {pick('cross_class', 'top1', 0)} AS ct, {pick('same_class', 'target_prob_mean', 0)} AS sp, {pick('cross_class', 'target_source_prob_margin_mean', -1)} AS cm,
+  {pick('cross_class', 'target_source_prob_margin_score', 0)} AS cs FROM {src}_summary GROUP BY ALL)"""
+
+
+@check("holdout_score", f"""WITH {SCORED_SQL}, cand AS (SELECT *, CAST(vec_id % 3 + 1 AS INT) AS cycle, model_alias AS checkpoint FROM scored), sel AS (SELECT * FROM cand WHERE vec_id % 10 < 7), held AS (SELECT * FROM cand WHERE vec_id % 10 >= 7), {_reward_sql('sel')}, {_reward_sql('held')},
+  best AS (SELECT cycle, checkpoint FROM sel_reward QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY 0.5::DOUBLE * sp + 0.5::DOUBLE * cs DESC, cs DESC, ct DESC, sp DESC, st DESC) = 1)
+  SELECT cycle, checkpoint, round(0.5::DOUBLE * sp + 0.5::DOUBLE * cs, 5) AS holdout_combined_reward, round(cs, 5) AS holdout_cross_class_margin_score, round(cm, 5) AS holdout_cross_class_target_prob_margin_mean, round(ct, 5) AS holdout_cross_class_target_top1,
+    round(sp, 5) AS holdout_same_class_target_prob_mean, round(st, 5) AS holdout_same_class_target_top1 FROM best JOIN held_reward USING (cycle, checkpoint)""")
+def holdout_score(spark, sf):
+    """The best checkpoint of each cycle, chosen on one part of the rows and scored on the other."""
+    from tessella.plans import reward_loop
+
+    position = F.expr("CASE model_alias WHEN 'base' THEN 0L WHEN 'tuned' THEN 1L ELSE 2L END")
+    rows = scored(spark, sf).select("*", F.lit("run").alias("run"), (F.col("vec_id") % 3 + 1).cast("int").alias("cycle"), F.col("model_alias").alias("checkpoint"), position.alias("position"))
+    history = reward_loop.loop_history(reward_loop.rank_checkpoints(rows.where("vec_id % 10 < 7")), 0.001)
+    held = reward_loop.score_holdout(history, rows.where("vec_id % 10 >= 7"))
+    return held.select("cycle", "checkpoint", *[F.round(c, 5).alias(c) for c in held.columns if c.startswith("holdout_")])

@@ -26,7 +26,7 @@ def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str =
     """Join on the group columns with NULL as a group of its own; the right side's other columns are added."""
     named = right.select(*[F.col(c).alias(f"_group_{c}" if c in by else c) for c in right.columns])
     same = [F.col(c).eqNullSafe(F.col(f"_group_{c}")) for c in by]
-    return left.join(named, reduce(and_, same, F.lit(True)) if same else None, how).drop(*[f"_group_{c}" for c in by])
+    return left.join(named, reduce(and_, same), how).drop(*[f"_group_{c}" for c in by])
 
 
 def hash_rank(df: DataFrame, draw: Column, by: Sequence[str] = (), ties: Sequence[str] = (), name: str = "rank",
