@@ -20,23 +20,28 @@ OTHER_DESCRIPTOR = "skin histology tissue pattern"
 
 
 def source_inputs(tiles: DataFrame, images: DataFrame, image_blocks: DataFrame, mask_blocks: DataFrame, block: int, height: int, width: int):
-    """Image and mask of each tile, cropped to the clamped box and resized to the model's size.
+    """Image and mask of each tile, cropped to the clamped box and resized to the model's size. A mask that hasn't its image's size
+    belongs to the tile already and is taken whole.
 
-    ``tiles``: ``image_id, tile_y, tile_x, tile_size, tile_w, tile_h``; ``images``: ``image_id, w, h``; masks share the
-    image's frame.
+    ``tiles``: ``image_id, tile_y, tile_x, tile_size, tile_w, tile_h``; ``images``: ``image_id, w, h``.
     """
     keys = ["image_id", "tile_y", "tile_x"]
     box = bx.clamp_box(
         bx.crop_box(*[F.col(f"tile_{c}") for c in ("x", "y", "size", "w", "h")]), F.col("w"), F.col("h")
     )
     # coordinates only, and read by both crops: pinned once instead of mined twice
-    boxed = pin(tiles.join(images.select("image_id", "w", "h"), "image_id").withColumn("box", box).where("box IS NOT NULL").select(*keys, "box.*"))
-
-    def load(source):
-        crops = resample.as_images(crop_tiles(boxed, source, block, keys), keys)
+    boxed = pin(tiles.join(images.select("image_id", "w", "h"), "image_id").withColumn("box", box).where("box IS NOT NULL").select(*keys, "w", "h", "box.*"))
+    # sizes are read from two columns of the mask blocks
+    sizes = mask_blocks.select("image_id", F.col("img_w").alias("_mw"), F.col("img_h").alias("_mh")).distinct()
+    shared = (F.col("_mw") == F.col("w")) & (F.col("_mh") == F.col("h"))
+    corner = {"x0": F.lit(0), "y0": F.lit(0), "x1": F.col("_mw"), "y1": F.col("_mh")}
+    of_mask = boxed.join(sizes, "image_id").select(*keys, *[F.when(shared, F.col(c)).otherwise(v).alias(c) for c, v in corner.items()])
+
+    def load(boxes, source):
+        crops = resample.as_images(crop_tiles(boxes, source, block, keys), keys)
         return resample.resize_linear(crops, max(height, width, block), lambda b: (height, width), "lanczos", keys=keys)
 
-    return load(image_blocks), load(mask_blocks)
+    return load(boxed.drop("w", "h"), image_blocks), load(of_mask, mask_blocks)
 
 
 def edit_plan(patches: DataFrame, template: str, seed_base: int, row: str) -> DataFrame:

@@ -96,3 +96,13 @@ def test_reward_loop(spark):
     count = lambda c, o: len([r for r in made if r.for_cycle == c and r.origin == o])
     assert [count(c, "real") for c in (1, 2, 3)] == [1, 1, 1]
     assert [count(c, "pseudo") for c in (1, 2, 3)] == [6, 6, 6]  # cycle 3 falls back to the rows of cycle 2
+
+
+def test_tile_sized_masks_are_taken_whole(spark, make_blocks):
+    rgb = {k: RNG.integers(0, 256, (40, 48, 3)).astype(np.uint8) for k in (0, 1)}
+    mask = {0: (RNG.random((40, 48)) < 0.5).astype(np.uint8) * 255, 1: (RNG.random((16, 16)) < 0.5).astype(np.uint8) * 255}
+    tiles = spark.createDataFrame([(k, 8, 4, 16, None, None) for k in (0, 1)], "image_id int, tile_y int, tile_x int, tile_size int, tile_w int, tile_h int")
+    images = spark.createDataFrame([(k, 48, 40) for k in (0, 1)], "image_id int, w int, h int")
+    _, masks = patches.source_inputs(tiles, images, make_blocks(rgb, 16), make_blocks(mask, 16), 16, 16, 16)
+    got = {r.image_id: np.frombuffer(r.data, np.uint8).reshape(16, 16) for r in masks.collect()}
+    assert np.array_equal(got[0], mask[0][8:24, 4:20]) and np.array_equal(got[1], mask[1])
