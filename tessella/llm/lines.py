@@ -3,8 +3,8 @@
 A line is removed from a document if an equal line, or one within ``EDITS`` edits, stands earlier in the corpus, in the order of
 ``doc_id`` and line. Equal lines meet by hash. For the others, each distinct line is split into ``EDITS + 1`` segments of even
 lengths, of which a line within the threshold keeps at least one unchanged; it is then found among the substrings of that line at
-the few places that the difference of lengths allows. Both sides carry one hash of (length, segment, substring); where they meet, the
-texts of the two lines are fetched and their edit distance is taken within the threshold's band.
+the few places that the difference of lengths allows; the rest of both is split in the same way again, so that lines which merely
+share a segment rarely meet. Both sides carry one hash of (length, segments, substrings); where they meet, the texts of the two lines are fetched and their edit distance is taken within the threshold's band.
 
 The band is computed by Spark's own thresholded ``levenshtein``; a bit-parallel form would need bit operations per character in
 interpreted higher-order functions.
@@ -28,19 +28,35 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start.cast("int"), (size + F.when(longer >= edits + 1 - i, 1).otherwise(0)).cast("int")
 
 
+def _matches(text: Column, length: Column, n: Column, shorter: int, edits: int) -> list[tuple[bool, int, Column, Column]]:
+    """For a line of ``length`` that looks for lines of ``n``, ``shorter`` characters less: each segment at each place where it can
+    match, as (whether it is the line's own segment, its number, the substring, the rest of the line).
+
+    A segment matches at places that leave the edits before it below its number and those after it below what then remains.
+    """
+    out = []
+    for i in range(edits + 1):
+        start, size = _segment(n, i, edits)
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
+            at = start + shift
+            rest = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + size, length))
+            out.append((shorter == 0 and shift == 0, i, F.substring(text, at, size), rest))
+    return out
+
+
 def _keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
     """Hashes under which a line is found, and under which it looks for others: lines of its own length and up to ``edits`` shorter.
 
-    A segment can only match at places that leave the edits before and after it within the threshold.
+    What is left of two lines without a matching segment is within the same number of edits, so that it is split into segments once
+    more: a key is a segment and a segment of the rest. Lines that share one segment but differ in more places don't meet.
     """
     own, probes = [], []
     for shorter in range(edits + 1):
         n = length - shorter
-        for i in range(edits + 1):
-            start, size = _segment(n, i, edits)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                key = F.xxhash64(n, F.lit(i), F.substring(line, start + shift, size))
-                (own if shorter == 0 and shift == 0 else probes).append(key)
+        for mine, i, segment, rest in _matches(line, length, n, shorter, edits):
+            _, size = _segment(n, i, edits)
+            for too, j, piece, _ in _matches(rest, length - size, n - size, shorter, edits):
+                (own if mine and too else probes).append(F.xxhash64(n, F.lit(i), segment, F.lit(j), piece))
     return own, probes
 
 
