@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessella.llm.tables import written
 
 WIDTH, STOP, SEED = 8, 0.97, 5
-BLOCK, BUCKET, QUERIES = 4096, 64, 8192  # rows of a block, of a bucket; queries searched together
+BLOCK, BUCKET, QUERIES = 4096, 256, 8192  # rows of a block, of a bucket; queries searched together
 SAMPLE, LEAVES = 20_000, 1024  # projections that split the upper tree, and its most leaves
 
 
