@@ -1,7 +1,8 @@
 """Mixing of sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Documents fall into cells of source, language and topic; a cell's weight starts as its number of tokens. Raking scales the weights
-of each margin in turn to its target share, and holds every weight below what the cell can give at the wanted budget. Each
+of each margin in turn to its target share. ``rake`` holds every weight below what the cell can give at the wanted budget, and so
+misses targets where cells reach that bound; ``rake_fully`` meets them to a stated tolerance and takes a smaller budget instead. Each
 document is then kept with the probability ``budget * weight / tokens`` of its cell, by a draw that depends on its id and the seed
 alone. All work over documents is one count and one join with the cells; raking runs over the cells, of which there are as many as
 combinations of values.
@@ -9,6 +10,8 @@ combinations of values.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from tessella.llm.tables import small, written
 #: A margin's target share is its present share to this power, scaled to one: below 1, small values gain.
 TEMPERATURE = 0.7
 BUDGET, ROUNDS, SEED = 0.75, 8, 17
+#: Full raking ends when no value of a margin is further from its goal than this share of it, and warns if it isn't by then.
+TOLERANCE, MOST_ROUNDS = 1e-6, 100
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,13 +52,67 @@ def rake(cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, tempera
     return out.select(*MARGINS, F.round(F.least(F.lit(1.0), budget * F.col("weight") / F.col("tokens")), 9).alias("probability"))
 
 
-def mix_documents(docs: DataFrame, topics: DataFrame | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+def _goals(cells: DataFrame, margin: str, total: int, temperature: float, targets: DataFrame | None) -> DataFrame:
+    """Each value of a margin and its ``goal`` of tokens, written: its smoothed share, or that of its weight in ``targets``."""
+    rows = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temperature)).alias("power"))
+    if targets is not None:
+        given = targets.where(F.col("margin") == margin).select(F.col("value").cast("string").alias("value"), F.col("weight").cast("double").alias("given"))
+        if given.head(1):
+            rows = rows.join(given, F.col(margin).cast("string") == F.col("value"), "left").select(margin, F.col("given").alias("power"))
+            if rows.where("power IS NULL OR isnan(power) OR power < 0").head(1) or rows.groupBy(margin).count().where("count > 1").head(1):
+                raise ValueError(f"targets need one weight, not below zero, for each {margin}")
+    rows = written(rows, "powers")
+    scale = rows.agg(F.sum("power")).first()[0]
+    if not scale:
+        raise ValueError(f"targets leave no {margin}")
+    return written(rows.select(margin, (F.lit(float(total)) * F.col("power") / scale).alias("goal")), "goals")
+
+
+def rake_fully(
+    cells: DataFrame, budget: float = BUDGET, temperature: float = TEMPERATURE, targets: DataFrame | None = None, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS
+) -> tuple[DataFrame, float]:
+    """``cells`` (margins, ``tokens`` above zero) with ``probability``, and the budget that they have: the wanted one, or the largest
+    at which no probability exceeds one.
+
+    Every value of a margin gets its goal to within ``tolerance`` of it. Margins that exclude each other (a source of one language
+    only, say) may have no such weights: after ``most`` rounds a warning says by how much they are missed. Sums are aggregated by
+    value; no task holds all cells, or all those of a value.
+    """
+    out = written(cells.select(*MARGINS, "tokens", F.col("tokens").cast("double").alias("weight")), "cells")
+    total = out.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return out.select(*MARGINS, F.lit(budget).alias("probability")), budget
+    goals = {m: small(_goals(out, m, total, temperature, targets)) for m in MARGINS}
+    for _ in range(most):
+        off = []
+        for m in MARGINS:
+            sums = out.groupBy(m).agg(F.sum("weight").alias("sum")).join(goals[m], m)
+            factors = written(sums.select(m, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"), "goal"), "factors")
+            off.append(factors.where("goal > 0").select(F.abs(F.col("factor") - 1).alias("off")))
+            out = out.join(small(factors.drop("goal")), m).select(*MARGINS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+        out = written(out, "weights")
+        missed = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("off")).first()[0]
+        if missed <= tolerance:
+            break
+    else:
+        warnings.warn(f"after {most} rounds margins are missed by up to {missed:.2g} of their goals", stacklevel=2)
+    budget = min(budget, out.where("weight > 0").agg(F.min(F.col("tokens") / F.col("weight"))).first()[0])
+    return out.select(*MARGINS, F.least(F.lit(1.0), F.lit(budget) * F.col("weight") / F.col("tokens")).alias("probability")), budget
+
+
+def mix_documents(docs: DataFrame, topics: DataFrame | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED, full: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, probability, sampled`` for each row of ``docs``.
 
     docs: ``doc_id, text, source, lang``; tokens are words, null texts have none; null sources and languages are values of their own,
     ``""``. topics: ``doc_id, topic`` (of several the smallest; ``-1`` where there is none). Cells without tokens have the budget as
     probability. Repeated rows share their draw, and rows without ``doc_id`` are drawn as one. Further columns are ignored.
+
+    full: by ``rake_fully``, which meets the target shares at a budget of at most ``budget``, in as many rounds as it takes. Only then
+    targets: ``margin`` (one of ``MARGINS``), ``value`` and ``weight``, for the margins whose shares aren't the smoothed ones; every
+    value in ``docs`` of such a margin needs a weight.
     """
+    if targets is not None and not full:
+        raise ValueError("targets are met by full raking only")
     key = F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(
         key, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
@@ -66,7 +125,11 @@ def mix_documents(docs: DataFrame, topics: DataFrame | None = None, budget: floa
         rows = rows.join(named, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit(-1).cast("long")))
     rows = written(rows, "counted")
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    rates = small(written(rake(cells, budget, rounds, temperature), "rates"))
+    if full:
+        raked, budget = rake_fully(cells, budget, temperature, targets)
+    else:
+        raked = rake(cells, budget, rounds, temperature)
+    rates = small(written(raked, "rates"))
     out = rows.join(rates, list(MARGINS), "left").withColumn("probability", F.coalesce("probability", F.lit(budget)))
     return out.select("doc_id", *MARGINS, "n_tokens", "probability", (_draw_of("doc_id", seed) < F.col("probability")).alias("sampled"))
 
@@ -75,9 +138,9 @@ def _draw_of(key: str, seed: int) -> Column:
     return draw(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
 
 
-def sampled_documents(docs: DataFrame, topics: DataFrame | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+def sampled_documents(docs: DataFrame, topics: DataFrame | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED, full: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns, by ``mix_documents``. What isn't sampled leaves by its id."""
-    mixed = written(mix_documents(docs, topics, budget, rounds, temperature, seed), "mixed")
+    mixed = written(mix_documents(docs, topics, budget, rounds, temperature, seed, full, targets), "mixed")
     gone = small(written(mixed.where("NOT sampled").select(F.col("doc_id").alias("__gone")).distinct(), "unsampled"))
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
 

@@ -88,6 +88,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), topics)
 
 
+@query
+def op7_mixing_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probabilities of all documents that meet the smoothed shares of source, language and topic, at the budget this allows."""
+    topics = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), topics, full=True)
+
+
 @query
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand earlier in the corpus, up to one edit."""

@@ -310,6 +310,40 @@ def test_mixing_meets_its_margins(spark):
     assert rows.probability.max() <= 1
 
 
+def skewed(spark):
+    """Rare sources, languages and topics need far more than their tokens times 4 / 3 at the production budget."""
+    r = random.Random(5)
+    rows = [(i, "w " * r.randint(1, 60), r.choice("a" * 40 + "bbbc"), r.choice(["en"] * 30 + ["de", "fr"]), r.choice([0] * 20 + [1, 2])) for i in range(4000)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic int")
+    return rows.drop("topic"), rows.where("topic > 0").select("doc_id", "topic")
+
+
+def test_full_mixing_meets_skewed_margins_with_production_parameters(spark):
+    docs, topics = skewed(spark)
+    rows = mixing.mix_documents(docs, topics, full=True).toPandas()
+    total = rows.n_tokens.sum()
+    expected = rows.n_tokens * rows.probability
+    assert rows.probability.max() == pytest.approx(1) and rows.probability.max() <= 1 and 0 < expected.sum() / total < mixing.BUDGET
+    for m in mixing.MARGINS:
+        share = rows.groupby(m).n_tokens.sum() / total
+        goal = share**mixing.TEMPERATURE / (share**mixing.TEMPERATURE).sum()
+        assert np.allclose(expected.groupby(rows[m]).sum() / expected.sum(), goal, rtol=1e-5)
+    bounded = mixing.mix_documents(docs, topics).toPandas()
+    assert set(bounded.doc_id) == set(rows.doc_id)
+
+
+def test_full_mixing_takes_targets(spark):
+    docs, topics = skewed(spark)
+    targets = spark.createDataFrame([("lang", "en", 2.0), ("lang", "de", 1.0), ("lang", "fr", 1.0), ("lang", "absent", 9.0)], "margin string, value string, weight double")
+    rows = mixing.mix_documents(docs, topics, full=True, targets=targets).toPandas()
+    expected = (rows.n_tokens * rows.probability).groupby(rows.lang).sum()
+    assert np.allclose((expected / expected.sum())[["en", "de", "fr"]], [0.5, 0.25, 0.25], rtol=1e-5)
+    with pytest.raises(ValueError):
+        mixing.mix_documents(docs, topics, full=True, targets=targets.where("value <> 'de'"))
+    none = mixing.mix_documents(docs.where("false"), topics, full=True)
+    assert none.count() == 0
+
+
 def test_mixing_of_awkward_rows(spark):
     rows = mixing.mix_documents(awkward(spark)).collect()
     assert len(rows) == 13 and all(0 <= r.probability <= 1 for r in rows) and {r.lang for r in rows} == {"en", "", "de"}
