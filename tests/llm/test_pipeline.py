@@ -70,6 +70,19 @@ def test_near_duplicate_stage(stages):
     assert dict(zip(stages["near_duplicates"].doc_id, stages["near_duplicates"].text)).items() <= dict(zip(before.doc_id, before.text)).items()
 
 
+def test_near_duplicate_stage_links_from_four_fifths_on(spark):
+    """Copies of similarity 0.80 to 0.85 go; those below stay."""
+    docs, want = [], set()
+    for k, cut in enumerate((20, 22, 25, 26, 40)):
+        base = [f"w{k}x{i}" for i in range(229)]  # 225 shingles, of which a copy without its last words in common has ``cut`` others
+        copy = base[: 229 - cut] + [f"other{k}x{i}" for i in range(cut)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k} | ({2 * k + 1} if 100 * (225 - cut) < 80 * (225 + cut) else set())
+    assert want == {0, 2, 4, 6, 7, 8, 9} and all(100 * (225 - cut) < 85 * (225 + cut) for cut in (20, 22, 25))
+    rows = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, rows, SF).collect()} == want
+
+
 def test_mixing_stage(spark, stages):
     topics = dict(tables.table(spark, SF, "embeddings").select("vec_id", "label").collect())
     rows = [(r.doc_id, (r.source, r.lang, topics.get(r.doc_id, -1)), len(r.text.split())) for r in stages["near_duplicates"].itertuples()]
