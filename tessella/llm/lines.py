@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from tessella.llm.tables import small, written
 
 EDITS = 1
-LEAST = 16  # characters; shorter lines always stay
+LEAST = 16  # characters; shorter lines stay, or go by equality alone (``every``)
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -60,11 +61,12 @@ def _keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[
     return own, probes
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` (from 1) and ``line`` of every line that is long enough."""
+def _lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """``doc_id, line_no`` (from 1) and ``line`` of every line that is long enough; ``every``: also of each shorter one with a word."""
     split = F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("at", "line")
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), split)
-    return rows.where(F.length("line") >= LEAST).select("doc_id", (F.col("at") + 1).alias("line_no"), "line", *_name(F.col("line")))
+    wanted = F.length("line") >= LEAST
+    return rows.where(wanted | F.col("line").rlike(WORD) if every else wanted).select("doc_id", (F.col("at") + 1).alias("line_no"), "line", *_name(F.col("line")))
 
 
 def _name(line: Column) -> tuple[Column, Column]:
@@ -72,11 +74,13 @@ def _name(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, every: bool = False) -> DataFrame:
     """``doc_id, drop``: the numbers of the lines to remove, for each document that has any."""
-    lines = _lines(docs)
-    own, probes = _keys(F.col("line"), F.length("line"), edits)
-    keyed = lines.select("doc_id", "line_no", "h1", "h2", F.array(*own).alias("own"), F.array(*probes).alias("probes"))
+    lines = _lines(docs, every)
+    own, probes = (F.array(*keys) for keys in _keys(F.col("line"), F.length("line"), edits))
+    if every:  # shorter lines meet by their hash only
+        own, probes = (F.when(F.length("line") >= LEAST, keys).otherwise(F.array().cast("array<long>")) for keys in (own, probes))
+    keyed = lines.select("doc_id", "line_no", "h1", "h2", own.alias("own"), probes.alias("probes"))
     distinct = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "own", "probes")).alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = written(distinct.select("h1", "h2", "n", "first.*"), "lines")
 
@@ -103,14 +107,15 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
 
 
-def remove_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, edits: int = EDITS, every: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``text`` shortened, and ``lines_before`` and ``lines_removed``.
 
-    docs: ``doc_id`` and ``text``. Lines end at ``\\n``; those of fewer than ``LEAST`` characters always stay. A null text stays null and has no line.
+    docs: ``doc_id`` and ``text``. Lines end at ``\\n``; those of fewer than ``LEAST`` characters always stay, unless
+    ``every`` is set: then those with a word go if an equal line stands earlier, and blank ones stay. A null text stays null and has no line.
     Rows without ``doc_id`` neither lose lines nor cost others any; rows with the same ``doc_id`` count as one document, so that a line at
     the same place of both stays in both. Further columns are passed on; columns named like the two added ones are replaced.
     """
-    drops = small(written(repeated_lines(docs, edits), "drops"), 4 * F.size("drop"))
+    drops = small(written(repeated_lines(docs, edits, every), "drops"), 4 * F.size("drop"))
     drops = drops.select(F.col("doc_id").alias("__key"), F.col("drop").alias("__drop"))
     joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("__key"), "left")
     split, text = F.split(F.col("text").cast("string"), "\n", -1), F.col("text").cast("string")

@@ -294,6 +294,16 @@ def test_lines_of_awkward_rows(spark):
     )
 
 
+def test_every_repeated_line_goes(spark):
+    """Short lines go by equality alone, longer ones within an edit too; blank lines and short near copies stay."""
+    texts = ["Read more\nlong enough to be compared\n\n阅读更多", "Read mora\nRead more\n \n\n阅读更多\n!\n!", "long enough to be compares\nRead more\nnew", None, ""]
+    want = ["Read more\nlong enough to be compared\n\n阅读更多", "Read mora\n \n\n!", "new", None, ""]
+    docs = table_of(spark, texts)
+    got = {r.doc_id: (r.text, r.lines_removed) for r in lines.remove_repeated_lines(docs, every=True).collect()}
+    assert got == {i: (w, n) for i, (w, n) in enumerate(zip(want, (0, 3, 2, 0, 0)))}
+    assert {r.doc_id: r.lines_removed for r in lines.remove_repeated_lines(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_mixing_meets_its_margins(spark):
     r = random.Random(3)
     docs = spark.createDataFrame([(i, "w " * r.randint(1, 60), r.choice("aaaabbc"), r.choice(["en", "en", "de"])) for i in range(3000)], "doc_id long, text string, source string, lang string")
