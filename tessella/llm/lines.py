@@ -19,6 +19,8 @@ from tessella.llm.tables import small, written
 
 EDITS = 1
 LEAST = 16  # characters; shorter lines stay, or go by equality alone (``every``)
+#: For a threshold that grows: from so many characters of the shorter line on, so many edits, up to three; ascending.
+GROWING = ((LEAST, 1), (40, 2), (60, 3))
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -45,20 +47,50 @@ def _matches(text: Column, length: Column, n: Column, shorter: int, edits: int)
     return out
 
 
-def _keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
+def _keys(line: Column, length: Column, edits: int, within: tuple[int, int | None] | None = None) -> tuple[Column, Column]:
     """Hashes under which a line is found, and under which it looks for others: lines of its own length and up to ``edits`` shorter.
 
     What is left of two lines without a matching segment is within the same number of edits, so that it is split into segments once
     more: a key is a segment and a segment of the rest. Lines that share one segment but differ in more places don't meet.
+    ``within``: only for lines that are found at lengths from the first to below the second number. There, thresholds above one split
+    once only, since both splits make more expressions than a driver compiles.
     """
     own, probes = [], []
     for shorter in range(edits + 1):
         n = length - shorter
+        mine_too, others = [], []
         for mine, i, segment, rest in _matches(line, length, n, shorter, edits):
             _, size = _segment(n, i, edits)
+            if within is not None and edits > 1:
+                (mine_too if mine else others).append(F.xxhash64(n, F.lit(i), segment))
+                continue
             for too, j, piece, _ in _matches(rest, length - size, n - size, shorter, edits):
-                (own if mine and too else probes).append(F.xxhash64(n, F.lit(i), segment, F.lit(j), piece))
-    return own, probes
+                (mine_too if mine and too else others).append(F.xxhash64(n, F.lit(i), segment, F.lit(j), piece))
+        for found, keys in ((own, mine_too), (probes, others)):
+            if keys and within is None:
+                found.append(F.array(*keys))
+            elif keys:
+                low, high = within
+                fits = n >= low if high is None else (n >= low) & (n < high)
+                found.append(F.when(fits, F.array(*keys)).otherwise(F.array().cast("array<long>")))
+    return F.concat(*own), F.concat(*probes)
+
+
+def _classes(edits: int | tuple[tuple[int, int], ...]) -> list[tuple[int, tuple[int, int | None] | None]]:
+    """Each threshold with the lengths of the shorter line for which it holds; all lengths if there is but one."""
+    if isinstance(edits, int):
+        return [(edits, None)]
+    ends = [low for low, _ in edits[1:]] + [None]
+    return [(n, (low, high)) for (low, n), high in zip(edits, ends)]
+
+
+def _near(a: Column, b: Column, edits: int | tuple[tuple[int, int], ...]) -> Column:
+    """Whether two lines are within the threshold of the shorter one."""
+    out, shorter = F.lit(False), F.least(F.length(a), F.length(b))
+    for n, within in _classes(edits):
+        near = F.levenshtein(a, b, n) >= 0
+        out = near if within is None else F.when(shorter >= within[0], near).otherwise(out)
+    return out
 
 
 def _lines(docs: DataFrame, every: bool = False) -> DataFrame:
@@ -74,10 +106,10 @@ def _name(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, every: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, every: bool = False) -> DataFrame:
     """``doc_id, drop``: the numbers of the lines to remove, for each document that has any."""
     lines = _lines(docs, every)
-    own, probes = (F.array(*keys) for keys in _keys(F.col("line"), F.length("line"), edits))
+    own, probes = (F.concat(*keys) for keys in zip(*(_keys(F.col("line"), F.length("line"), n, within) for n, within in _classes(edits))))
     if every:  # shorter lines meet by their hash only
         own, probes = (F.when(F.length("line") >= LEAST, keys).otherwise(F.array().cast("array<long>")) for keys in (own, probes))
     keyed = lines.select("doc_id", "line_no", "h1", "h2", own.alias("own"), probes.alias("probes"))
@@ -97,7 +129,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, every: bool = False) ->
     def side(name: str) -> DataFrame:
         return found.select(F.col("x").alias(name), F.col("line").alias(f"line_{name}"), F.col("place").alias(f"place_{name}"))
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(F.col("line_a"), F.col("line_b"), edits))
     beaten = near.select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct()
     beaten = small(written(beaten.select("x.h1", "x.h2", F.lit(True).alias("beaten")), "beaten"))
     judged = distinct.select("h1", "h2", "n", F.struct("doc_id", "line_no").alias("first")).join(beaten, ["h1", "h2"], "left")
@@ -107,11 +139,12 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, every: bool = False) ->
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
 
 
-def remove_repeated_lines(docs: DataFrame, edits: int = EDITS, every: bool = False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, every: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``text`` shortened, and ``lines_before`` and ``lines_removed``.
 
     docs: ``doc_id`` and ``text``. Lines end at ``\\n``; those of fewer than ``LEAST`` characters always stay, unless
-    ``every`` is set: then those with a word go if an equal line stands earlier, and blank ones stay. A null text stays null and has no line.
+    ``every`` is set: then those with a word go if an equal line stands earlier, and blank ones stay.
+    edits: one threshold for all lines, or pairs like ``GROWING``. A null text stays null and has no line.
     Rows without ``doc_id`` neither lose lines nor cost others any; rows with the same ``doc_id`` count as one document, so that a line at
     the same place of both stays in both. Further columns are passed on; columns named like the two added ones are replaced.
     """

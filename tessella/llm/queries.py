@@ -109,6 +109,13 @@ def op8_lines_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), substrings.digest("text").alias("kept_sha256"))
 
 
+@query
+def op8_lines_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op8_lines_every``, with a threshold of one to three edits that grows with the length of a line."""
+    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.GROWING, every=True)
+    return found.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), substrings.digest("text").alias("kept_sha256"))
+
+
 ORACLE["op7_mixing"] = mixing.mixing_sql()
 ORACLE["op8_lines"] = lines.LINES_SQL
 ORACLE["op3_substrings"] = sql.SUBSTRINGS

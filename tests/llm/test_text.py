@@ -294,6 +294,34 @@ def test_lines_of_awkward_rows(spark):
     )
 
 
+def test_lines_within_a_growing_threshold(spark):
+    r = random.Random(9)
+    base = ["".join(r.choice("abcé ") for _ in range(n)) for n in (15, 16, 17, 30, 38, 39, 40, 41, 43, 57, 58, 60, 61, 62, 90) for _ in range(2)]
+
+    def near(s):
+        s = list(s)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(s))
+            s[k : k + 1] = r.choice([[], ["x"], [s[k], "y"]])
+        return "".join(s)
+
+    docs = [(i, "\n".join(near(r.choice(base)) for _ in range(8))) for i in range(40)]
+    most = lambda n: max((e for low, e in lines.GROWING if n >= low), default=0)
+    before, want, by = [], {}, Counter()
+    for i, t in docs:
+        kept = []
+        for line in t.split("\n"):
+            found = [edit_distance(line, x) for x in before if edit_distance(line, x) <= most(min(len(line), len(x)))]
+            if not found:
+                kept.append(line)
+            else:
+                by[min(found)] += 1
+            before.append(line)
+        want[i] = "\n".join(kept)
+    got = {x.doc_id: x.text for x in lines.remove_repeated_lines(table_of(spark, [t for _, t in docs]), lines.GROWING, every=True).collect()}
+    assert got == want and all(by[n] for n in range(4))
+
+
 def test_every_repeated_line_goes(spark):
     """Short lines go by equality alone, longer ones within an edit too; blank lines and short near copies stay."""
     texts = ["Read more\nlong enough to be compared\n\n阅读更多", "Read mora\nRead more\n \n\n阅读更多\n!\n!", "long enough to be compares\nRead more\nnew", None, ""]
