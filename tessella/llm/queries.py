@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import lines, minhash, mixing, neighbours, packing, quality, rules, sql, substrings, suffixes, toxicity
+from tessella.llm import audit, bpe, lines, minhash, mixing, negatives, neighbours, packing, quality, rules, sql, substrings, suffixes, toxicity
 from tessella.llm.tables import prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,29 @@ def op8_lines_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), substrings.digest("text").alias("kept_sha256"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector, among all; every seventh vector first gets the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label, "embedding")
+    return negatives.mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in each of their 120 orders."""
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids, and back."""
+    found = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_tokens", F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+ORACLE["op11_hard_negatives"] = negatives.negatives_sql()
+ORACLE["op12_filter_audit"] = audit.audit_sql()
 ORACLE["op7_mixing"] = mixing.mixing_sql()
 ORACLE["op8_lines"] = lines.LINES_SQL
 ORACLE["op3_substrings"] = sql.SUBSTRINGS
