@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.blocks import map_blocks, pixels
+from tessella.functions.labels import CLASS_NAMES, coarse_by_classes
+from tessella.operators import cells
 
 
 def axis_positions(length: Column, size: int, stride: int) -> Column:
@@ -25,45 +26,14 @@ def tile_grid(images: DataFrame, size: int, stride: int) -> DataFrame:
     )
 
 
-def _origins(length: int, size: int, stride: int, lo: int, hi: int) -> np.ndarray:
-    """Tile origins along an axis whose tile meets ``[lo, hi)``."""
-    if length < size:
-        return np.empty(0, dtype=np.int64)
-    last = length - size
-    first = max(0, -(-(lo - size + 1) // stride))
-    steps = np.arange(first * stride, min(last, hi - 1) + 1, stride)
-    if last % stride and last < hi and last + size > lo:
-        steps = np.append(steps, last)
-    return steps
-
-
 def tile_counts(blocks: DataFrame, size: int, stride: int, test, name: str, dtype=np.uint8, skip_zero: bool = False) -> DataFrame:
     """Pixels per tile for which ``test(array)`` holds: ``(image_id, tile_y, tile_x, <name>)``.
 
-    One pass over the blocks: a summed-area table per block yields the block's share of every tile
-    it meets, in O(1) per tile.  Only these small shares are shuffled, keyed by tile, with partial sums
-    on the map side; pixel bytes never move.  ``skip_zero`` leaves out shares of nothing, and tiles without any.
+    Blocks send counts of breakpoint cells, about a cell per square stride, and tiles are sums of cells; pixel bytes never move.
+    ``skip_zero`` leaves out tiles without any.
     """
-
-    def kernel(b):
-        ys = _origins(b["img_h"], size, stride, b["y0"], b["y0"] + b["h"])
-        xs = _origins(b["img_w"], size, stride, b["x0"], b["x0"] + b["w"])
-        if not len(ys) or not len(xs):
-            return None
-        area = np.zeros((b["h"] + 1, b["w"] + 1), dtype=np.int64)
-        area[1:, 1:] = np.asarray(test(pixels(b, dtype)), dtype=np.int64).cumsum(0).cumsum(1)
-        ya, yb = np.clip(ys - b["y0"], 0, b["h"]), np.clip(ys + size - b["y0"], 0, b["h"])
-        xa, xb = np.clip(xs - b["x0"], 0, b["w"]), np.clip(xs + size - b["x0"], 0, b["w"])
-        n = area[np.ix_(yb, xb)] - area[np.ix_(ya, xb)] - area[np.ix_(yb, xa)] + area[np.ix_(ya, xa)]
-        keep = np.flatnonzero(n.ravel()) if skip_zero else slice(None)
-        return {
-            "tile_y": np.repeat(ys, len(xs)).astype(np.int32)[keep],
-            "tile_x": np.tile(xs, len(ys)).astype(np.int32)[keep],
-            "n": n.ravel()[keep],
-        }
-
-    shares = map_blocks(blocks, kernel, "tile_y int, tile_x int, n bigint")
-    return shares.groupBy("image_id", "tile_y", "tile_x").agg(F.sum("n").alias(name))
+    found = cells.cell_counts(blocks, size, stride, lambda a: np.where(test(a), 0, 1), dtype=dtype, skip_zero=skip_zero)
+    return cells.tile_sums(found, size, stride, name=name, skip_zero=skip_zero)
 
 
 def mask_coverage(mask_blocks: DataFrame, size: int, stride: int, test=lambda a: a > 0, dtype=np.uint8, skip_zero: bool = False) -> DataFrame:
@@ -73,11 +43,33 @@ def mask_coverage(mask_blocks: DataFrame, size: int, stride: int, test=lambda a:
     )
 
 
-def white_content(rgb_blocks: DataFrame, size: int, stride: int, threshold: int) -> DataFrame:
-    """Share of near-white pixels (all channels at or above the threshold) of each tile that has any."""
-    return tile_counts(rgb_blocks, size, stride, lambda a: (a >= threshold).all(axis=2), "n_white", skip_zero=True).withColumn(
-        "tile_white_frac", F.col("n_white") / F.lit(size * size)
-    )
+def white_content(rgb_blocks: DataFrame, tiles: DataFrame, size: int, stride: int, threshold: int) -> DataFrame:
+    """``tiles`` with ``n_white`` and ``tile_white_frac``, the share of near-white pixels (all channels at or above the threshold).
+
+    Rows are made for these tiles only, however many more the grid has.
+    """
+    white = cells.cell_counts(rgb_blocks, size, stride, lambda a: np.where((a >= threshold).all(axis=2), 0, 1), skip_zero=True)
+    return cells.asked_sums(white, tiles, size, stride, "n_white").withColumn("tile_white_frac", F.col("n_white") / F.lit(size * size))
+
+
+def tile_classes(class_blocks: DataFrame, size: int, stride: int, classes: int = len(CLASS_NAMES), dtype=np.int8) -> DataFrame:
+    """``image_id, tile_y, tile_x, counts``: pixels of each class 0 to ``classes - 1`` of every tile, all classes in one pass."""
+    found = cells.cell_counts(class_blocks, size, stride, lambda a: a, classes, dtype)
+    return cells.tile_sums(found, size, stride, classes, "counts")
+
+
+def majority_label(tiles: DataFrame, size: int, least: float = 0.6) -> DataFrame:
+    """``tiles`` (with ``counts`` by class) with ``majority`` and ``majority_share``, and ``coarse_label``.
+
+    The majority is the class of most pixels if its share of the whole tile, pixels of unknown classes included, is above ``least``;
+    else it is NULL, though the share is given. Equal counts go to the smaller class, which matters at shares up to a half only.
+    ``coarse_label`` is positive when any positive class is present, be it a single pixel.
+    """
+    most = F.array_max("counts")
+    share = most / F.lit(size * size)
+    named = F.when(share > least, (F.array_position("counts", most) - 1).cast("int"))
+    present = F.filter(F.transform("counts", lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull())
+    return tiles.withColumns({"majority": named, "majority_share": share, "coarse_label": coarse_by_classes(present)})
 
 
 def draw_key(seed, *parts: str) -> Column:

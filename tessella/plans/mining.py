@@ -42,9 +42,7 @@ def selected_tiles(images: DataFrame, mask_blocks: DataFrame, rgb_blocks: DataFr
     capped = capped_tiles(images, mask_blocks, p, test, dtype)
     if p.max_white >= 1.0:
         return capped.withColumn("tile_white_frac", F.lit(None).cast("double"))
-    white = TL.white_content(rgb_blocks, p.size, p.stride, p.white_at)
-    key = ["image_id", "tile_y", "tile_x"]
-    return capped.join(white.select(*key, "tile_white_frac"), key, "left").fillna(0.0, ["tile_white_frac"])
+    return TL.white_content(rgb_blocks, capped, p.size, p.stride, p.white_at).drop("n_white")
 
 
 def mine_tiles(images: DataFrame, mask_blocks: DataFrame, rgb_blocks: DataFrame, p: Mining = Mining(),
