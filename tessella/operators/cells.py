@@ -42,6 +42,7 @@ def _span(origins: np.ndarray, cuts: np.ndarray, group: int, size: int) -> tuple
     return own, int(np.searchsorted(cuts, own[0])), int(np.searchsorted(cuts, own[-1] + size))
 
 
+@lru_cache(maxsize=1 << 14)
 def _inside(length: int, start: int, n: int, size: int, stride: int):
     """A block along one axis: its first cell, where its cells start within it, and the groups of tiles that it meets."""
     origins, cuts = axis_cuts(length, size, stride)
@@ -55,8 +56,8 @@ def _inside(length: int, start: int, n: int, size: int, stride: int):
 
 def _counts(kinds: np.ndarray, rows: np.ndarray, cols: np.ndarray, classes: int) -> np.ndarray:
     """Pixels of each class by cell: (rows, columns, classes). Values outside 0 to ``classes - 1`` aren't counted."""
-    if classes == 1:
-        return np.add.reduceat(np.add.reduceat(kinds == 0, rows, axis=0, dtype=np.int32), cols, axis=1, dtype=np.int32)[:, :, None]
+    if kinds.dtype == bool:
+        return np.add.reduceat(np.add.reduceat(kinds, rows, axis=0, dtype=np.int32), cols, axis=1, dtype=np.int32)[:, :, None]
     h, w = kinds.shape
     cell = np.repeat(np.arange(len(rows)), np.diff(np.append(rows, h)))[:, None] * len(cols) + np.repeat(np.arange(len(cols)), np.diff(np.append(cols, w)))
     slot = np.where((kinds >= 0) & (kinds < classes), kinds, classes)
@@ -65,7 +66,8 @@ def _counts(kinds: np.ndarray, rows: np.ndarray, cols: np.ndarray, classes: int)
 
 
 def cell_counts(blocks: DataFrame, size: int, stride: int, kinds, classes: int = 1, dtype=np.uint8, skip_zero: bool = False) -> DataFrame:
-    """Counts of the cells of each block, one row for each group of tiles it meets. ``kinds(array)`` gives a class to each pixel."""
+    """Counts of the cells of each block, one row for each group of tiles it meets. ``kinds(array)`` gives a class to each pixel, or says of each
+    whether it counts."""
 
     def kernel(b):
         ys = _inside(b["img_h"], b["y0"], b["h"], size, stride)
@@ -88,44 +90,51 @@ def cell_counts(blocks: DataFrame, size: int, stride: int, kinds, classes: int =
     return map_blocks(blocks, kernel, _CELLS)
 
 
+@lru_cache(maxsize=1 << 12)
+def _axis(length: int, size: int, stride: int, group: int) -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
+    """A group along one axis: its origins, its first cell and number of cells, and where each tile starts and ends among them."""
+    origins, cuts = axis_cuts(length, size, stride)
+    own, first, last = _span(origins, cuts, group, size)
+    return own, first, last - first, np.searchsorted(cuts, own) - first, np.searchsorted(cuts, own + size) - first
+
+
 class _Grid:
     """The cells of one group of tiles."""
 
     def __init__(self, gy: int, gx: int, img_h: int, img_w: int, size: int, stride: int, classes: int):
-        (oy, self.cuts_y), (ox, self.cuts_x) = axis_cuts(img_h, size, stride), axis_cuts(img_w, size, stride)
-        self.ys, self.y0, y1 = _span(oy, self.cuts_y, gy, size)
-        self.xs, self.x0, x1 = _span(ox, self.cuts_x, gx, size)
-        self.size, self.area = size, None
-        self.cells = np.zeros((y1 - self.y0, x1 - self.x0, classes), np.int64)
+        self.ys, self.y0, ny, self.ya, self.yb = _axis(img_h, size, stride, gy)
+        self.xs, self.x0, nx, self.xa, self.xb = _axis(img_w, size, stride, gx)
+        self.area = np.zeros((ny + 1, nx + 1, classes), np.int64)
+        self.open = True
 
     def add(self, cy: int, cx: int, ny: int, nx: int, counts: bytes) -> None:
-        y, x = cy - self.y0, cx - self.x0
-        self.cells[y : y + ny, x : x + nx] += np.frombuffer(counts, np.int32).reshape(ny, nx, -1)
-
-    def _edges(self, cuts: np.ndarray, first: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(cuts, at) - first, np.searchsorted(cuts, at + self.size) - first
+        y, x = cy - self.y0 + 1, cx - self.x0 + 1
+        self.area[y : y + ny, x : x + nx] += np.frombuffer(counts, np.int32).reshape(ny, nx, -1)
 
-    def _integral(self) -> np.ndarray:
-        if self.area is None:
-            self.area = np.zeros((self.cells.shape[0] + 1, self.cells.shape[1] + 1, self.cells.shape[2]), np.int64)
-            np.cumsum(self.cells.cumsum(0), axis=1, out=self.area[1:, 1:])
-        return self.area
+    def _differences(self, ya, yb, xa, xb) -> np.ndarray:
+        if self.open:
+            np.cumsum(self.area, axis=0, out=self.area)
+            np.cumsum(self.area, axis=1, out=self.area)
+            self.open = False
+        return self.area[yb, xb] - self.area[ya, xb] - self.area[yb, xa] + self.area[ya, xa]
 
     def all_tiles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (ya, yb), (xa, xb) = self._edges(self.cuts_y, self.y0, self.ys), self._edges(self.cuts_x, self.x0, self.xs)
-        area = self._integral()
-        n = area[np.ix_(yb, xb)] - area[np.ix_(ya, xb)] - area[np.ix_(yb, xa)] + area[np.ix_(ya, xa)]
-        return np.repeat(self.ys, len(self.xs)), np.tile(self.xs, len(self.ys)), n.reshape(-1, n.shape[2])
+        n = self._differences(self.ya[:, None], self.yb[:, None], self.xa, self.xb)
+        return self.ys.repeat(len(self.xs)), np.concatenate([self.xs] * len(self.ys)), n.reshape(-1, n.shape[2])
 
     def tiles(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-        (ya, yb), (xa, xb) = self._edges(self.cuts_y, self.y0, y), self._edges(self.cuts_x, self.x0, x)
-        area = self._integral()
-        return area[yb, xb] - area[ya, xb] - area[yb, xa] + area[ya, xa]
+        at, to = np.searchsorted(self.ys, y), np.searchsorted(self.xs, x)
+        return self._differences(self.ya[at], self.yb[at], self.xa[to], self.xb[to])
 
 
 _KEY = ["image_id", "gy", "gx"]
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Packed cells are few bytes for much work: their partitions aren't to be coalesced by size."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def count_type(classes: int) -> T.DataType:
     return T.LongType() if classes == 1 else T.ArrayType(T.LongType())
 
@@ -142,7 +151,7 @@ def tile_sums(cells: DataFrame, size: int, stride: int, classes: int = 1, name:
     Cells stream in the order of their groups, so that a task holds one group's grid however many images or blocks it gets.
     """
     columns = cells.columns
-    ordered = cells.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    ordered = cells.repartition(_tasks(cells), *_KEY).sortWithinPartitions(*_KEY)
     schema = T.StructType([cells.schema["image_id"], T.StructField("tile_y", T.IntegerType()), T.StructField("tile_x", T.IntegerType()), T.StructField(name, count_type(classes))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +202,7 @@ def asked_sums(cells: DataFrame, tiles: DataFrame, size: int, stride: int, name:
     asked = tiles.select("image_id", origin_group("tile_y", stride).alias("gy"), origin_group("tile_x", stride).alias("gx"), F.struct(*(F.col(f"`{c}`") for c in tiles.columns)).alias("tile"))
     columns = cells.columns
     both = cells.unionByName(asked, allowMissingColumns=True)
-    ordered = both.repartition(*_KEY).sortWithinPartitions(*_KEY, F.col("tile").isNotNull())
+    ordered = both.repartition(_tasks(cells), *_KEY).sortWithinPartitions(*_KEY, F.col("tile").isNotNull())
     schema = T.StructType([asked.schema["tile"], T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

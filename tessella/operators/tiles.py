@@ -32,7 +32,7 @@ def tile_counts(blocks: DataFrame, size: int, stride: int, test, name: str, dtyp
     Blocks send counts of breakpoint cells, about a cell per square stride, and tiles are sums of cells; pixel bytes never move.
     ``skip_zero`` leaves out tiles without any.
     """
-    found = cells.cell_counts(blocks, size, stride, lambda a: np.where(test(a), 0, 1), dtype=dtype, skip_zero=skip_zero)
+    found = cells.cell_counts(blocks, size, stride, test, dtype=dtype, skip_zero=skip_zero)
     return cells.tile_sums(found, size, stride, name=name, skip_zero=skip_zero)
 
 
@@ -48,7 +48,8 @@ def white_content(rgb_blocks: DataFrame, tiles: DataFrame, size: int, stride: in
 
     Rows are made for these tiles only, however many more the grid has.
     """
-    white = cells.cell_counts(rgb_blocks, size, stride, lambda a: np.where((a >= threshold).all(axis=2), 0, 1), skip_zero=True)
+    bright = lambda a: (a[:, :, 0] >= threshold) & (a[:, :, 1] >= threshold) & (a[:, :, 2] >= threshold)
+    white = cells.cell_counts(rgb_blocks, size, stride, bright, skip_zero=True)
     return cells.asked_sums(white, tiles, size, stride, "n_white").withColumn("tile_white_frac", F.col("n_white") / F.lit(size * size))
 
 
