@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.tables import small, written
+from tessella.llm.tables import quoted, small, unused, written
 
 EDITS = 1
 LEAST = 16  # characters; shorter lines stay, or go by equality alone (``every``)
@@ -149,18 +149,19 @@ def remove_repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], .
     the same place of both stays in both. Further columns are passed on; columns named like the two added ones are replaced.
     """
     drops = small(written(repeated_lines(docs, edits, every), "drops"), 4 * F.size("drop"))
-    drops = drops.select(F.col("doc_id").alias("__key"), F.col("drop").alias("__drop"))
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("__key"), "left")
+    key, gone = unused(docs, "_key"), unused(docs, "_gone")
+    drops = drops.select(F.col("doc_id").alias(key), F.col("drop").alias(gone))
+    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(key), "left")
     split, text = F.split(F.col("text").cast("string"), "\n", -1), F.col("text").cast("string")
-    kept = F.array_except(F.sequence(F.lit(1), F.size(split)), F.col("__drop"))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(split)), F.col(gone))
     shorter = F.array_join(F.transform(kept, lambda i: F.element_at(split, i)), "\n")
     new = {
-        "text": F.when(F.col("__drop").isNull(), text).otherwise(shorter),
+        "text": F.when(F.col(gone).isNull(), text).otherwise(shorter),
         "lines_before": F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"),
-        "lines_removed": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
+        "lines_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
     }
     names = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
-    return joined.select(*(new[c].alias(c) if c == "text" else F.col(c) for c in names), *(new[c].alias(c) for c in ("lines_before", "lines_removed")))
+    return joined.select(*(new[c].alias(c) if c == "text" else F.col(quoted(c)) for c in names), *(new[c].alias(c) for c in ("lines_before", "lines_removed")))
 
 
 #: The threshold of one edit by deletion: lines of one length differ in one character if both are equal without the character at that

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.graph import components
-from tessella.llm.tables import small, texts, written
+from tessella.llm.tables import small, texts, unused, written
 from tessella.llm.words import Chunk, chunks, hash_words, mix, rolling, sliced, split_words, windows
 
 SHINGLE = 5
@@ -225,7 +225,7 @@ def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     A ``doc_id`` leaves if none of its rows is kept.
     """
-    found = written(near_duplicates(docs, percent), "classes")
-    gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("kept")).where("NOT kept").drop("kept")
+    found, name = written(near_duplicates(docs, percent), "classes"), unused(docs, "_gone")
+    gone = found.groupBy(F.col("doc_id").alias(name)).agg(F.max("kept").alias("kept")).where("NOT kept").drop("kept")
     gone = small(written(gone, "copies"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

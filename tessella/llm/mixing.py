@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.tables import small, written
+from tessella.llm.tables import small, unused, written
 
 #: A margin's target share is its present share to this power, scaled to one: below 1, small values gain.
 TEMPERATURE = 0.7
@@ -140,9 +140,9 @@ def _draw_of(key: str, seed: int) -> Column:
 
 def sampled_documents(docs: DataFrame, topics: DataFrame | None = None, budget: float = BUDGET, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED, full: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns, by ``mix_documents``. What isn't sampled leaves by its id."""
-    mixed = written(mix_documents(docs, topics, budget, rounds, temperature, seed, full, targets), "mixed")
-    gone = small(written(mixed.where("NOT sampled").select(F.col("doc_id").alias("__gone")).distinct(), "unsampled"))
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    mixed, name = written(mix_documents(docs, topics, budget, rounds, temperature, seed, full, targets), "mixed"), unused(docs, "_gone")
+    gone = small(written(mixed.where("NOT sampled").select(F.col("doc_id").alias(name)).distinct(), "unsampled"))
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def mixing_sql(budget: float = BUDGET, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = SEED) -> str:

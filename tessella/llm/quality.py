@@ -93,12 +93,15 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
     forest = fit(count_documents(wanted), chosen, sample)
 
+    at = docs.columns.index("text")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text")
+            text = batch.column(at)
             for chunk in chunks(text.cast(pa.large_string())):
                 counts = count_chunk(chunk)
                 table = pa.RecordBatch.from_arrays([pa.array(counts[c]) for c in COUNTS], COUNTS)
                 yield batch.slice(chunk.first, len(chunk)).filter(pa.array(forest.score(_features(table)) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # columns may have any names outside
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

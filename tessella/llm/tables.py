@@ -28,6 +28,19 @@ def texts(docs: DataFrame, **carried: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many marks before it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later passes read the same rows, also after executors are lost."""
     spark, schema = df.sparkSession, df.schema

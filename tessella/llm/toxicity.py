@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
     # Repeated rows of a sampled document must not lengthen the sample: one text of each id is learned from.
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_features, "doc_id long, label int, features binary")
     once = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("features").alias("features"))
-    table = once.groupBy(F.lit(0).alias("all")).applyInArrow(_learn_sample, "position long, weight double").orderBy("position").toArrow()
+    table = once.groupBy(F.lit(0).alias("all")).applyInArrow(_learn_sample, "position long, weight double").toArrow().sort_by("position")
     position, weight = table["position"].to_numpy(), table["weight"].to_numpy()
     if len(position) == 0:
         return Weights(np.zeros(0, np.int64), np.zeros(0), 0.0)
