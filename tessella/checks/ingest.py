@@ -11,6 +11,7 @@ from tessella.checks.roi import digest_sql
 from tessella.operators.blocks import digest
 from tessella.session import new_path
 from tessella.sources.images import scan_images
+from tessella.sources.sinks import read_appended
 from tessella.streaming.ingest import ingest_new, stream_files
 
 
@@ -21,7 +22,7 @@ def stream_ingest(spark, sf):
     schema = table(spark, sf, "orders").schema
     for _ in range(2):
         ingest_new(stream_files(spark, sf, schema, "orders.parquet"), target, state, ["o_orderkey"], ["o_orderdate", "o_custkey"])
-    return spark.read.parquet(target).select("o_orderkey", "o_custkey", "o_totalprice")
+    return read_appended(spark, target).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @check("image_scan", f"WITH {fx.PIXELS_SQL}, d AS ({digest_sql('pixels')}), g AS (SELECT k, CAST(sum((19595 * r + 38470 * g + 7471 * b + 32768) // 65536) AS BIGINT) AS grey FROM pixels GROUP BY k) SELECT d.*, grey FROM d JOIN g USING (k)")

@@ -124,9 +124,9 @@ def prompt_labels(spark, sf):
 def sink_skip_existing(spark, sf):
     path = new_path(spark, "kept")
     orders = table(spark, sf, "orders").select("o_orderkey")
-    sinks.append_new(orders.where("o_orderkey % 3 = 0").withColumn("origin", F.lit("old")), path, ["o_orderkey"])
+    sinks.append_new(orders.where("o_orderkey % 3 = 0").withColumn("origin", F.lit("old")), path, ["o_orderkey"], buckets=16)
     sinks.append_new(orders.withColumn("origin", F.lit("new")), path, ["o_orderkey"])
-    return spark.read.parquet(path)
+    return sinks.read_appended(spark, path)
 
 
 @check("pair_join", f"""{NAMED}, hist AS (SELECT k, cid, count(*) AS n FROM (SELECT k, CAST(CASE WHEN k % 37 = 0 THEN 0 WHEN (x * y + k) % 97 = 0 THEN -1 WHEN (x // 12 + y // 10 + k) % 4 < k % 4 THEN 0 ELSE 1 + ((x // 8) * 3 + (y // 8) * 5 + k * 7) % 11 END AS INT) AS cid

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import labels, naming, prompts
 from tessella.functions.coerce import to_float
@@ -17,6 +19,64 @@ from tessella.operators.sampling import join_groups
 CHUNK = 4096  # cycles per window partition
 
 
+def best_after(scores: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a chunk of scores makes of the best before it, as a step function ``(limits, values)``: a best whose sum with ``epsilon`` is below a
+    limit becomes the value of the first such limit; any higher best stays.
+
+    Only a score above all before it can be the first to beat some best. From there on one improvement leads to the next, so that
+    each of these scores has an end; neighbours that end alike are one step.
+    """
+    rising = scores[scores > np.maximum.accumulate(np.append(-np.inf, scores[:-1]))]
+    n = len(rising)
+    follower = np.searchsorted(rising, rising + epsilon, "right")
+    ends = rising.copy()
+    for i in range(n - 1, -1, -1):
+        if follower[i] < n:
+            ends[i] = ends[follower[i]]
+    last = np.append(ends[1:] != ends[:-1], True) if n else np.zeros(0, bool)
+    return rising[last], ends[last]
+
+
+def _starting_best(peaks: DataFrame, epsilon: float) -> DataFrame:
+    """``run, _chunk, _start``: the best before each chunk's first row."""
+    run, chunk = peaks.schema["run"], peaks.schema["_chunk"]
+    steps = T.StructType([run, chunk, *T.StructType.fromDDL("limits array<double>, ends array<double>").fields])
+
+    def summarise(batches):
+        place, held = None, []
+
+        def close():
+            limits, ends = best_after(np.array(held, dtype=np.float64), epsilon)
+            return (*place, limits.tolist(), ends.tolist())
+
+        for batch in batches:
+            done = []
+            for r, k, s in zip(batch["run"], batch["_chunk"], batch["score"]):
+                if (r, k) != place:
+                    done += [close()] if held else []
+                    place, held = (r, k), []
+                held.append(s)
+            yield pd.DataFrame(done, columns=steps.names)
+        if held:
+            yield pd.DataFrame([close()], columns=steps.names)
+
+    def carry(batches):
+        current, best = None, -1.0
+        for batch in batches:
+            starts = []
+            for r, limits, ends in zip(batch["run"], batch["limits"], batch["ends"]):
+                if r != current:
+                    current, best = r, -1.0
+                starts.append(best)
+                at = int(np.searchsorted(limits, best + epsilon, "right"))
+                best = float(ends[at]) if at < len(ends) else best
+            yield batch[["run", "_chunk"]].assign(_start=starts)
+
+    functions = peaks.repartition("run", "_chunk").sortWithinPartitions("run", "_chunk", "cycle").mapInPandas(summarise, steps)
+    ordered = functions.repartition("run").sortWithinPartitions("run", "_chunk")
+    return ordered.mapInPandas(carry, T.StructType([run, chunk, T.StructField("_start", T.DoubleType())]))
+
+
 def reward_fold(history: DataFrame, epsilon: float, patience: int = 0, revert: bool = True, chunk: int = CHUNK) -> DataFrame:
     """Fold each run's cycles ``(run, cycle from 1, score, checkpoint)`` into loop state.
 
@@ -24,9 +84,9 @@ def reward_fold(history: DataFrame, epsilon: float, patience: int = 0, revert: b
     and the run stops once it reaches ``patience``.  A clear drop starts the next cycle from the best checkpoint.
 
     Only a running maximum can improve the best, since the best never trails the maximum by more than ``epsilon``.  Running
-    maxima are found in chunks of cycles, the order-dependent fold streams over those few rows with constant state, and the
-    state is brought back to all cycles chunk by chunk. The fold sees a run's strictly rising maxima only, one after the other; a
-    run that rises in every cycle is folded by one task as long as the run.
+    maxima are found in chunks of cycles. What a chunk makes of the best that reaches it is a step function; those functions are
+    applied one after the other, so that every chunk knows the best it starts with, and then all chunks are folded at once, each by its own
+    few rows with constant state. Only the functions of a run meet in one task, also of a run that rises in every cycle.
     """
     # A missing score counts as zero; one that isn't a number never improves and must not enter a maximum, where Spark has it on top.
     rows = history.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("_chunk", F.floor(F.col("cycle") / chunk))
@@ -41,19 +101,21 @@ def reward_fold(history: DataFrame, epsilon: float, patience: int = 0, revert: b
     peaks = join_groups(rows, tops, ["run", "_chunk"]).withColumn("_peak", peak).where(~F.isnan("score") & (F.col("_peak").isNull() | higher))
 
     def fold(batches):
-        run, best = None, -1.0
+        place, best = None, -1.0
         for batch in batches:
             taken = []
-            for r, c, s in zip(batch["run"], batch["cycle"], batch["score"]):
-                if r != run:
-                    run, best = r, -1.0
+            for r, k, c, s, start in zip(batch["run"], batch["_chunk"], batch["cycle"], batch["score"], batch["_start"]):
+                if (r, k) != place:
+                    place, best = (r, k), start
                 if s > best + epsilon:
                     best = s
                     taken.append((r, c, s))
             yield pd.DataFrame(taken, columns=["run", "cycle", "score"]).astype(batch[["run", "cycle", "score"]].dtypes)
 
-    kept = peaks.select("run", "cycle", "score")
-    accepted = kept.repartition("run").sortWithinPartitions("run", "cycle").mapInPandas(fold, kept.schema)
+    kept = peaks.select("run", "_chunk", "cycle", "score")
+    started = join_groups(kept, _starting_best(kept, epsilon), ["run", "_chunk"])
+    schema = kept.select("run", "cycle", "score").schema
+    accepted = started.repartition("run", "_chunk").sortWithinPartitions("run", "_chunk", "cycle").mapInPandas(fold, schema)
     marked = join_groups(rows, accepted.select("run", "cycle", F.lit(True).alias("_hit")), ["run", "cycle"], "left")
     state = F.when(F.col("_hit"), F.struct("cycle", "score", "checkpoint"))
     carried = (

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import PurePosixPath
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark import SparkFiles, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,18 +17,46 @@ from tessella.functions import scores
 from tessella.operators.blocks import pixels
 
 
-def batch_score(inputs: DataFrame, predict: Callable, classes: Sequence[str]) -> DataFrame:
-    """Score rows in Arrow batches: ``predict(pandas batch) -> (rows, classes) logits``.
+ROWS = 256  # rows of one model call at most; Arrow batches are bounded by bytes before that
+_made: dict[str, Callable] = {}  # models of this Python worker
+
+
+class PerWorker:
+    """A model that every Python worker makes once and keeps for all its tasks: ``make(*local files) -> callable``.
+
+    Tasks carry ``make`` alone. Weights are files in a store that the driver and all executors reach; Spark fetches each of them
+    once per executor. Their names must differ.
+    """
+
+    def __init__(self, spark: SparkSession, make: Callable, files: Sequence[str] = ()):
+        for f in files:
+            spark.sparkContext.addFile(f)
+        self.make, self.names = make, [PurePosixPath(f).name for f in files]
+        self.key = hashlib.sha256(cloudpickle.dumps((make, list(files)))).hexdigest()
+
+    def __call__(self, *args):
+        if self.key not in _made:
+            _made[self.key] = self.make(*(SparkFiles.get(n) for n in self.names))
+        return _made[self.key](*args)
+
+
+def _parts(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.iloc[a : a + rows].copy()
+
+
+def batch_score(inputs: DataFrame, predict: Callable, classes: Sequence[str], rows: int = ROWS) -> DataFrame:
+    """Score rows in batches: ``predict(pandas batch) -> (rows, classes) logits``, a function or ``PerWorker``.
 
     Adds ``probs``, ``pred_label`` and ``confidence``; only the model call runs in Python.
     """
     schema = T.StructType([*inputs.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for batch in batches:
-            if len(batch):
-                batch["logits"] = list(np.asarray(predict(batch), dtype=np.float64))
-                yield batch
+        for batch in _parts(batches, rows):
+            batch["logits"] = list(np.asarray(predict(batch), dtype=np.float64))
+            yield batch
 
     scored = inputs.mapInPandas(run, schema).withColumn("probs", scores.softmax(F.col("logits")))
     return scored.select(
@@ -32,20 +64,18 @@ def batch_score(inputs: DataFrame, predict: Callable, classes: Sequence[str]) ->
     ).drop("logits")
 
 
-def batch_edit(patches: DataFrame, edit: Callable) -> DataFrame:
-    """Edit patches in batches: ``edit(images, masks, prompts, seeds) -> images`` of unchanged shapes.
+def batch_edit(patches: DataFrame, edit: Callable, rows: int = ROWS) -> DataFrame:
+    """Edit patches in batches: ``edit(images, masks, prompts, seeds) -> images`` of unchanged shapes; a function or ``PerWorker``.
 
     ``patches`` are single-block images with ``mask`` bytes, ``prompt`` and ``seed``; all columns but the mask are kept.
     """
     kept = [f for f in patches.schema.fields if f.name != "mask"]
 
     def run(batches):
-        for batch in batches:
-            rows = batch.to_dict("records")
-            if not rows:
-                continue
-            masks = [np.frombuffer(r["mask"], dtype=np.uint8).reshape(r["h"], r["w"]) for r in rows]
-            made = edit([pixels(r) for r in rows], masks, list(batch["prompt"]), list(batch["seed"]))
+        for batch in _parts(batches, rows):
+            patches = batch.to_dict("records")
+            masks = [np.frombuffer(r["mask"], dtype=np.uint8).reshape(r["h"], r["w"]) for r in patches]
+            made = edit([pixels(r) for r in patches], masks, list(batch["prompt"]), list(batch["seed"]))
             batch["data"] = [np.ascontiguousarray(m, dtype=np.uint8).tobytes() for m in made]
             yield batch[[f.name for f in kept]]
 
