@@ -6,7 +6,7 @@ import importlib
 
 from tessella.checks.registry import ORACLE, QUERIES
 
-MODULES = ["tiles", "volumes", "scalars", "pairing", "roi", "stencils", "patches", "saliency", "sampling", "scoring", "loop", "ingest"]
+MODULES = ["tiles", "volumes", "scalars", "pairing", "roi", "stencils", "patches", "saliency", "sampling", "scoring", "loop", "ingest", "configs"]
 
 
 def load() -> tuple[dict, dict]:

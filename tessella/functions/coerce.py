@@ -29,8 +29,15 @@ def _checked(json: Column, kind: str) -> Column:
 
 
 def float_map(json: Column) -> Column:
-    """JSON object as ``map<string,double>``; malformed text fails."""
-    return _checked(json, "map<string,double>")
+    """JSON object, or a dictionary literal, as ``map<string,double>``; quoted numbers and truth values count, malformed text fails."""
+    found = text_map(json)
+
+    def number(key: Column, value: Column) -> Column:
+        plain = F.lower(F.trim(value))
+        read = F.when(plain == "true", 1.0).when(plain == "false", 0.0).otherwise(plain.try_cast("double"))
+        return F.coalesce(read, F.raise_error(F.concat(F.lit("not a number: "), key)).cast("double"))
+
+    return F.transform_values(found, number)
 
 
 def repeat_map(json: Column) -> Column:
@@ -38,9 +45,20 @@ def repeat_map(json: Column) -> Column:
     return F.transform_values(float_map(json), lambda _, v: F.greatest(F.lit(0), v.cast("int")))
 
 
+#: Spellings of a dictionary literal that a JSON parser doesn't take: constants, bare numbers as keys, a comma before the end, numbers
+#: that begin or end with a point.
+_LITERALS = (
+    (r"([:,{]\s*)True(?=\s*[,}])", "$1true"), (r"([:,{]\s*)False(?=\s*[,}])", "$1false"), (r"([:,{]\s*)None(?=\s*[,}])", "$1null"),
+    (r",\s*\}$", "}"), (r"([{,]\s*)([+-]?[0-9.]+)(?=\s*:)", "$1\"$2\""), (r"([:]\s*-?)\+?\.(?=[0-9])", "$10."), (r"(:\s*[+-]?[0-9]+)\.(?=\s*[,}])", "$1"),
+)
+
+
 def text_map(json: Column) -> Column:
-    """JSON object as ``map<string,string>``."""
-    return _checked(json, "map<string,string>")
+    """JSON object as ``map<string,string>``; text that is none is read as a dictionary literal. Anything else fails."""
+    kind, relaxed = "map<string,string>", F.trim(json)
+    for pattern, to in _LITERALS:
+        relaxed = F.regexp_replace(relaxed, pattern, to)
+    return _checked(F.when(F.from_json(json, kind).isNull(), relaxed).otherwise(json), kind)
 
 
 def id_list(text: Column) -> Column:

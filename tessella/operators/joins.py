@@ -42,6 +42,20 @@ def resolve_models(specs: DataFrame) -> DataFrame:
     )
 
 
+def models_or_legacy(resolved: DataFrame, legacy: DataFrame) -> DataFrame:
+    """``alias, path`` of the resolved specs; where there are none, those of the ``legacy`` list (``position, alias, path``).
+
+    A legacy path that is NULL, empty or ``null`` is skipped, and of a repeated alias the first position counts.  A spec that isn't ``ok``
+    fails.
+    """
+    failed = F.raise_error(F.concat(F.lit("model spec "), F.col("status"), F.lit(": "), F.coalesce("alias", F.lit("no alias"))))
+    given = resolved.where(F.when(F.col("status") == "ok", True).otherwise(failed.cast("boolean"))).select("alias", "path")
+    usable = legacy.where("alias IS NOT NULL AND path IS NOT NULL AND path NOT IN ('', 'null')")
+    first = usable.groupBy("alias").agg(F.min_by("path", "position").alias("path"))
+    any_given = given.limit(1).select(F.lit(True).alias("_any"))  # one row at most
+    return given.unionByName(first.join(F.broadcast(any_given), F.col("_any"), "left_anti"))
+
+
 def pair_images(images: DataFrame, masks: DataFrame, classes: DataFrame, mode: str = "filename_group") -> DataFrame:
     """Image rows paired with masks of the same stem and labelled.
 

@@ -179,3 +179,11 @@ def split_report(split: DataFrame, group: str) -> DataFrame:
         F.count("*").alias("n_rows"), F.countDistinct(group).alias("n_groups"), F.min(group).alias("first_group"), F.max(group).alias("last_group")
     )
 
+
+def split_summary(split: DataFrame, group: str, history: DataFrame, metric: str = "val_f1") -> DataFrame:
+    """One row: rows and groups of each side (0 for an absent one), and the best value of ``metric`` in the training history; the best starts
+    at -1, and values that are missing or not numbers never improve it."""
+    side = lambda name: F.col("split") == name
+    counts = [F.count_if(side(n)).alias(f"{n}_rows") for n in ("train", "val")] + [F.count_distinct(F.when(side(n), F.col(group))).alias(f"{n}_groups") for n in ("train", "val")]
+    best = history.agg(F.greatest(F.lit(-1.0), F.max(F.when(~F.isnan(metric), F.col(metric).cast("double")))).alias(f"best_{metric}"))
+    return split.agg(*counts).crossJoin(best)  # one row each

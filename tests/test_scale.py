@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.operators import curriculum, quality, seams
+from tessella.functions import coerce
+from tessella.operators import curriculum, joins, quality, sampling, seams
 from tessella.sources import sinks
 
 RNG = np.random.default_rng(6)
@@ -134,3 +135,28 @@ def test_a_model_is_made_once_per_worker(spark, tmp_path):
     out.collect()
     names = os.listdir(made)
     assert len(names) == len({n.split("-")[0] for n in names}) < 20
+
+
+def test_maps_as_dictionary_literals(spark):
+    rows = [('{"a": 1.5}', {"a": 1.5}), ("{'a': True, 'b': .5, 'c': 1.,}", {"a": 1.0, "b": 0.5, "c": 1.0}), ("{1: '2', 'x y': -3e2}", {"1": 2.0, "x y": -300.0}), ("{}", {}), ("", None), (None, None), ('{"a: True, b": 1}', {"a: True, b": 1.0})]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
+    assert [r.m for r in df.select(coerce.float_map(F.col("t")).alias("m")).collect()] == [m for _, m in rows]
+    for wrong in ("x", "[1]", "{'a': 'z'}", "{'a': None}", "{'a' 1}"):
+        with pytest.raises(Exception, match="not a"):
+            spark.createDataFrame([(wrong,)], "t string").select(coerce.float_map(F.col("t"))).collect()
+
+
+def test_legacy_models_count_without_specs_only(spark):
+    legacy = spark.createDataFrame([(2, "a", "/second"), (1, "a", "/first"), (3, "b", "null"), (4, "c", ""), (5, "d", None), (6, None, "/x")], "position int, alias string, path string")
+    resolve = lambda *specs: joins.models_or_legacy(joins.resolve_models(spark.createDataFrame([(s,) for s in specs], "spec string")), legacy)
+    assert [tuple(r) for r in resolve().collect()] == [("a", "/first")]
+    assert [tuple(r) for r in resolve("z=/m").collect()] == [("z", "/m")]
+    with pytest.raises(Exception, match="invalid"):
+        resolve("z=/m", "nothing").collect()
+
+
+def test_split_summary(spark):
+    split = spark.createDataFrame([("train", 1), ("train", 1), ("train", 2)], "split string, volume int")
+    history = spark.createDataFrame([(0.2,), (float("nan"),), (None,)], "val_f1 double")
+    assert sampling.split_summary(split, "volume", history).collect() == [(3, 0, 2, 0, 0.2)]
+    assert sampling.split_summary(split.limit(0), "volume", history.limit(0)).collect() == [(0, 0, 0, 0, -1.0)]
