@@ -4,7 +4,8 @@ A line is removed from a document if an equal line, or one within ``EDITS`` edit
 ``doc_id`` and line. Equal lines meet by hash. For the others, each distinct line is split into ``EDITS + 1`` segments of even
 lengths, of which a line within the threshold keeps at least one unchanged; it is then found among the substrings of that line at
 the few places that the difference of lengths allows; the rest of both is split in the same way again, so that lines which merely
-share a segment rarely meet. Both sides carry one hash of (length, segments, substrings); where they meet, the texts of the two lines are fetched and their edit distance is taken within the threshold's band.
+share a segment rarely meet. Where more than ``HOT`` lines have a key all the same, as those of one template have, the rest of both is split
+again and again, until few agree or a character is left of each. Both sides carry one hash of (length, segments, substrings); where they meet, the texts of the two lines are fetched and their edit distance is taken within the threshold's band.
 
 The band is computed by Spark's own thresholded ``levenshtein``; a bit-parallel form would need bit operations per character in
 interpreted higher-order functions.
@@ -12,6 +13,8 @@ interpreted higher-order functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ LEAST = 16  # characters; shorter lines stay, or go by equality alone (``every``
 #: For a threshold that grows: from so many characters of the shorter line on, so many edits, up to three; ascending.
 GROWING = ((LEAST, 1), (40, 2), (60, 3))
 WORD = r"[^\x20\x09-\x0D]"
+HOT = 64  # lines under one key that may be compared one by one
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -106,6 +110,67 @@ def _name(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")
 
 
+def _details(shorter: int, within: tuple[int, int | None] | None) -> Column:
+    """The keys of ``_keys`` for one edit and lines ``shorter`` characters less, each with what is left of the line: ``key, shorter, mine, rest``."""
+    length, found = F.length("line"), []
+    n = length - shorter
+    for mine, i, segment, rest in _matches(F.col("line"), length, n, shorter, 1):
+        _, size = _segment(n, i, 1)
+        for too, j, piece, left in _matches(rest, length - size, n - size, shorter, 1):
+            key = F.xxhash64(n, F.lit(i), segment, F.lit(j), piece)
+            if within is not None:
+                low, high = within
+                key = F.when(n >= low if high is None else (n >= low) & (n < high), key)
+            found.append(F.struct(key.alias("key"), F.lit(shorter).alias("shorter"), F.lit(mine and too).alias("mine"), left.alias("rest")))
+    return F.array(*found)
+
+
+def _split_again(rows: DataFrame) -> DataFrame:
+    """Keys of one more segment: of two rests within an edit, one of two segments is the same."""
+    cases = []
+    for shorter in range(2):
+        length = F.length("rest")
+        parts = [
+            F.struct(F.xxhash64("key", F.lit(i), segment).alias("key"), (F.col("mine") & F.lit(same)).alias("mine"), left.alias("rest"))
+            for same, i, segment, left in _matches(F.col("rest"), length, length - shorter, shorter, 1)
+        ]
+        cases.append(F.array(*parts))
+    return rows.select("x", "place", "shorter", F.explode(F.when(F.col("shorter") == 0, cases[0]).otherwise(cases[1])).alias("r")).select("x", "place", "shorter", "r.*")
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Ordered pairs of different lines that share a key."""
+    met = left.select("key", F.col("x").alias("a")).join(right.select("key", F.col("x").alias("b")), "key").where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _hot_pairs(rows: DataFrame) -> list[DataFrame]:
+    """Pairs among lines of hot keys, about as many as there are lines: ``rows`` have ``x, place, key, shorter, mine, rest``.
+
+    A key says which parts are equal and how long the rest is. Lines with one character left or none differ in nothing else, so that all
+    but the first of them are beaten by the first: it alone is paired with the others. A line one longer meets the one that it is without
+    a character.
+    """
+    out = []
+    while True:
+        rows = written(rows, "hot")
+        sizes = rows.where("mine").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("place", "x")).alias("first"))
+        known = rows.join(small(written(sizes, "sizes")), "key")
+        ended = F.length("rest") <= 1 + F.col("shorter")
+        star = known.where(ended & F.col("mine") & (F.col("x") != F.col("first.x")))
+        out.append(star.select(F.least("x", "first.x").alias("a"), F.greatest("x", "first.x").alias("b")))
+        exact = lambda rest: F.xxhash64("key", F.lit("rest"), rest).alias("key")
+        without = F.array_distinct(F.array(F.expr("substring(rest, 2)"), F.expr("left(rest, length(rest) - 1)")))
+        longer = known.where(ended & (F.col("shorter") == 1)).select("x", "key", F.explode(without).alias("rest"))
+        out.append(_pairs(known.where(ended & F.col("mine")).select("x", exact(F.col("rest"))), longer.select("x", exact(F.col("rest")))))
+        few = known.where(~ended & (F.col("m") <= HOT))
+        out.append(_pairs(few.where("mine"), few))
+        many = known.where(~ended & (F.col("m") > HOT))
+        if many.isEmpty():
+            return out
+        rows = _split_again(many)
+
+
 def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, every: bool = False) -> DataFrame:
     """``doc_id, drop``: the numbers of the lines to remove, for each document that has any."""
     lines = _lines(docs, every)
@@ -116,9 +181,23 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
     distinct = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "own", "probes")).alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = written(distinct.select("h1", "h2", "n", "first.*"), "lines")
 
-    index = distinct.select(F.explode("own").alias("key"), F.struct("h1", "h2").alias("a"))
-    probe = distinct.select(F.explode(F.concat("own", "probes")).alias("key"), F.struct("h1", "h2").alias("b"))
-    pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    index = distinct.select(F.explode("own").alias("key"), F.struct("h1", "h2").alias("x"))
+    probe = distinct.select(F.explode(F.concat("own", "probes")).alias("key"), F.struct("h1", "h2").alias("x"))
+    # Where one line of so many differs, one split leaves too much of a line for larger thresholds: only keys of one edit are split again.
+    single = next((within for n, within in _classes(edits) if n == 1), False)
+    hot = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("key"), "hot-keys")
+    if single is False or hot.isEmpty():
+        pairs = _pairs(index, probe).distinct()
+    else:
+        ids = written(probe.join(small(hot), "key").select("x.*").distinct(), "hot-lines")
+        told = lines.select("h1", "h2", "line").join(small(ids), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+        told = told.join(distinct.select("h1", "h2", F.struct("doc_id", "line_no").alias("place")), ["h1", "h2"])
+        told = written(told.select(F.struct("h1", "h2").alias("x"), "place", "line"), "hot-texts")
+        rows = [told.select("x", "place", F.explode(_details(shorter, single)).alias("r")).select("x", "place", "r.*") for shorter in range(2)]
+        rows = written(rows[0].unionByName(rows[1]).join(small(hot), "key"), "hot-rows")
+        split = written(rows.select("key").distinct(), "split-keys")  # hot keys of other thresholds stay as they are
+        rest = [side.join(small(split), "key", "left_anti") for side in (index, probe)]
+        pairs = reduce(DataFrame.unionByName, _hot_pairs(rows), _pairs(*rest)).distinct()
     pairs = small(written(pairs, "pairs"))
     wanted = small(written(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x.*"), "wanted"))
     places = distinct.select("h1", "h2", F.struct("doc_id", "line_no").alias("place")).join(wanted, ["h1", "h2"])

@@ -456,6 +456,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert (bad[:, None] > good[None, :]).mean() + (bad[:, None] == good[None, :]).mean() / 2 > 0.9  # area under the curve
 
 
+def plain_near_lines(texts):
+    """Of texts of one line each: whether an earlier one is within an edit."""
+    seen, out = set(), []
+    for line in texts:
+        without = [line[:k] + line[k + 1 :] for k in range(len(line))]
+        out.append(line in seen or any((k, v) in seen or v in seen for k, v in enumerate(without)) or ("longer", line) in seen)
+        seen.add(line)
+        seen.update(enumerate(without))
+        seen.update(("longer", v) for v in without)
+    return out
+
+
+@pytest.mark.parametrize("n,digits", [(300, 8), (1500, 8), (700, 3)])
+def test_template_lines_make_few_pairs(spark, monkeypatch, n, digits):
+    """Lines that differ in a number of few digits: all pairs of them share keys, and few or (three digits) very many are near."""
+    r = random.Random(n)
+    texts = [f"This product page was rendered for visitor number {i:0{digits}d}" + (" of today" if digits == 3 else "") for i in r.sample(range(10**digits), n)]
+    texts += [t[:20] + t[21:] for t in texts[:9]] + [t + "x" for t in texts[9:18]] + [t[:-1] + "z" for t in texts[18:27]] + ["x" + t for t in texts[:3]]
+    r.shuffle(texts)
+    made = {}
+    monkeypatch.setattr(lines, "written", lambda df, name: made.setdefault(name, tables.written(df, name)) if name == "pairs" else tables.written(df, name))
+    got = {x.doc_id: x.lines_removed for x in lines.remove_repeated_lines(table_of(spark, texts)).collect()}
+    assert [bool(got[i]) for i in range(len(texts))] == plain_near_lines(texts)
+    assert made["pairs"].count() < 4 * len(texts) if digits == 8 else made["pairs"].count() < 40 * len(texts)
+
+
 def test_ftrl_equals_a_plain_loop():
     """Per coordinate, one feature after the other, as the update is written down."""
     r = random.Random(2)
