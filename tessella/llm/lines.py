@@ -1,11 +1,13 @@
 """Line deduplication with a segment-partition edit join, in DataFrame functions only.
 
-A line is removed from a document if an equal line, or one within ``EDITS`` edits, stands earlier in the corpus, in the order of
-``doc_id`` and line. Equal lines meet by hash. For the others, each distinct line is split into ``EDITS + 1`` segments of even
-lengths, of which a line within the threshold keeps at least one unchanged; it is then found among the substrings of that line at
-the few places that the difference of lengths allows; the rest of both is split in the same way again, so that lines which merely
-share a segment rarely meet. Where more than ``HOT`` lines have a key all the same, as those of one template have, the rest of both is split
-again and again, until few agree or a character is left of each. Both sides carry one hash of (length, segments, substrings); where they meet, the texts of the two lines are fetched and their edit distance is taken within the threshold's band.
+A line is removed from a document if an equal line, or one within ``EDITS`` edits where both have ``LEAST`` characters, stands earlier
+in the corpus, in the order of ``doc_id`` and line. Equal lines meet by hash. For the others, each distinct line is split into
+``EDITS + 1`` segments of even lengths, of which a line within the threshold keeps at least one unchanged; it is then found among the
+substrings of that line at the few places that the difference of lengths allows; the rest of both is split in the same way again, so
+that lines which merely share a segment rarely meet. Where more than ``HOT`` lines have a key all the same, as those of one template
+have, the rest of both is split again and again, until few agree or a character is left of each. Both sides carry one hash of
+(length, segments, substrings); where they meet, the texts of the two lines are fetched and their edit distance is taken within the
+threshold's band.
 
 The band is computed by Spark's own thresholded ``levenshtein``; a bit-parallel form would need bit operations per character in
 interpreted higher-order functions.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tessella.llm.tables import quoted, small, unused, written
 
 EDITS = 1
-LEAST = 16  # characters; shorter lines stay, or go by equality alone (``every``)
+LEAST = 16  # characters; shorter lines with a word go by equality alone
 #: For a threshold that grows: from so many characters of the shorter line on, so many edits, up to three; ascending.
 GROWING = ((LEAST, 1), (40, 2), (60, 3))
 WORD = r"[^\x20\x09-\x0D]"
@@ -97,12 +99,11 @@ def _near(a: Column, b: Column, edits: int | tuple[tuple[int, int], ...]) -> Col
     return out
 
 
-def _lines(docs: DataFrame, every: bool = False) -> DataFrame:
-    """``doc_id, line_no`` (from 1) and ``line`` of every line that is long enough; ``every``: also of each shorter one with a word."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no`` (from 1) and ``line`` of every line that is long enough for an edit, and of each shorter one with a word."""
     split = F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("at", "line")
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), split)
-    wanted = F.length("line") >= LEAST
-    return rows.where(wanted | F.col("line").rlike(WORD) if every else wanted).select("doc_id", (F.col("at") + 1).alias("line_no"), "line", *_name(F.col("line")))
+    return rows.where((F.length("line") >= LEAST) | F.col("line").rlike(WORD)).select("doc_id", (F.col("at") + 1).alias("line_no"), "line", *_name(F.col("line")))
 
 
 def _name(line: Column) -> tuple[Column, Column]:
@@ -171,12 +172,12 @@ def _hot_pairs(rows: DataFrame) -> list[DataFrame]:
         rows = _split_again(many)
 
 
-def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, every: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
     """``doc_id, drop``: the numbers of the lines to remove, for each document that has any."""
-    lines = _lines(docs, every)
+    lines = _lines(docs)
     own, probes = (F.concat(*keys) for keys in zip(*(_keys(F.col("line"), F.length("line"), n, within) for n, within in _classes(edits))))
-    if every:  # shorter lines meet by their hash only
-        own, probes = (F.when(F.length("line") >= LEAST, keys).otherwise(F.array().cast("array<long>")) for keys in (own, probes))
+    # Shorter lines meet by their hash only.
+    own, probes = (F.when(F.length("line") >= LEAST, keys).otherwise(F.array().cast("array<long>")) for keys in (own, probes))
     keyed = lines.select("doc_id", "line_no", "h1", "h2", own.alias("own"), probes.alias("probes"))
     distinct = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "own", "probes")).alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = written(distinct.select("h1", "h2", "n", "first.*"), "lines")
@@ -218,16 +219,16 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
 
 
-def remove_repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, every: bool = False) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
     """All columns of ``docs`` with ``text`` shortened, and ``lines_before`` and ``lines_removed``.
 
-    docs: ``doc_id`` and ``text``. Lines end at ``\\n``; those of fewer than ``LEAST`` characters always stay, unless
-    ``every`` is set: then those with a word go if an equal line stands earlier, and blank ones stay.
+    docs: ``doc_id`` and ``text``. Lines end at ``\\n``; those of fewer than ``LEAST`` characters go if they have a word and an equal
+    line stands earlier; shorter ones without a word, such as blank lines, stay.
     edits: one threshold for all lines, or pairs like ``GROWING``. A null text stays null and has no line.
     Rows without ``doc_id`` neither lose lines nor cost others any; rows with the same ``doc_id`` count as one document, so that a line at
     the same place of both stays in both. Further columns are passed on; columns named like the two added ones are replaced.
     """
-    drops = small(written(repeated_lines(docs, edits, every), "drops"), 4 * F.size("drop"))
+    drops = small(written(repeated_lines(docs, edits), "drops"), 4 * F.size("drop"))
     key, gone = unused(docs, "_key"), unused(docs, "_gone")
     drops = drops.select(F.col("doc_id").alias(key), F.col("drop").alias(gone))
     joined = docs.join(drops, F.col("doc_id").cast("long") == F.col(key), "left")
@@ -248,13 +249,13 @@ def remove_repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], .
 LINES_SQL = f"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM split),
-long AS (SELECT * FROM lines WHERE length(line) >= {LEAST}),
+long AS (SELECT * FROM lines WHERE length(line) >= {LEAST} OR regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS nth FROM long),
 firsts AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS place, line FROM ranked WHERE nth = 1),
-cut AS (SELECT place, length(line) AS n, p, hash(left(line, p - 1) || substr(line, p + 1)) AS h FROM (SELECT *, unnest(range(1, length(line) + 1)) AS p FROM firsts)),
+cut AS (SELECT place, length(line) AS n, p, hash(left(line, p - 1) || substr(line, p + 1)) AS h FROM (SELECT *, unnest(range(1, length(line) + 1)) AS p FROM firsts WHERE length(line) >= {LEAST})),
 near AS (
   SELECT a.place AS x, b.place AS y FROM cut a JOIN cut b ON a.h = b.h AND a.p = b.p AND a.n = b.n AND a.place < b.place
-  UNION ALL SELECT least(a.place, f.place), greatest(a.place, f.place) FROM cut a JOIN firsts f ON a.h = hash(f.line)),
+  UNION ALL SELECT least(a.place, f.place), greatest(a.place, f.place) FROM cut a JOIN firsts f ON a.h = hash(f.line) WHERE length(f.line) >= {LEAST}),
 gone AS (SELECT doc_id, line_no FROM ranked WHERE nth > 1
   UNION SELECT r.doc_id, r.line_no FROM ranked r JOIN firsts f ON r.line = f.line AND r.nth = 1 WHERE f.place IN (SELECT y FROM near)),
 kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id)

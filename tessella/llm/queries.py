@@ -83,36 +83,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampling probabilities of all documents after raking to smoothed shares of source, language and topic."""
-    topics = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
-    return mixing.mix_documents(table(spark, sf_dir, "documents"), topics)
-
-
-@query
-def op7_mixing_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probabilities of all documents that meet the smoothed shares of source, language and topic, at the budget this allows."""
     topics = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
-    return mixing.mix_documents(table(spark, sf_dir, "documents"), topics, full=True)
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), topics)
 
 
 @query
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that stand earlier in the corpus, up to one edit."""
+    """All documents without the lines that stand earlier in the corpus: short ones by equality, from 16 characters on up to one edit."""
     found = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), substrings.digest("text").alias("kept_sha256"))
 
 
-@query
-def op8_lines_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op8_lines``, and without the shorter lines of which an equal one stands earlier."""
-    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
-    return found.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), substrings.digest("text").alias("kept_sha256"))
-
-
 @query
 def op8_lines_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op8_lines_every``, with a threshold of one to three edits that grows with the length of a line."""
-    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.GROWING, every=True)
+    """As ``op8_lines``, with a threshold of one to three edits that grows with the length of a line."""
+    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.GROWING)
     return found.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), substrings.digest("text").alias("kept_sha256"))
 
 
