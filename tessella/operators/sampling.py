@@ -41,8 +41,10 @@ def hash_rank(df: DataFrame, draw: Column, by: Sequence[str] = (), ties: Sequenc
         drawn = df.withColumn("_draw", draw)
         if not by:
             drawn = drawn.orderBy("_draw", *ties).limit(first)  # each task sends its first rows only
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_draw", *ties)) - 1
-        return drawn.withColumn(name, rank).where(F.col(name) < first).drop("_draw")
+        # the bare row number is compared: Spark doesn't see a limit per group through "row number - 1"
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_draw", *ties))
+        kept = drawn.withColumn("_row", rank).where(F.col("_row") <= first)
+        return kept.select(*df.columns, (F.col("_row") - 1).alias(name))
     keyed = df.withColumn("_draw", draw).withColumn("_bucket", F.substring("_draw", 1, prefix))
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
     # at most 16 ** prefix rows per group

@@ -160,3 +160,15 @@ def test_split_summary(spark):
     history = spark.createDataFrame([(0.2,), (float("nan"),), (None,)], "val_f1 double")
     assert sampling.split_summary(split, "volume", history).collect() == [(3, 0, 2, 0, 0.2)]
     assert sampling.split_summary(split.limit(0), "volume", history.limit(0)).collect() == [(0, 0, 0, 0, -1.0)]
+
+
+def test_samples_cut_their_groups_before_the_shuffle(spark):
+    """A group limit in the plan: each task sends as many rows of a label as are asked for, not all of them."""
+    from tessella.operators import sampling
+
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 5 < 4 THEN concat('l', id % 5) END AS label")
+    sample = sampling.stratified_sample(rows, "label", 7, 3, ["id"])
+    assert sample._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+    assert sample.groupBy("label").count().select("count").distinct().collect() == [(7,)]
+    ranks = sampling.ordered_strata(rows, "label", 7, 3, ["id"])
+    assert sorted(r.source_index for r in ranks.collect()) == list(range(35))
