@@ -20,12 +20,9 @@ def to_int(raw: Column, default: int | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
-def _checked(json: Column, kind: str) -> Column:
-    """A JSON object as a map; text that is neither empty nor an object fails."""
-    found = F.from_json(json, kind)
-    blank = json.isNull() | (F.trim(json) == "")
-    wrong = ~blank & (found.isNull() | ~F.trim(json).startswith("{"))
-    return F.when(wrong, F.raise_error(F.concat(F.lit("not a JSON object: "), json)).cast(kind)).otherwise(F.when(~blank, found))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def float_map(json: Column) -> Column:
@@ -33,8 +30,7 @@ def float_map(json: Column) -> Column:
     found = text_map(json)
 
     def number(key: Column, value: Column) -> Column:
-        plain = F.lower(F.trim(value))
-        read = F.when(plain == "true", 1.0).when(plain == "false", 0.0).otherwise(plain.try_cast("double"))
+        read = _once(F.lower(F.trim(value)), lambda plain: F.when(plain == "true", 1.0).when(plain == "false", 0.0).otherwise(plain.try_cast("double")))
         return F.coalesce(read, F.raise_error(F.concat(F.lit("not a number: "), key)).cast("double"))
 
     return F.transform_values(found, number)
@@ -55,10 +51,22 @@ _LITERALS = (
 
 def text_map(json: Column) -> Column:
     """JSON object as ``map<string,string>``; text that is none is read as a dictionary literal. Anything else fails."""
-    kind, relaxed = "map<string,string>", F.trim(json)
-    for pattern, to in _LITERALS:
-        relaxed = F.regexp_replace(relaxed, pattern, to)
-    return _checked(F.when(F.from_json(json, kind).isNull(), relaxed).otherwise(json), kind)
+    kind = "map<string,string>"
+
+    def checked(text: Column, found: Column) -> Column:
+        trimmed = F.trim(text)
+        wrong = found.isNull() | ~trimmed.startswith("{")
+        failed = F.raise_error(F.concat(F.lit("not a JSON object: "), text)).cast(kind)
+        return F.when(text.isNull() | (trimmed == ""), F.lit(None).cast(kind)).when(wrong, failed).otherwise(found)
+
+    def literal(text: Column) -> Column:
+        relaxed = F.trim(text)
+        for pattern, to in _LITERALS:
+            relaxed = F.regexp_replace(relaxed, pattern, to)
+        return _once(relaxed, lambda r: _once(F.from_json(r, kind), lambda found: checked(r, found)))
+
+    # the rewriting is tried only on texts that aren't JSON, and each step is named once: repeated, they multiply with every map on top
+    return _once(json, lambda text: _once(F.from_json(text, kind), lambda found: F.when(found.isNull(), literal(text)).otherwise(checked(text, found))))
 
 
 def id_list(text: Column) -> Column:

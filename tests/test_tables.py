@@ -320,3 +320,16 @@ def test_missing_read_errors_are_not_hidden(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(PySparkException):
         sinks.read_if_exists(spark, str(tmp_path / "empty"))
+
+
+def test_maps_are_parsed_once(spark):
+    """Each parse stands in the expression a fixed number of times, also with maps on top of maps."""
+    from pyspark.sql import functions as F
+
+    from tessella.functions import coerce
+
+    rows = spark.createDataFrame([('{"a": 1.5, "b": "2"}',), ("{'a': .5, 2: True,}",), ("  ",), (None,)], "t string")
+    shifted = F.to_json(F.transform_values(coerce.float_map(F.col("t")), lambda _, v: v + 1))
+    found = rows.select(coerce.float_map(F.col("t")).alias("f"), coerce.repeat_map(shifted).alias("n"))
+    assert found._jdf.queryExecution().analyzed().toString().count("from_json") <= 8
+    assert [tuple(r) for r in found.collect()] == [({"a": 1.5, "b": 2.0}, {"a": 2, "b": 3}), ({"a": 0.5, "2": 1.0}, {"a": 1, "2": 2}), (None, None), (None, None)]
