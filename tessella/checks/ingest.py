@@ -28,11 +28,10 @@ def stream_ingest(spark, sf):
 @check("image_scan", f"WITH {fx.PIXELS_SQL}, d AS ({digest_sql('pixels')}), g AS (SELECT k, CAST(sum((19595 * r + 38470 * g + 7471 * b + 32768) // 65536) AS BIGINT) AS grey FROM pixels GROUP BY k) SELECT d.*, grey FROM d JOIN g USING (k)")
 def image_scan(spark, sf):
     """Slides written as PNG files, decoded again by the image source, in colour and in grey."""
-    path = new_path(spark, "png")
-    write_pngs(fx.rgb_blocks(spark, sf, 512), path)
+    folders = write_pngs(fx.rgb_blocks(spark, sf, 512), new_path(spark, "png"))
     number = F.regexp_extract("image_id", r"^(\d+)\.png$", 1).cast("int")
-    colour = digest(scan_images(spark, path, "rgb", 32))
-    grey = digest(scan_images(spark, path, "grey", 32)).select("image_id", F.col("sum_v").alias("grey"))
+    colour = digest(scan_images(spark, folders, "rgb", 32))
+    grey = digest(scan_images(spark, folders, "grey", 32)).select("image_id", F.col("sum_v").alias("grey"))
     return colour.join(grey, "image_id").withColumn("image_id", number).withColumnRenamed("image_id", "k")
 
 
@@ -40,9 +39,9 @@ def image_scan(spark, sf):
 def image_rejects(spark, sf):
     """A folder of slides and one broken file: what is read, and what is reported."""
     path = new_path(spark, "png")
-    write_pngs(fx.rgb_blocks(spark, sf, 512), path)
-    spark.range(1).select(F.lit("no image").alias("value")).coalesce(1).write.mode("append").text(path)
+    folders = [*write_pngs(fx.rgb_blocks(spark, sf, 512), path), f"{path}/other"]
+    spark.range(1).select(F.lit("no image").alias("value")).coalesce(1).write.text(folders[-1])
     from tessella.sources.images import unreadable_images
 
-    readable = scan_images(spark, path, "grey", 512, skip_unreadable=True).agg(F.count_distinct("image_id").alias("readable"))
-    return readable.crossJoin(unreadable_images(spark, path).agg(F.count("*").alias("unreadable")))  # one row each
+    readable = scan_images(spark, folders, "grey", 512, skip_unreadable=True).agg(F.count_distinct("image_id").alias("readable"))
+    return readable.crossJoin(unreadable_images(spark, folders).agg(F.count("*").alias("unreadable")))  # one row each

@@ -22,8 +22,8 @@ def encode_png(arr: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def write_pngs(images: DataFrame, path: str) -> int:
-    """Write single-block images as ``<image_id>.png`` to any file system Arrow knows; returns how many."""
+def write_pngs(images: DataFrame, path: str, per_folder: int = 1000) -> list[str]:
+    """Write single-block images as ``<image_id div per_folder>/<image_id>.png`` to any file system Arrow knows; returns the folders."""
     import pyarrow.fs as pafs
 
     from tessella.operators.blocks import map_blocks, pixels
@@ -32,9 +32,11 @@ def write_pngs(images: DataFrame, path: str) -> int:
 
     def kernel(b):
         fs, root = pafs.FileSystem.from_uri(uri)
-        fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{b['image_id']}.png") as f:
+        folder = b["image_id"] // per_folder
+        fs.create_dir(f"{root}/{folder}", recursive=True)
+        with fs.open_output_stream(f"{root}/{folder}/{b['image_id']}.png") as f:
             f.write(encode_png(pixels(b)))
-        return {"n": np.array([1])}
+        return {"folder": np.array([folder])}
 
-    return map_blocks(images, kernel, "n bigint").count()
+    folders = map_blocks(images, kernel, "folder bigint", ()).distinct()
+    return [f"{path}/{r.folder}" for r in folders.sort("folder").toLocalIterator()]

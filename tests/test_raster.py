@@ -328,3 +328,34 @@ def test_heat_cuts_equal_quantiles(spark, make_blocks, limits):
         if area > limits[1]:
             cut = high
         assert got[k] == pytest.approx(cut, abs=1e-12), k
+
+
+def test_many_folders_are_scanned_a_few_at_a_time(spark, make_blocks, read_blocks, tmp_path, monkeypatch):
+    from tessella.checks.png import write_pngs
+    from tessella.sources import images as source
+
+    arrays = {k: RNG.integers(0, 255, (5 + k, 7, 3), dtype=np.uint8) for k in range(7)}
+    folders = write_pngs(make_blocks(arrays, 64), str(tmp_path / "png"), per_folder=2)
+    assert [f.rsplit("/", 1)[1] for f in folders] == ["0", "1", "2", "3"]
+    (tmp_path / "png" / "3" / "note.txt").write_text("no image")
+    asked, load, cost = [], source._load, spark.conf.get(source.OPEN_COST)
+    monkeypatch.setattr(source, "_load", lambda spark, path, glob: asked.append(path) or load(spark, path, glob))
+    got = read_blocks(source.scan_images(spark, folders, block=4, skip_unreadable=True, at_once=3))
+    assert [len(a) for a in asked] == [3, 1] and spark.conf.get(source.OPEN_COST) == cost
+    assert all(np.array_equal(got[f"{k}.png"], a) for k, a in arrays.items()) and len(got) == 7
+    assert [r.filename for r in source.unreadable_images(spark, folders, at_once=1).collect()] == ["note.txt"]
+    with pytest.raises(ValueError):
+        source.scan_images(spark, [])
+
+
+def test_kernels_hold_few_rows_at_once(spark):
+    """However full an Arrow batch is, only a slice of it is Python objects at once."""
+    from tessella.operators import blocks
+
+    rows = spark.range(0, 3000, 1, 1).withColumnRenamed("id", "image_id")
+    sizes = blocks.map_blocks(rows, lambda b: {"n": np.array([1])}, "n bigint", merge=lambda held: [(held[0][0], {"n": np.array([len(held)])})])
+    got = [r.n for r in sizes.collect()]
+    assert sum(got) == 3000 and max(got) <= blocks.ROWS
+    wide = spark.range(0, 60, 1, 1).selectExpr("id AS image_id", "cast(repeat('x', 500000) AS binary) AS data")
+    held = blocks.map_blocks(wide, lambda b: {"n": np.array([len(b["data"])])}, "n bigint", merge=lambda held: [(held[0][0], {"n": np.array([sum(int(r["n"][0]) for _, r in held)])})])
+    assert max(r.n for r in held.collect()) <= 2 * blocks.HELD
