@@ -10,6 +10,7 @@ from tessella.checks.tiles import COVER, T, mined
 from tessella.functions import labels
 from tessella.operators import blocks, roi
 from tessella.operators.saliency import exact_quantiles
+from tessella.session import pin
 
 PLACE = "((y * 131 + x * 7) % 1009 + 1)"
 
@@ -52,6 +53,7 @@ def roi_mask(spark, sf):
   SELECT k, round(coverage, 6) AS coverage, round((SELECT avg(coverage) FROM c), 6) AS mean, round((SELECT quantile_cont(coverage, 0.5) FROM c), 6) AS median FROM c""")
 def roi_coverage(spark, sf):
     cover = roi.roi_coverage(roi.roi_blocks(fx.class_blocks(spark, sf), include=(1, 2, 3, 4))).withColumnRenamed("image_id", "k")
+    cover = pin(cover)  # a row per image, read three times
     counts = cover.groupBy(F.lit(0).alias("all"), F.col("coverage").alias("v")).agg(F.count("*").alias("n"))
     median = exact_quantiles(counts, "all", [0.5]).select(F.round("q", 6).alias("median"))
     mean = cover.agg(F.round(F.avg("coverage"), 6).alias("mean"))
