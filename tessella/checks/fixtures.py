@@ -89,14 +89,14 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(b: dict) -> tuple[np.ndarray, np.ndarray, int]:
-    yy, xx = np.mgrid[b["y0"] : b["y0"] + b["h"], b["x0"] : b["x0"] + b["w"]].astype(np.int64)
+    yy, xx = np.ogrid[b["y0"] : b["y0"] + b["h"], b["x0"] : b["x0"] + b["w"]]
     return yy, xx, b["image_id"]
 
 
 def _classes(b: dict) -> np.ndarray:
     y, x, k = _grid(b)
     if k % 37 == 0:
-        return np.zeros(y.shape, dtype=np.int8)
+        return np.zeros((b["h"], b["w"]), dtype=np.int8)
     cid = 1 + ((x // 8) * 3 + (y // 8) * 5 + k * 7) % 11
     cid = np.where((x // 12 + y // 10 + k) % 4 < k % 4, 0, cid)
     return np.where((x * y + k) % 97 == 0, -1, cid).astype(np.int8)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessella.operators.blocks import FLUSH, map_blocks, pixels
+from tessella.operators.blocks import FLUSH, map_batches, map_blocks, pixels
 
 GROUP = 64  # tile origins of a group along each axis
 _CELLS = "gy int, gx int, img_h int, img_w int, cy int, cx int, ny int, nx int, counts binary"
@@ -186,7 +186,7 @@ def tile_sums(cells: DataFrame, size: int, stride: int, classes: int = 1, name:
             close()
             yield pack()
 
-    return ordered.mapInArrow(run, schema)
+    return map_batches(ordered, run, schema)
 
 
 def origin_group(origin: str, stride: int) -> Column:
@@ -234,4 +234,4 @@ def asked_sums(cells: DataFrame, tiles: DataFrame, size: int, stride: int, name:
             if len(found):
                 yield pa.RecordBatch.from_arrays([tile.take(pa.array(found)), pa.array(counts[found])], schema=arrow)
 
-    return ordered.mapInArrow(run, schema).select("tile.*", name)
+    return map_batches(ordered, run, schema).select("tile.*", name)

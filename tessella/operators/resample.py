@@ -7,6 +7,7 @@ meets; shares are summed after one shuffle.  No task ever holds more than one bl
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ def _lanczos(x):
 FILTERS: dict[str, tuple[float, Callable]] = {"triangle": (1.0, _triangle), "lanczos": (3.0, _lanczos)}
 
 
+@lru_cache(maxsize=64)
 def axis_weights(n_in: int, n_out: int, j0: int, j1: int, filt: str = "triangle", antialias: bool = True) -> tuple[int, np.ndarray]:
     """Weights of source cells ``[j0, j1)`` in the output cells they reach: ``(first output, matrix)``.
 
@@ -45,6 +47,7 @@ def axis_weights(n_in: int, n_out: int, j0: int, j1: int, filt: str = "triangle"
     return lo, own / full.sum(axis=1, keepdims=True)
 
 
+@lru_cache(maxsize=1 << 10)
 def whole_cells(n_in: int, n_out: int, j0: int, j1: int, first: int, count: int, filt: str = "triangle", antialias: bool = True) -> tuple[int, int]:
     """The run of output cells (relative to ``first``) that draw on source cells ``[j0, j1)`` alone."""
     step = n_in / n_out

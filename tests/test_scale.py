@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import coerce
-from tessella.operators import curriculum, joins, quality, sampling, seams
+from tessella.operators import blocks, curriculum, joins, masks, quality, roi, sampling, seams
 from tessella.sources import sinks
 
 RNG = np.random.default_rng(6)
@@ -172,3 +172,25 @@ def test_samples_cut_their_groups_before_the_shuffle(spark):
     assert sample.groupBy("label").count().select("count").distinct().collect() == [(7,)]
     ranks = sampling.ordered_strata(rows, "label", 7, 3, ["id"])
     assert sorted(r.source_index for r in ranks.collect()) == list(range(35))
+
+
+def test_kernels_in_a_row_share_a_worker(spark, make_blocks):
+    rgb = {k: RNG.integers(0, 256, (40, 50, 3)).astype(np.uint8) for k in range(4)}
+    lut = np.array(list(roi.PALETTE), np.uint8)
+    rgb[1] = lut[RNG.integers(0, len(lut), (40, 50))]
+    made = make_blocks(rgb, 16)
+    regions = roi.roi_blocks(roi.decode_palette(made, unknown=0), exclude=(5, 6))
+    found = blocks.digest(regions)
+    assert plan_of(found).count("MapInArrow") == 1
+    soft = blocks.digest(masks.soften(regions, 16, 1.5))
+    assert plan_of(soft).count("MapInArrow") == 2  # one on each side of the shuffle of the rims
+    apart = blocks.digest(spark.createDataFrame(regions.collect(), regions.schema))
+    assert sorted(found.collect()) == sorted(apart.collect())
+    yy, xx = np.mgrid[0:40, 0:50]
+    place = ((yy * 131 + xx * 7) % 1009 + 1)[:, :, None] + np.arange(3)
+    got = {r.image_id: r for r in blocks.digest(made).collect()}
+    for k, v in rgb.items():
+        assert (got[k].n_values, got[k].sum_v, got[k].pos_sum) == (v.size, v.sum(), (v.astype(int) * place).sum())
+    # a step in between that isn't a kernel goes to Spark again
+    some = blocks.digest(regions.where("image_id > 1"))
+    assert sorted(some.collect()) == [r for r in sorted(found.collect()) if r.image_id > 1]
