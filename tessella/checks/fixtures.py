@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.checks.registry import table
-from tessella.operators.blocks import BLOCK_FIELDS, map_blocks
+from tessella.operators.blocks import BLOCK_FIELDS, axes, map_blocks
 from tessella.operators.roi import PALETTE
 from tessella.plans.mining import Mining
 
@@ -89,26 +89,30 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(b: dict) -> tuple[np.ndarray, np.ndarray, int]:
-    yy, xx = np.ogrid[b["y0"] : b["y0"] + b["h"], b["x0"] : b["x0"] + b["w"]]
-    return yy, xx, b["image_id"]
+    yy, xx = axes(b)
+    return yy.astype(np.int32), xx.astype(np.int32), b["image_id"]
 
 
+# The slide's own term is reduced first, which changes no remainder and keeps sums small.
 def _classes(b: dict) -> np.ndarray:
     y, x, k = _grid(b)
     if k % 37 == 0:
         return np.zeros((b["h"], b["w"]), dtype=np.int8)
-    cid = 1 + ((x // 8) * 3 + (y // 8) * 5 + k * 7) % 11
-    cid = np.where((x // 12 + y // 10 + k) % 4 < k % 4, 0, cid)
-    return np.where((x * y + k) % 97 == 0, -1, cid).astype(np.int8)
+    cid = 1 + ((x // 8) * 3 + ((y // 8) * 5 + k * 7 % 11)) % 11
+    cid = np.where((x // 12 + (y // 10 + k % 4)) % 4 < k % 4, 0, cid)
+    return np.where((x * y + k % 97) % 97 == 0, -1, cid).astype(np.int8)
 
 
 def _rgb(b: dict) -> np.ndarray:
     y, x, k = _grid(b)
-    white = (x // 16 + y // 16 + k) % 5 < k % 3
-    r = np.where(white, 240 + (x + y) % 3, (x * 7 + y * 13 + k * 3) % 200)
-    g = np.where(white, 241, (x * 11 + y * 5 + k * 17) % 200)
-    c = np.where(white, 242, (x * 3 + y * 19 + k * 29) % 200)
-    return np.stack([r, g, c], axis=2).astype(np.uint8)
+    out = np.empty((b["h"], b["w"], 3), np.uint8)
+    for c, (across, down, own) in enumerate(((7, 13, 3), (11, 5, 17), (3, 19, 29))):
+        out[:, :, c] = (x * across + (y * down + k * own % 200)) % 200
+    white = (x // 16 + (y // 16 + k % 5)) % 5 < k % 3
+    if white.any():
+        np.copyto(out[:, :, 0], (240 + (x + y) % 3).astype(np.uint8), where=white)
+        out[:, :, 1][white], out[:, :, 2][white] = 241, 242
+    return out
 
 
 def bbox_of(w: int, h: int, k: int) -> tuple[int, int, int, int]:
@@ -119,8 +123,9 @@ def _edited(b: dict) -> np.ndarray:
     y, x, k = _grid(b)
     y0, x0, y1, x1 = bbox_of(b["img_w"], b["img_h"], k)
     inside = (y >= y0) & (y < y1) & (x >= x0) & (x < x1)
-    step = np.where(inside, (x * y) % 60, ((x + y + k) % 37 == 0).astype(np.int64))
-    return np.minimum(255, _rgb(b).astype(np.int64) + step[:, :, None]).astype(np.uint8)
+    step = np.where(inside, (x * y) % 60, (x + (y + k % 37)) % 37 == 0).astype(np.uint8)[:, :, None]
+    before = _rgb(b)
+    return before + np.minimum(255 - before, step)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

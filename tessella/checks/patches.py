@@ -12,7 +12,6 @@ from tessella.checks.stencils import _profile_sql
 from tessella.checks.tiles import COVER, T, mined
 from tessella.operators import blend, blocks, quality, seams
 from tessella.plans import patches
-from tessella.session import pin
 
 B = fx.BLOCK
 DIFF = "(abs(r - er) + abs(g - eg) + abs(b - eb))"
@@ -77,9 +76,8 @@ def flip_inside(images, masks, prompts, seeds):
   SELECT d.*, CAST(7 + k AS BIGINT) AS seed, CASE WHEN k % 2 = 0 THEN 'edit cancer, malignant skin histology pattern with dysplastic morphology' ELSE 'edit other, skin histology tissue pattern' END AS prompt FROM d""")
 def batch_edit(spark, sf):
     keys = ["image_id", "tile_y", "tile_x"]
-    tiles = pin(mined(spark, sf).select(*keys, F.col("tile_x").alias("x0"), F.col("tile_y").alias("y0"), (F.col("tile_x") + T).alias("x1"), (F.col("tile_y") + T).alias("y1")))
-    image = blocks.crop_tiles(tiles, fx.rgb_blocks(spark, sf), B, keys)
-    mask = blocks.crop_tiles(tiles, fx.mask_blocks(spark, sf), B, keys).select(*keys, F.col("data").alias("mask"))
-    labelled = image.join(mask, keys).withColumn("coarse_label", F.expr("CASE WHEN image_id % 2 = 0 THEN 'cancer' ELSE 'other' END"))
+    tiles = mined(spark, sf).select(*keys, F.col("tile_x").alias("x0"), F.col("tile_y").alias("y0"), (F.col("tile_x") + T).alias("x1"), (F.col("tile_y") + T).alias("y1"))
+    crops = patches.labelled_crops(tiles, fx.rgb_blocks(spark, sf), fx.mask_blocks(spark, sf), B, keys)
+    labelled = crops.withColumn("coarse_label", F.expr("CASE WHEN image_id % 2 = 0 THEN 'cancer' ELSE 'other' END"))
     edited = seams.batch_edit(patches.edit_plan(labelled, "edit {token}{descriptor_suffix}", 7, "image_id"), flip_inside)
     return as_k(blocks.digest(edited, keys=[*keys, "seed", "prompt"]))

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessella.operators.blocks import PIECE_FIELDS, assemble, grid_targets, map_blocks, piece, piece_rows, pixels, sum_pieces
+from tessella.operators.blocks import BLOCK_FIELDS, PIECE_FIELDS, assemble, block_row, grid_targets, map_blocks, piece, piece_rows, pixels, sum_pieces
 
 
 def _triangle(x):
@@ -166,18 +166,19 @@ CHANNEL_STD = (0.229, 0.224, 0.225)
 
 def normalise_channels(blocks: DataFrame) -> DataFrame:
     """0..255 pixels to standardised doubles."""
-    from tessella.operators.blocks import BLOCK_FIELDS, block_row
-
     def kernel(b):
         return block_row(b, b["y0"], b["x0"], (pixels(b) / 255.0 - CHANNEL_MEAN) / CHANNEL_STD)
 
     return map_blocks(blocks, kernel, BLOCK_FIELDS)
 
 
-def as_images(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cropped tiles become images of their own: origin zero, frame equal to the tile."""
-    from pyspark.sql import functions as F
+def resize_crops(crops: DataFrame, height: int, width: int, filt: str = "triangle", keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Cropped tiles, each whole in its row, resized to single-block images of their own: no share of them meets another."""
+
+    def kernel(b):
+        _, wy = axis_weights(b["h"], height, 0, b["h"], filt)
+        _, wx = axis_weights(b["w"], width, 0, b["w"], filt)
+        out = to_levels(weigh(pixels(b), wy, wx))
+        return block_row({"by": 0, "bx": 0, "img_h": height, "img_w": width}, 0, 0, out)
 
-    zero = F.lit(0)
-    return tiles.select(*keys, zero.alias("by"), zero.alias("bx"), zero.alias("y0"), zero.alias("x0"), "h", "w",
-                        F.col("h").alias("img_h"), F.col("w").alias("img_w"), "nch", "data")
+    return map_blocks(crops, kernel, BLOCK_FIELDS, keys)

@@ -8,13 +8,15 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.functions import scores
-from tessella.operators.blocks import pixels
+from tessella.operators.blocks import map_batches, parts, pixels
 
 
 ROWS = 256  # rows of one model call at most; Arrow batches are bounded by bytes before that
@@ -71,12 +73,16 @@ def batch_edit(patches: DataFrame, edit: Callable, rows: int = ROWS) -> DataFram
     """
     kept = [f for f in patches.schema.fields if f.name != "mask"]
 
+    schema = T.StructType(kept)
+
     def run(batches):
-        for batch in _parts(batches, rows):
-            patches = batch.to_dict("records")
+        arrow = to_arrow_schema(schema)
+        for batch in (part for whole in batches for part in parts(whole, rows)):
+            columns = batch.to_pydict()
+            patches = [dict(zip(columns, row)) for row in zip(*columns.values())]
             masks = [np.frombuffer(r["mask"], dtype=np.uint8).reshape(r["h"], r["w"]) for r in patches]
-            made = edit([pixels(r) for r in patches], masks, list(batch["prompt"]), list(batch["seed"]))
-            batch["data"] = [np.ascontiguousarray(m, dtype=np.uint8).tobytes() for m in made]
-            yield batch[[f.name for f in kept]]
+            made = edit([pixels(r) for r in patches], masks, columns["prompt"], columns["seed"])
+            columns["data"] = [np.ascontiguousarray(m, dtype=np.uint8).tobytes() for m in made]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return patches.mapInPandas(run, T.StructType(kept))
+    return map_batches(patches, run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,18 @@ def source_inputs(tiles: DataFrame, images: DataFrame, image_blocks: DataFrame,
     of_mask = boxed.join(sizes, "image_id").select(*keys, *[F.when(shared, F.col(c)).otherwise(v).alias(c) for c, v in corner.items()])
 
     def load(boxes, source):
-        crops = resample.as_images(crop_tiles(boxes, source, block, keys), keys)
-        return resample.resize_linear(crops, max(height, width, block), lambda b: (height, width), "lanczos", keys=keys)
+        return resample.resize_crops(crop_tiles(boxes, source, block, keys), height, width, "lanczos", keys)
 
     return load(boxed.drop("w", "h"), image_blocks), load(of_mask, mask_blocks)
 
 
+def labelled_crops(tiles: DataFrame, image_blocks: DataFrame, mask_blocks: DataFrame, block: int, keys: Sequence[str]) -> DataFrame:
+    """Each tile cut from its image and from the mask of the same size (column ``mask``). Blocks of both meet before tiles are cut, since
+    tiles overlap: their crops hold more bytes than the blocks."""
+    own = mask_blocks.select("image_id", "by", "bx", F.col("data").alias("mask"))
+    return crop_tiles(tiles, image_blocks.join(own, ["image_id", "by", "bx"]), block, keys, "mask")
+
+
 def edit_plan(patches: DataFrame, template: str, seed_base: int, row: str) -> DataFrame:
     """Prompt and seed of every patch."""
     from tessella.functions.labels import lookup

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.functions import coerce
-from tessella.operators import blocks, curriculum, joins, masks, quality, roi, sampling, seams
+from tessella.operators import blocks, curriculum, joins, masks, quality, resample, roi, sampling, seams
+from tessella.plans import patches
 from tessella.sources import sinks
 
 RNG = np.random.default_rng(6)
@@ -194,3 +195,48 @@ def test_kernels_in_a_row_share_a_worker(spark, make_blocks):
     # a step in between that isn't a kernel goes to Spark again
     some = blocks.digest(regions.where("image_id > 1"))
     assert sorted(some.collect()) == [r for r in sorted(found.collect()) if r.image_id > 1]
+
+
+@pytest.fixture
+def boxed_tiles(spark):
+    """Tiles of 10 x 8 in frames of 40 x 50 cut into blocks of 16: within a block, across blocks, beyond the frame, twice, outside."""
+    at = [(0, 0), (3, 5), (6, 8), (7, 8), (12, 12), (34, 45), (38, 1), (-2, 0), (60, 60), (3, 5)]
+    rows = [(k, y, x, x, y, x + 8, y + 10) for k in range(3) for y, x in at]
+    return spark.createDataFrame(rows, "image_id int, tile_y int, tile_x int, x0 int, y0 int, x1 int, y1 int"), sorted(set(at[:8]))
+
+
+@pytest.mark.parametrize("near", [0, 1_000_000])
+def test_tiles_within_a_block_are_not_shuffled(spark, make_blocks, boxed_tiles, near, monkeypatch):
+    monkeypatch.setattr(blocks, "NEAR", near)
+    tiles, at = boxed_tiles
+    src = {k: RNG.integers(0, 256, (40, 50, 3)).astype(np.uint8) for k in range(3)}
+    masked = {k: RNG.integers(0, 2, (40, 50)).astype(np.uint8) for k in range(3)}
+
+    def want(arr, y, x):
+        out = np.zeros((10, 8) + arr.shape[2:], np.uint8)
+        part = arr[max(0, y) : y + 10, max(0, x) : x + 8]
+        out[max(0, -y) : max(0, -y) + part.shape[0], max(0, -x) : max(0, -x) + part.shape[1]] = part
+        return out.tobytes()
+
+    keys = ["image_id", "tile_y", "tile_x"]
+    got = blocks.crop_tiles(tiles, make_blocks(src, 16), 16, keys)
+    assert sorted(map(tuple, got.select(*keys, "data").collect())) == [(k, y, x, want(src[k], y, x)) for k in src for y, x in at]
+    pairs = patches.labelled_crops(tiles, make_blocks(src, 16), make_blocks(masked, 16), 16, keys)
+    assert sorted(map(tuple, pairs.select(*keys, "nch", "data", "mask").collect())) == [(k, y, x, 3, want(src[k], y, x), want(masked[k], y, x)) for k in src for y, x in at]
+    inside = blocks.crop_tiles(tiles.where("tile_y = 3"), make_blocks(src, 16), 16, keys)
+    assert "piece#" not in plan_of(inside) and inside.count() == 3
+    across = blocks.crop_tiles(tiles.where("tile_y = 12"), make_blocks(src, 16), 16, keys)
+    assert "piece#" in plan_of(across) and across.count() == 3
+
+
+def test_crops_are_resized_without_a_shuffle(spark, make_blocks, boxed_tiles):
+    src = {k: RNG.integers(0, 256, (40, 50, 3)).astype(np.uint8) for k in range(3)}
+    keys = ["image_id", "tile_y", "tile_x"]
+    crops = spark.createDataFrame(blocks.crop_tiles(boxed_tiles[0], make_blocks(src, 16), 16, keys).collect())
+    small = resample.resize_crops(crops, 7, 5, "lanczos", keys)
+    assert "Exchange" not in plan_of(small)
+    zero = F.lit(0).cast("int")
+    images = crops.withColumns({c: zero for c in ("by", "bx", "y0", "x0")}).withColumns({f"img_{c}": F.col(c) for c in "hw"}).drop("data").join(crops.select(*keys, "data"), keys)
+    shares = resample.resize_linear(images, 16, lambda b: (7, 5), "lanczos", keys=keys)
+    columns = [*keys, "y0", "x0", "h", "w", "img_h", "img_w", "nch", "data"]
+    assert sorted(map(tuple, small.select(*columns).collect())) == sorted(map(tuple, shares.select(*columns).collect()))
