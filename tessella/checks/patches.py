@@ -33,7 +33,7 @@ LIMITS = quality.Limits(min_coverage=0.3, max_drift=0.03, max_seam=12.0, min_sim
 
 
 def _metrics(spark, sf):
-    return quality.edit_metrics(quality.edit_counters(fx.rgb_blocks(spark, sf), fx.edited_blocks(spark, sf), fx.boxes(spark, sf), B))
+    return quality.edit_metrics(quality.edit_counters(fx.rgb_blocks(spark, sf), fx.edited_blocks(spark, sf), fx.boxes(spark, sf), B, moments=True))
 
 
 def _metric_check(key: str, column: str):

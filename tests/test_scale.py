@@ -240,3 +240,16 @@ def test_crops_are_resized_without_a_shuffle(spark, make_blocks, boxed_tiles):
     shares = resample.resize_linear(images, 16, lambda b: (7, 5), "lanczos", keys=keys)
     columns = [*keys, "y0", "x0", "h", "w", "img_h", "img_w", "nch", "data"]
     assert sorted(map(tuple, small.select(*columns).collect())) == sorted(map(tuple, shares.select(*columns).collect()))
+
+
+def test_histograms_of_single_block_images_are_moments(spark, make_blocks):
+    sizes = {0: (16, 16), 1: (9, 12), 2: (40, 50), 3: (16, 17), 4: (5, 5)}
+    src = {k: RNG.integers(0, 256, (*s, 3)).astype(np.uint8) for k, s in sizes.items()}
+    src[4][:] = 7  # a flat histogram
+    edit = {k: (v // 2 + 40).astype(np.uint8) for k, v in src.items()}
+    boxes = spark.createDataFrame([(k, w, h, 2, 2, h, w - 1) for k, (h, w) in sizes.items()], "image_id int, img_w int, img_h int, y0b int, x0b int, y1b int, x1b int")
+    made = [quality.edit_counters(make_blocks(src, 16), make_blocks(edit, 16), boxes, 16, moments=m) for m in (False, True)]
+    bins = [{r["image_id"]: r["count"] for r in m.groupBy("image_id").count().collect()} for m in made]
+    assert max(bins[1][k] for k in (0, 1, 4)) <= 6 < min(bins[0][k] for k in (0, 1)) and bins[0][2] == bins[1][2]
+    plain, packed = (sorted(map(tuple, quality.edit_metrics(m).collect())) for m in made)
+    assert plain == packed
