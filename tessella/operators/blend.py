@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,12 @@ def axis_profile(n: int, lo: int, hi: int, radius: int, start: int = 0, stop: in
     return np.where((at >= lo - radius) & (at < hi + radius), smooth, 0.0)
 
 
+@lru_cache(maxsize=1 << 10)
+def _block_profile(*cells: int) -> np.ndarray:
+    """``axis_profile`` of the cells of a block, which are few."""
+    return axis_profile(*cells)
+
+
 def feather_profiles(boxes: DataFrame, radius: int = 16) -> DataFrame:
     """Blend weights of a box as two short relations: ``(image_id, axis, i, weight)``."""
 
@@ -75,8 +83,8 @@ def paste_back(original: DataFrame, edited: DataFrame, boxes: DataFrame, block:
         if b["y0b"] is None or b["edit"] is None:
             return block_row(b, b["y0"], b["x0"], arr)
         rows, cols = np.arange(b["y0"], b["y0"] + b["h"]), np.arange(b["x0"], b["x0"] + b["w"])
-        wy = axis_profile(b["img_h"], b["y0b"], b["y1b"], radius, rows[0], rows[-1] + 1)
-        wx = axis_profile(b["img_w"], b["x0b"], b["x1b"], radius, cols[0], cols[-1] + 1)
+        wy = _block_profile(b["img_h"], b["y0b"], b["y1b"], radius, b["y0"], b["y0"] + b["h"])
+        wx = _block_profile(b["img_w"], b["x0b"], b["x1b"], radius, b["x0"], b["x0"] + b["w"])
         inside = ((rows >= b["y0b"]) & (rows < b["y1b"]))[:, None] & ((cols >= b["x0b"]) & (cols < b["x1b"]))[None, :]
         weight = (wy[:, None] * wx[None, :])[:, :, None]
         mixed = arr * (1.0 - weight) + pixels(b, data="edit") * weight
