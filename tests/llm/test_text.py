@@ -333,6 +333,24 @@ def test_every_repeated_line_goes(spark):
     assert got == {i: (w, n) for i, (w, n) in enumerate(zip(want, (0, 3, 2, 0, 0)))}
 
 
+def test_lines_make_short_code(spark, monkeypatch, capsys):
+    """Code of the keys that the JVM compiles (8,000 bytes a method at most), and a text that isn't split anew for each of its lines."""
+    made = {}
+    monkeypatch.setattr(lines, "written", lambda df, name: made.setdefault(name, df) and tables.written(df, name))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = lines.remove_repeated_lines(table_of(spark, ["a line of some words\na line of some wordz\nx", "x\n\na line of some words"]))
+        made["lines"].explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        found.explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+    assert "lambdafunction(" in plan and not re.search(r"lambdafunction\([^)]*split\(", plan)
+    assert {r.doc_id: r.text for r in found.collect()} == {0: "a line of some words\nx", 1: ""}
+
+
 def test_mixing_meets_its_margins(spark):
     r = random.Random(3)
     docs = spark.createDataFrame([(i, "w " * r.randint(1, 60), r.choice("aaaabbc"), r.choice(["en", "en", "de"])) for i in range(3000)], "doc_id long, text string, source string, lang string")
