@@ -10,7 +10,7 @@ from tessella.checks.registry import check, table
 from tessella.checks.roi import digest_sql
 from tessella.operators.blocks import digest
 from tessella.session import new_path
-from tessella.sources.images import scan_images
+from tessella.sources.images import scan_and_report, scan_images
 from tessella.sources.sinks import read_appended
 from tessella.streaming.ingest import ingest_new, stream_files
 
@@ -41,7 +41,6 @@ def image_rejects(spark, sf):
     path = new_path(spark, "png")
     folders = [*write_pngs(fx.rgb_blocks(spark, sf, 512), path), f"{path}/other"]
     spark.range(1).select(F.lit("no image").alias("value")).coalesce(1).write.text(folders[-1])
-    from tessella.sources.images import unreadable_images
-
-    readable = scan_images(spark, folders, "grey", 512, skip_unreadable=True).agg(F.count_distinct("image_id").alias("readable"))
-    return readable.crossJoin(unreadable_images(spark, folders).agg(F.count("*").alias("unreadable")))  # one row each
+    blocks, rejects = scan_and_report(spark, folders, "grey", 512)
+    readable = blocks.agg(F.count_distinct("image_id").alias("readable"))
+    return readable.crossJoin(rejects.agg(F.count("*").alias("unreadable")))  # one row each

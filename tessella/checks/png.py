@@ -30,10 +30,14 @@ def write_pngs(images: DataFrame, path: str, per_folder: int = 1000) -> list[str
 
     uri = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
+    made = set()
+
     def kernel(b):
         fs, root = pafs.FileSystem.from_uri(uri)
         folder = b["image_id"] // per_folder
-        fs.create_dir(f"{root}/{folder}", recursive=True)
+        if folder not in made:
+            fs.create_dir(f"{root}/{folder}", recursive=True)
+            made.add(folder)
         with fs.open_output_stream(f"{root}/{folder}/{b['image_id']}.png") as f:
             f.write(encode_png(pixels(b)))
         return {"folder": np.array([folder])}

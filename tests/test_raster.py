@@ -359,3 +359,117 @@ def test_kernels_hold_few_rows_at_once(spark):
     wide = spark.range(0, 60, 1, 1).selectExpr("id AS image_id", "cast(repeat('x', 500000) AS binary) AS data")
     held = blocks.map_blocks(wide, lambda b: {"n": np.array([len(b["data"])])}, "n bigint", merge=lambda held: [(held[0][0], {"n": np.array([sum(int(r["n"][0]) for _, r in held)])})])
     assert max(r.n for r in held.collect()) <= 2 * blocks.HELD
+
+
+def png_file(arr, kinds, extra=(), colour=None, interlace=0, depth=8):
+    """A PNG with the given filter of each row, written from the definition of the filters."""
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    h, w, nch = arr.shape
+    wide = np.zeros((h + 1, w + 1, nch), int)
+    wide[1:, 1:] = arr
+    raw = b""
+    for y in range(h):
+        left, up, corner = wide[y + 1, :-1], wide[y, 1:], wide[y, :-1]
+        near = left + up - corner
+        by = [abs(near - v) for v in (left, up, corner)]
+        paeth = np.where((by[0] <= by[1]) & (by[0] <= by[2]), left, np.where(by[1] <= by[2], up, corner))
+        guess = (0, left, up, (left + up) // 2, paeth)[kinds[y]]
+        raw += bytes([kinds[y]]) + ((wide[y + 1, 1:] - guess) % 256).astype(np.uint8).tobytes()
+    packed = zlib.compress(raw)
+    colour = {1: 0, 3: 2, 4: 6}[nch] if colour is None else colour
+    chunks = [(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlace)), *extra, (b"IDAT", packed[:9]), (b"IDAT", packed[9:]), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(chunk(*c) for c in chunks)
+
+
+def test_plain_pngs_decode_as_the_image_source_does(spark, tmp_path, read_blocks):
+    from tessella.sources.images import scan_images
+    from tessella.sources.png import decode_png
+
+    src, files = {}, {}
+    for nch in (1, 3, 4):
+        for name, kinds in {**{str(k): [k] * 9 for k in range(5)}, "all": [4, 3, 2, 1, 0, 1, 4, 2, 3]}.items():
+            arr = RNG.integers(0, 256, (9, 11, nch)).astype(np.uint8)
+            src[f"{nch}-{name}.png"], files[f"{nch}-{name}.png"] = arr, png_file(arr, kinds)
+    arr = src["extra.png"] = RNG.integers(0, 256, (9, 11, 3)).astype(np.uint8)
+    files["extra.png"] = png_file(arr, [1] * 9, [(b"gAMA", b"\0\0\xb1\x8f"), (b"sRGB", b"\0"), (b"tEXt", b"a\0b"), (b"pHYs", b"\0" * 9)])
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        assert np.array_equal(decode_png(data), src[name]), name
+    got = read_blocks(scan_images(spark, str(tmp_path), block=4))
+    for name, arr in src.items():
+        assert np.array_equal(got[name], np.repeat(arr, 3, axis=2) if arr.shape[2] == 1 else arr[:, :, :3]), name
+
+
+def test_png_decoder_leaves_what_is_not_plain():
+    from tessella.sources.png import SERIAL, decode_png
+
+    arr = RNG.integers(0, 256, (6, 5, 3)).astype(np.uint8)
+    whole = png_file(arr, [0] * 6)
+    flipped = bytearray(whole)
+    flipped[50] ^= 1
+    for data in (b"", b"no image", whole[:-1], whole[:-12], whole + b"x", bytes(flipped), png_file(arr, [0] * 6, [(b"tRNS", b"\0" * 6)]), png_file(arr, [0] * 6, [(b"iCCP", b"a\0\0x")]),
+                 png_file(arr, [0] * 6, colour=3), png_file(arr, [0] * 6, depth=16), png_file(arr, [0] * 6, interlace=1), png_file(arr[:, :4], [0] * 6)[:-30], png_file(arr[:0], [])):
+        assert decode_png(data) is None
+    assert np.array_equal(decode_png(whole), arr)
+    wide = RNG.integers(0, 256, (2, SERIAL // 3, 3)).astype(np.uint8)
+    assert np.array_equal(decode_png(png_file(wide, [1, 4])), wide) and decode_png(png_file(wide, [3, 4])) is None
+
+
+@pytest.mark.parametrize("mode", ["rgb", "grey"])
+def test_folders_of_mixed_files_equal_single_folders(spark, tmp_path, read_blocks, monkeypatch, mode):
+    """Plain small PNGs are decoded by Python workers, what they leave and large files by the image source, each once."""
+    from tessella.sources import images as source
+
+    imageio, jvm = spark._jvm.javax.imageio.ImageIO, spark._jvm.java
+    plain = {n: png_file(RNG.integers(0, 256, (9, 7, 3)).astype(np.uint8), [2] * 9) for n in ("a b+c%20[1].png", "é'\".png", "x.jpg", "{y}*.png")}
+    large = png_file(RNG.integers(0, 256, (40, 30, 3)).astype(np.uint8), [0] * 40)
+    folders = [tmp_path / n for n in ("one", "two", "three + %2B", "four")]
+    for i, f in enumerate(folders):
+        f.mkdir()
+        for n, data in plain.items():
+            if i != 1:
+                (f / f"{i}{n}").write_bytes(data)
+    for name, kind in (("j.jpg", "jpg"), ("j'+ é.png", "jpg"), ("b.bmp", "bmp")):
+        made = jvm.awt.image.BufferedImage(6, 5, 1)
+        made.setRGB(2, 3, 0x123456)
+        assert imageio.write(made, kind, jvm.io.File(str(folders[2] / name)))
+    (folders[0] / "large.png").write_bytes(large)
+    (folders[1] / "trns.png").write_bytes(png_file(RNG.integers(0, 256, (5, 5, 3)).astype(np.uint8), [0] * 5, [(b"tRNS", b"\0" * 6)]))
+    broken = {"note '+%20.txt": folders[2], "half.png": folders[1]}
+    for n, f in broken.items():
+        (f / n).write_text("no image")
+    monkeypatch.setattr(source, "SMALL", 1000)
+    asked, decode = [], source._decode
+    monkeypatch.setattr(source, "_decode", lambda spark, path, glob, only=None: asked.append(path) or decode(spark, path, glob, only))
+    paths = [str(f) for f in folders]
+    blocks, rejects = source.scan_and_report(spark, paths, mode, 8, at_once=1)
+    assert [[p.rsplit("/", 1)[1] for p in a] for a in asked] == [["one"], ["two"], ["three + %2B"]]
+    got = read_blocks(blocks)
+    want = {}
+    for p in paths:
+        want |= read_blocks(source.scan_images(spark, p, mode, 8, skip_unreadable=True))
+    assert got.keys() == want.keys() and len(got) == 3 * len(plain) + 5
+    assert all(np.array_equal(got[n], a) for n, a in want.items())
+    assert blocks.count() == blocks.select("image_id", "by", "bx").distinct().count()
+    assert {(r.filename, r.path.rsplit("/", 2)[1]) for r in rejects.collect()} == {(n, f.name) for n, f in broken.items()}
+    assert sorted(r.filename for r in source.unreadable_images(spark, paths).collect()) == sorted(broken)
+    with pytest.raises(Exception, match="unreadable image"):
+        source.scan_images(spark, paths, mode, 8)
+
+
+def test_small_pngs_of_folders_do_not_pass_the_image_source(spark, tmp_path, monkeypatch):
+    """A serializer is made for every file there, which takes longer than all else."""
+    from tessella import checks
+    from tessella.sources import images as source
+
+    asked, decode = [], source._decode
+    monkeypatch.setattr(source, "_decode", lambda spark, path, glob, only=None: asked.append(only) or decode(spark, path, glob, only))
+    queries = checks.load()[0]
+    assert queries["image_scan"](spark, "/root/testdata/sf0.001").count() == 200 and not asked
+    assert [tuple(r) for r in queries["image_rejects"](spark, "/root/testdata/sf0.001").collect()] == [(200, 1)]
+    assert len(asked) == 1  # for the broken file
