@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.checks import fixtures as fx
@@ -10,7 +11,7 @@ from tessella.checks.registry import check, table
 from tessella.checks.roi import digest_sql
 from tessella.operators.blocks import digest
 from tessella.session import new_path
-from tessella.sources.images import scan_and_report, scan_images
+from tessella.sources.images import scan_and_report, scan_images, to_grey
 from tessella.sources.sinks import read_appended
 from tessella.streaming.ingest import ingest_new, stream_files
 
@@ -27,12 +28,10 @@ def stream_ingest(spark, sf):
 
 @check("image_scan", f"WITH {fx.PIXELS_SQL}, d AS ({digest_sql('pixels')}), g AS (SELECT k, CAST(sum((19595 * r + 38470 * g + 7471 * b + 32768) // 65536) AS BIGINT) AS grey FROM pixels GROUP BY k) SELECT d.*, grey FROM d JOIN g USING (k)")
 def image_scan(spark, sf):
-    """Slides written as PNG files, decoded again by the image source, in colour and in grey."""
+    """Slides written as PNG files, decoded again once; values in colour and in grey."""
     folders = write_pngs(fx.rgb_blocks(spark, sf, 512), new_path(spark, "png"))
-    number = F.regexp_extract("image_id", r"^(\d+)\.png$", 1).cast("int")
-    colour = digest(scan_images(spark, folders, "rgb", 32))
-    grey = digest(scan_images(spark, folders, "grey", 32)).select("image_id", F.col("sum_v").alias("grey"))
-    return colour.join(grey, "image_id").withColumn("image_id", number).withColumnRenamed("image_id", "k")
+    scanned = digest(scan_images(spark, folders, "rgb", 32), more={"grey": lambda rgb: to_grey(rgb).sum(dtype=np.int64)})
+    return scanned.withColumn("image_id", F.regexp_extract("image_id", r"^(\d+)\.png$", 1).cast("int")).withColumnRenamed("image_id", "k")
 
 
 @check("image_rejects", f"WITH {fx.SLIDES_SQL} SELECT count(*) AS readable, 1::BIGINT AS unreadable FROM slides")
