@@ -9,7 +9,7 @@ from tessella.checks import fixtures as fx
 from tessella.checks.png import write_pngs
 from tessella.checks.registry import check, table
 from tessella.checks.roi import digest_sql
-from tessella.operators.blocks import digest
+from tessella.operators.blocks import digest_shares, digest_sums
 from tessella.session import new_path
 from tessella.sources.images import scan_and_report, scan_images, to_grey
 from tessella.sources.sinks import read_appended
@@ -30,7 +30,8 @@ def stream_ingest(spark, sf):
 def image_scan(spark, sf):
     """Slides written as PNG files, decoded again once; values in colour and in grey."""
     folders = write_pngs(fx.rgb_blocks(spark, sf, 512), new_path(spark, "png"))
-    scanned = digest(scan_images(spark, folders, "rgb", 32), more={"grey": lambda rgb: to_grey(rgb).sum(dtype=np.int64)})
+    kernel, fields = digest_shares(more={"grey": lambda rgb: to_grey(rgb).sum(dtype=np.int64)})
+    scanned = digest_sums(scan_images(spark, folders, "rgb", 32, kernel=kernel, fields=fields))
     return scanned.withColumn("image_id", F.regexp_extract("image_id", r"^(\d+)\.png$", 1).cast("int")).withColumnRenamed("image_id", "k")
 
 

@@ -473,3 +473,24 @@ def test_small_pngs_of_folders_do_not_pass_the_image_source(spark, tmp_path, mon
     assert queries["image_scan"](spark, "/root/testdata/sf0.001").count() == 200 and not asked
     assert [tuple(r) for r in queries["image_rejects"](spark, "/root/testdata/sf0.001").collect()] == [(200, 1)]
     assert len(asked) == 1  # for the broken file
+
+
+def test_scan_of_folders_runs_a_kernel_where_blocks_are_decoded(spark, tmp_path):
+    from tessella.sources.images import scan_images
+
+    folders = [tmp_path / "a", tmp_path / "b"]
+    for i, f in enumerate(folders):
+        f.mkdir()
+        for k in range(3):
+            extra = [(b"iCCP", b"x\0\0")] if k == 2 else []  # left to the image source
+            (f / f"{i}{k}.png").write_bytes(png_file(RNG.integers(0, 256, (9 + k, 70, 3)).astype(np.uint8), [k] * (9 + k), extra))
+    paths = [str(f) for f in folders]
+    more = {"most": lambda a: int(a.max())}
+    kernel, fields = blocks.digest_shares(more=more)
+    want = sorted(blocks.digest(scan_images(spark, paths, block=32), more=more).collect())
+    assert len(want) == 6 and want[0].n_values == 9 * 70 * 3
+    assert sorted(blocks.digest_sums(scan_images(spark, paths, block=32, kernel=kernel, fields=fields)).collect()) == want
+    one = blocks.digest_sums(scan_images(spark, paths[0], block=32, kernel=kernel, fields=fields))
+    assert sorted(one.collect()) == want[:3]
+    written = scan_images(spark, paths, block=32, kernel=kernel, fields=fields)
+    assert written.columns == ["image_id", "n_values", "sum_v", "pos_sum", "most"] and written.count() == 18
